@@ -185,7 +185,7 @@ def species_name(name: Column, taxon: Column, cls: Column) -> Column:
     raw = text(name)
     return (
         F.when(cls == "HUMAN", "Homo sapiens").when(cls == "UNRESOLVED", "UNRESOLVED").when(raw != "", raw)
-        .otherwise(F.concat(F.lit("taxon:"), F.round(taxon).cast("string")))
+        .otherwise(F.concat(F.lit("taxon:"), F.round(taxon).cast("long").cast("string")))
     )
 
 

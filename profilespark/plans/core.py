@@ -4,23 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import activity as A
 from ..operators import outliers as O
-from ..operators import scores as X
 from . import bindings as B
-from .views import oracle
-
-QUERIES, ORACLES = {}, {}
-
-
-def register(name, sql=None, **extra):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = oracle(sql, **extra) if isinstance(sql, str) else sql
-        return fn
-    return deco
-
+from .register import register
 
 R = lambda c, d=6: F.round(c, d)
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from . import core
-
-_SECTIONS = [core]
+from . import class_queries, core, curation_queries, model_queries, pair_queries, quality_queries, resolve_queries, scalar_queries, source_queries  # noqa: F401
+from .register import QUERIES, oracles
 
 
 def flagship(spark, sf):
-    return core.QUERIES["gesd_calls"](spark, sf)
+    return QUERIES["gesd_calls"](spark, sf)
 
 
 def queries():
-    return {k: v for s in _SECTIONS for k, v in s.QUERIES.items()}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {k: v for s in _SECTIONS for k, v in s.ORACLES.items()}
+    return oracles()
