@@ -1 +1,362 @@
-"""Filled below."""
+"""Calls, set comparisons and all-pairs comparisons."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from ..operators import calls as K
+from ..operators import nearest as N
+from ..operators import pairs as P
+from . import bindings as B
+from .register import r, register
+
+C = F.col
+Q = "1-URGENT/BUILDING"  # the query profile among the score profiles; vector queries use vector 0
+
+MATCHED = """SELECT a.profile AS a, b.profile AS b, a.feature_id, a.target, a.tissue, a.value AS va, b.value AS vb, abs(a.value - b.value) AS d
+FROM vectors a JOIN vectors b ON a.feature_order = b.feature_order AND a.profile < b.profile WHERE a.value IS NOT NULL AND b.value IS NOT NULL"""
+SIZES = "SELECT profile, count(value) AS k FROM vectors GROUP BY 1"
+RANKED = """SELECT *, rank() OVER (PARTITION BY a, b ORDER BY va) + (count(*) OVER (PARTITION BY a, b, va) - 1) / 2.0 AS ra,
+  rank() OVER (PARTITION BY a, b ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, vb) - 1) / 2.0 AS rb FROM matched"""
+METRICS = """
+SELECT p.a, p.b, coalesce(n, 0) AS matched_features, coalesce(t, 0) AS matched_targets, rms, euclidean, cosine, pearson, spearman,
+  mean_abs_difference, median_abs_difference, max_abs_difference, coalesce(n, 0) >= 20 AND coalesce(t, 0) >= 2 AS overlap_gate_pass,
+  coalesce(n, 0) AS support_shared, sa.k + sb.k - coalesce(n, 0) AS support_union,
+  CASE WHEN sa.k + sb.k - coalesce(n, 0) > 0 THEN coalesce(n, 0) / (sa.k + sb.k - coalesce(n, 0)) ELSE 1.0 END::DOUBLE AS support_jaccard
+FROM (SELECT x.profile AS a, y.profile AS b FROM vector_roster x JOIN vector_roster y ON x.profile < y.profile) p
+JOIN sizes sa ON p.a = sa.profile JOIN sizes sb ON p.b = sb.profile
+LEFT JOIN (SELECT a, b, count(*) AS n, count(DISTINCT target) AS t, sqrt(avg(d * d)) AS rms, sqrt(sum(d * d)) AS euclidean,
+    sum(va * vb) / nullif(sqrt(sum(va * va)) * sqrt(sum(vb * vb)), 0) AS cosine,
+    CASE WHEN max(va) > min(va) AND max(vb) > min(vb) THEN covar_samp(va, vb) / nullif(stddev_samp(va) * stddev_samp(vb), 0) END AS pearson,
+    CASE WHEN max(ra) > min(ra) AND max(rb) > min(rb) THEN covar_samp(ra, rb) / nullif(stddev_samp(ra) * stddev_samp(rb), 0) END AS spearman,
+    avg(d) AS mean_abs_difference, median(d) AS median_abs_difference, max(d) AS max_abs_difference
+  FROM ranked GROUP BY 1, 2) m ON p.a = m.a AND p.b = m.b"""
+PAIR_VIEWS = dict(matched=MATCHED, sizes=SIZES, ranked=RANKED, metrics=METRICS)
+_M = ["rms", "euclidean", "cosine", "pearson", "spearman", "mean_abs_difference", "median_abs_difference", "max_abs_difference"]
+_MSQL = ", ".join(f"round({m}, 6) AS {m}" for m in _M)
+
+
+def vector_metrics(spark, sf):
+    return P.continuous_metrics(B.vectors(spark, sf), B.vector_roster(spark, sf), "value", n_features=64)
+
+
+def call_values(spark, sf):
+    return B.vector_calls(spark, sf)
+
+
+@register("pair_enumeration", "SELECT x.profile AS a, y.profile AS b FROM vector_roster x JOIN vector_roster y ON x.profile < y.profile")
+def _(spark, sf):
+    return P.pair_enumeration(B.vector_roster(spark, sf))
+
+
+@register("matched_support_join", "SELECT a, b, count(*) AS n, min(feature_id) AS lo, max(feature_id) AS hi, round(sum(va - vb), 6) AS diff, round(sum(d), 6) AS absdiff FROM matched GROUP BY 1, 2", matched=MATCHED)
+def _(spark, sf):
+    d = P.matched_support_join(B.vectors(spark, sf), B.vector_roster(spark, sf), "value")
+    return d.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("feature_id").alias("lo"), F.max("feature_id").alias("hi"),
+                                   F.round(F.sum("signed_difference"), 6).alias("diff"), F.round(F.sum("absolute_difference"), 6).alias("absdiff"))
+
+
+@register("continuous_metrics", f"SELECT a, b, matched_features, matched_targets, {_MSQL}, overlap_gate_pass, support_shared, support_union, round(support_jaccard, 6) AS support_jaccard FROM metrics", **PAIR_VIEWS)
+def _(spark, sf):
+    m = vector_metrics(spark, sf)
+    return m.select("a", "b", "matched_features", "matched_targets", *[r(c) for c in _M], "overlap_gate_pass", "support_shared", "support_union", r("support_jaccard"))
+
+
+_PROFILE_MATCHED = """SELECT a.profile AS a, b.profile AS b, a.feature_id, a.target, a.tissue, a.score AS va, b.score AS vb, abs(a.score - b.score) AS d
+FROM profiles a JOIN profiles b ON a.feature_id = b.feature_id AND a.profile < b.profile WHERE a.score IS NOT NULL AND b.score IS NOT NULL"""
+
+
+@register("pair_correlation", """SELECT a, b, count(*) AS matched_features, round(covar_samp(va, vb) / nullif(stddev_samp(va) * stddev_samp(vb), 0), 6) AS pearson,
+  round(covar_samp(ra, rb) / nullif(stddev_samp(ra) * stddev_samp(rb), 0), 6) AS spearman FROM ranked GROUP BY 1, 2""", matched=_PROFILE_MATCHED, ranked=RANKED)
+def _(spark, sf):
+    p = B.profiles(spark, sf)
+    roster = p.select("profile").distinct().withColumn("roster_order", C("profile"))
+    d = P.matched_support_join(p, roster, "score", blocks=1)
+    return P.pair_correlation(d).select("a", "b", "matched_features", r("pearson"), r("spearman"))
+
+
+@register("support_jaccard", "SELECT a, b, support_shared, support_union, round(support_jaccard, 6) AS support_jaccard FROM metrics", **PAIR_VIEWS)
+def _(spark, sf):
+    return P.support_jaccard(B.vectors(spark, sf), B.vector_roster(spark, sf), "value").select("a", "b", "support_shared", "support_union", r("support_jaccard"))
+
+
+# ---- call sets: what a pair shares, from the call table of one level
+
+def _fp_views(alpha):
+    return dict(
+        lc=f"SELECT * FROM vector_calls WHERE alpha = {alpha!r}::DOUBLE",
+        cc="SELECT profile, count(*) AS n, count(DISTINCT target) AS nt, count(DISTINCT tissue) AS nu, sqrt(sum(value * value)) AS norm FROM lc GROUP BY 1",
+        sh="SELECT x.profile AS a, y.profile AS b, count(*) AS ns, sum(x.value * y.value) AS dot, string_agg(x.feature_id, '; ' ORDER BY x.feature_id) AS ids FROM lc x JOIN lc y ON x.feature_id = y.feature_id AND x.profile < y.profile GROUP BY 1, 2",
+        ts="SELECT x.profile AS a, y.profile AS b, count(*) AS n FROM (SELECT DISTINCT profile, target FROM lc) x JOIN (SELECT DISTINCT profile, target FROM lc) y ON x.target = y.target AND x.profile < y.profile GROUP BY 1, 2",
+        us="SELECT x.profile AS a, y.profile AS b, count(*) AS n FROM (SELECT DISTINCT profile, tissue FROM lc) x JOIN (SELECT DISTINCT profile, tissue FROM lc) y ON x.tissue = y.tissue AND x.profile < y.profile GROUP BY 1, 2",
+        jt="SELECT c.profile AS p, v.profile AS q, count(*) AS n FROM lc c JOIN vectors v ON c.feature_id = v.feature_id WHERE v.value IS NOT NULL AND v.profile <> c.profile GROUP BY 1, 2",
+        lists="SELECT profile, list(feature_id ORDER BY feature_id) AS l FROM lc GROUP BY 1",
+        fp="""SELECT p.a, p.b, na AS call_count_a, nb AS call_count_b, ns AS shared_calls, na + nb - ns AS union_calls,
+  CASE WHEN na + nb - ns > 0 THEN ns / (na + nb - ns) ELSE 1.0 END::DOUBLE AS call_jaccard,
+  CASE WHEN least(na, nb) > 0 THEN ns / least(na, nb) WHEN na + nb = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS call_overlap_coefficient,
+  CASE WHEN ja + jb - ns > 0 THEN ns / (ja + jb - ns) ELSE 1.0 END::DOUBLE AS jointly_tested_call_jaccard,
+  t AS shared_called_targets, nta + ntb - t AS union_called_targets, CASE WHEN nta + ntb - t > 0 THEN t / (nta + ntb - t) ELSE 1.0 END::DOUBLE AS target_call_jaccard,
+  u AS shared_called_tissues, nua + nub - u AS union_called_tissues, CASE WHEN nua + nub - u > 0 THEN u / (nua + nub - u) ELSE 1.0 END::DOUBLE AS tissue_call_jaccard,
+  CASE WHEN norma * normb > 0 THEN dot / (norma * normb) END AS signed_sparse_cosine, shared_ids, la, lb
+FROM (SELECT x.a, x.b, coalesce(ca.n, 0) AS na, coalesce(cb.n, 0) AS nb, coalesce(ca.nt, 0) AS nta, coalesce(cb.nt, 0) AS ntb, coalesce(ca.nu, 0) AS nua, coalesce(cb.nu, 0) AS nub,
+    ca.norm AS norma, cb.norm AS normb, coalesce(ns, 0) AS ns, coalesce(dot, 0.0) AS dot, coalesce(ids, '') AS shared_ids, coalesce(ts.n, 0) AS t, coalesce(us.n, 0) AS u,
+    coalesce(j1.n, 0) AS ja, coalesce(j2.n, 0) AS jb, l1.l AS la, l2.l AS lb
+  FROM (SELECT x.profile AS a, y.profile AS b FROM vector_roster x JOIN vector_roster y ON x.profile < y.profile) x
+  LEFT JOIN cc ca ON x.a = ca.profile LEFT JOIN cc cb ON x.b = cb.profile LEFT JOIN sh ON x.a = sh.a AND x.b = sh.b LEFT JOIN ts ON x.a = ts.a AND x.b = ts.b
+  LEFT JOIN us ON x.a = us.a AND x.b = us.b LEFT JOIN jt j1 ON x.a = j1.p AND x.b = j1.q LEFT JOIN jt j2 ON x.b = j2.p AND x.a = j2.q
+  LEFT JOIN lists l1 ON x.a = l1.profile LEFT JOIN lists l2 ON x.b = l2.profile) p""",
+    )
+
+
+_FPL = ["call_count_a", "call_count_b", "shared_calls", "union_calls", "shared_called_targets", "union_called_targets", "shared_called_tissues", "union_called_tissues"]
+_FPD = ["call_jaccard", "call_overlap_coefficient", "jointly_tested_call_jaccard", "target_call_jaccard", "tissue_call_jaccard", "signed_sparse_cosine"]
+_IDS_SQL = """shared_ids AS shared_feature_ids,
+  array_to_string(list_filter(coalesce(la, []), lambda z: NOT list_contains(coalesce(lb, []), z)), '; ') AS query_only_feature_ids,
+  array_to_string(list_filter(coalesce(lb, []), lambda z: NOT list_contains(coalesce(la, []), z)), '; ') AS comparator_only_feature_ids"""
+
+
+def _fingerprint(spark, sf, alpha, ids=True):
+    return P.fingerprint_metrics(B.vectors(spark, sf), call_values(spark, sf), B.vector_roster(spark, sf), "value", alpha, ids=ids)
+
+
+@register("fingerprint_metrics", f"SELECT a, b, {', '.join(_FPL)}, {', '.join(f'round({c}, 6) AS {c}' for c in _FPD)}, {_IDS_SQL} FROM fp", **_fp_views(0.001))
+def _(spark, sf):
+    f = _fingerprint(spark, sf, 0.001)
+    return f.select("a", "b", *_FPL, *[r(c) for c in _FPD], "shared_feature_ids", "query_only_feature_ids", "comparator_only_feature_ids")
+
+
+@register("signed_sparse_cosine", "SELECT a, b, union_calls, round(signed_sparse_cosine, 6) AS signed_sparse_cosine FROM fp", **_fp_views(0.0001))
+def _(spark, sf):
+    return _fingerprint(spark, sf, 0.0001, ids=False).select("a", "b", "union_calls", r("signed_sparse_cosine"))
+
+
+def _renamed(views, suffix):
+    """The same views under other names, so that two levels can stand side by side."""
+    out = {}
+    for k, v in views.items():
+        for name in views:
+            v = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}{suffix}", v)
+            v = re.sub(rf"\b{name}\.", f"{name}{suffix}.", v) if name in ("sh", "ts", "us") else v
+        out[k + suffix] = v
+    return out
+
+
+_PREFIXED = [(al, sfx) for al, sfx in (("alpha001", "_x"), ("alpha0001", "_y"))]
+_ALL = (
+    f"SELECT m.a, m.b, {', '.join(f'round(m.{c}, 6) AS {c}' for c in _M)}, round(support_jaccard, 6) AS support_jaccard, "
+    + ", ".join(f"fp{s}.{c} AS {al}_{c}" for al, s in _PREFIXED for c in _FPL) + ", "
+    + ", ".join(f"round(fp{s}.{c}, 6) AS {al}_{c}" for al, s in _PREFIXED for c in _FPD)
+    + " FROM metrics m " + " ".join(f"JOIN fp{s} ON m.a = fp{s}.a AND m.b = fp{s}.b" for _, s in _PREFIXED)
+)
+
+
+@register("all_pairwise", _ALL, **PAIR_VIEWS, **_renamed(_fp_views(0.001), "_x"), **_renamed(_fp_views(0.0001), "_y"))
+def _(spark, sf):
+    m = P.all_pairwise(B.vectors(spark, sf), call_values(spark, sf), B.vector_roster(spark, sf), "value", n_features=64)
+    names = [f"{al}_{c}" for al, _ in _PREFIXED for c in _FPL]
+    doubles = [f"{al}_{c}" for al, _ in _PREFIXED for c in _FPD]
+    return m.select("a", "b", *[r(c) for c in _M], r("support_jaccard"), *names, *[r(c) for c in doubles])
+
+
+@register("metric_matrix", "SELECT a, b, round(rms, 6) AS value FROM metrics UNION ALL SELECT b, a, round(rms, 6) FROM metrics UNION ALL SELECT profile, profile, 0.0::DOUBLE FROM vector_roster", **PAIR_VIEWS)
+def _(spark, sf):
+    return P.metric_matrix(vector_metrics(spark, sf), "rms", B.vector_roster(spark, sf)).select("a", "b", r("value"))
+
+
+DETAIL = f"""SELECT '{Q}' AS query, c.profile AS comparator, c.feature_id, c.target, c.tissue, q.score AS query_value, c.score AS comparator_value,
+  q.score - c.score AS signed_difference, abs(q.score - c.score) AS absolute_difference
+FROM profiles c JOIN profiles q ON c.feature_id = q.feature_id WHERE q.profile = '{Q}' AND c.profile <> '{Q}' AND q.score IS NOT NULL AND c.score IS NOT NULL"""
+
+
+def detail(spark, sf):
+    return P.pair_detail(B.profiles(spark, sf), Q, "score")
+
+
+@register("pair_detail", "SELECT query, comparator, feature_id, target, tissue, round(query_value, 6) AS query_value, round(comparator_value, 6) AS comparator_value, round(signed_difference, 6) AS signed_difference FROM detail", detail=DETAIL)
+def _(spark, sf):
+    return detail(spark, sf).select("query", "comparator", "feature_id", "target", "tissue", r("query_value"), r("comparator_value"), r("signed_difference"))
+
+
+@register("target_level_mean", "SELECT profile, target AS feature_id, round(avg(score), 6) AS score FROM profiles GROUP BY 1, 2")
+def _(spark, sf):
+    return P.target_level_mean(B.profiles(spark, sf), "score").select("profile", "feature_id", r("score"))
+
+
+@register("target_level_pairwise", f"""SELECT c.profile AS comparator, count(*) AS matched_features, round(sqrt(avg((q.s - c.s) * (q.s - c.s))), 6) AS rms, round(median(abs(q.s - c.s)), 6) AS median_abs_difference,
+  round(sum(q.s * c.s) / (sqrt(sum(q.s * q.s)) * sqrt(sum(c.s * c.s))), 6) AS cosine, round(corr(q.s, c.s), 6) AS pearson
+FROM tm c JOIN tm q ON c.target = q.target WHERE q.profile = 0 AND c.profile <> 0 AND q.s IS NOT NULL AND c.s IS NOT NULL GROUP BY 1""", tm="SELECT profile, target, avg(value) AS s FROM vectors GROUP BY 1, 2")
+def _(spark, sf):
+    t = P.target_level_pairwise(B.vectors(spark, sf), 0, "value")
+    return t.select("comparator", "matched_features", r("rms"), r("median_abs_difference"), r("cosine"), r("pearson"))
+
+
+@register("incremental_pairs", """SELECT a, b, CASE WHEN x.label = 3 OR y.label = 3 THEN 'RECOMPUTED' ELSE 'REUSED' END AS lineage, count(*) AS matched_features, round(sqrt(avg(d * d)), 6) AS rms,
+  round(sum(va * vb) / (sqrt(sum(va * va)) * sqrt(sum(vb * vb))), 6) AS cosine FROM (
+    SELECT a.profile AS a, b.profile AS b, a.v AS va, b.v AS vb, abs(a.v - b.v) AS d FROM moved a JOIN moved b ON a.feature_order = b.feature_order AND a.profile < b.profile WHERE a.v IS NOT NULL AND b.v IS NOT NULL)
+  JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id GROUP BY 1, 2, 3""", moved="SELECT *, CASE WHEN label = 3 THEN value * value ELSE value END AS v FROM vectors")
+def _(spark, sf):
+    v, roster = B.vectors(spark, sf), B.vector_roster(spark, sf)
+    prior = vector_metrics(spark, sf)
+    moved = v.withColumn("value", F.when(C("label") == 3, C("value") * C("value")).otherwise(C("value")))
+    changed = B.table(spark, sf, "embeddings").where("label = 3").select(C("vec_id").alias("profile"))
+    pairs, _ = P.incremental_pairs(prior, moved, roster, changed, "value")
+    return pairs.select("a", "b", "lineage", "matched_features", r("rms"), r("cosine"))
+
+
+@register("vector_equality_forensics", """SELECT layer, a, b, count(*) AS matched, count(*) FILTER (va = vb) AS exact_equal, count(*) FILTER (abs(va - vb) <= 1e-12) AS near_equal, round(max(abs(va - vb)), 6) AS max_abs, round(avg(abs(va - vb)), 6) AS mean_abs,
+  bool_and(ka = kb) AND count(*) = min(ka) AS same_support FROM (
+    SELECT x.layer, x.profile AS a, y.profile AS b, x.v AS va, y.v AS vb, x.k AS ka, y.k AS kb FROM lay x JOIN lay y ON x.layer = y.layer AND x.feature_order = y.feature_order AND x.profile < y.profile) GROUP BY 1, 2, 3""",
+          lay="SELECT *, count(*) OVER (PARTITION BY layer, profile) AS k FROM (SELECT 'RAW' AS layer, profile, feature_order, value AS v FROM vectors WHERE value IS NOT NULL UNION ALL SELECT 'SIGN', profile, feature_order, CAST(sign(value) AS DOUBLE) FROM vectors WHERE value IS NOT NULL)")
+def _(spark, sf):
+    v = B.vectors(spark, sf).select("profile", "feature_id", "value")
+    layers = v.withColumn("layer", F.lit("RAW")).unionByName(v.withColumn("layer", F.lit("SIGN")).withColumn("value", F.signum("value")))
+    f = P.vector_equality_forensics(layers, B.vector_roster(spark, sf))
+    return f.select("layer", "a", "b", "matched", "exact_equal", "near_equal", r("max_abs"), r("mean_abs"), "same_support")
+
+
+@register("distance_confounding", """SELECT CASE WHEN a = 0 THEN b ELSE a END AS comparator, matched_features, matched_targets, round(support_jaccard, 6) AS support_jaccard, round(rms, 6) AS rms, round(spearman, 6) AS spearman,
+  k AS supported_features, round(k / 64.0, 6) AS feature_fraction FROM metrics JOIN sizes ON profile = CASE WHEN a = 0 THEN b ELSE a END WHERE a = 0 OR b = 0""", **PAIR_VIEWS)
+def _(spark, sf):
+    v = B.vectors(spark, sf)
+    o = N.orient_pairs(vector_metrics(spark, sf), 0)
+    c = P.distance_confounding(o, K.profile_coverage(v, B.vector_contract(spark, sf), "value"))
+    return c.select("comparator", "matched_features", "matched_targets", r("support_jaccard"), r("rms"), r("spearman"), "supported_features", r("feature_fraction"))
+
+
+# ---- calls
+
+_STATES = """SELECT v.profile, v.feature_id, CASE WHEN c.s1 THEN 1 WHEN v.value IS NOT NULL THEN 0 END AS call_alpha001, CASE WHEN c.s2 THEN 1 WHEN v.value IS NOT NULL THEN 0 END AS call_alpha0001,
+  CASE WHEN v.value IS NOT NULL THEN CASE WHEN c.s1 THEN v.value ELSE 0.0 END END AS score_alpha001
+FROM vectors v LEFT JOIN (SELECT profile, feature_id, bool_or(alpha > 0.0005) AS s1, bool_or(alpha < 0.0005) AS s2 FROM vector_calls GROUP BY 1, 2) c ON v.profile = c.profile AND v.feature_id = c.feature_id"""
+
+
+def states(spark, sf):
+    return K.call_states(B.vectors(spark, sf), B.vector_calls(spark, sf), B.vector_contract(spark, sf), B.vector_roster(spark, sf), "value")
+
+
+@register("call_states", "SELECT profile, feature_id, call_alpha001, call_alpha0001, round(score_alpha001, 6) AS score_alpha001 FROM st", st=_STATES)
+def _(spark, sf):
+    return states(spark, sf).select("profile", "feature_id", "call_alpha001", "call_alpha0001", r("score_alpha001"))
+
+
+@register("call_matrix_counts", "SELECT profile, count(*) FILTER (call_alpha001 = 1) AS called, count(*) FILTER (call_alpha001 = 0) AS tested_noncall, count(*) FILTER (call_alpha001 IS NULL) AS unsupported FROM st GROUP BY 1", st=_STATES)
+def _(spark, sf):
+    return K.call_matrix_counts(states(spark, sf), "call_alpha001")
+
+
+@register("sparse_call_matrix", "SELECT target, " + ", ".join(f"max(CASE WHEN tissue = 'u{i}' THEN s END) AS u{i}" for i in range(8)) + " FROM (SELECT target, tissue, round(sum(value), 6) AS s FROM vector_calls WHERE alpha > 0.0005 GROUP BY 1, 2) GROUP BY 1")
+def _(spark, sf):
+    sums = B.vector_calls(spark, sf).where("alpha > 0.0005").groupBy("target", "tissue").agg(F.round(F.sum("value"), 6).alias("s"))
+    return K.sparse_call_matrix(sums, "target", "tissue", "s", [f"u{i}" for i in range(8)])
+
+
+@register("profile_call_table", "SELECT s.profile, k AS n_tested, greatest(least(floor(0.1::DOUBLE * k)::BIGINT, k - 3), 0) AS rmax, c.feature_id, CAST(c.step AS BIGINT) AS call_rank, CASE WHEN c.feature_id IS NULL THEN 'NO_CALLS' ELSE 'CALLED' END AS call_status FROM sizes s LEFT JOIN (SELECT * FROM vector_calls WHERE alpha > 0.0005) c ON s.profile = c.profile", sizes=SIZES)
+def _(spark, sf):
+    v = B.vectors(spark, sf)
+    t = K.profile_call_table(B.vector_calls(spark, sf), B.vector_roster(spark, sf), K.tested_counts(v, "value"), 0.001)
+    return t.select("profile", "n_tested", "rmax", "feature_id", "call_rank", "call_status")
+
+
+@register("call_nesting", "SELECT profile, count(*) FILTER (l) AS loose_calls, count(*) FILTER (s) AS strict_calls, count(*) FILTER (s AND NOT l) AS not_nested FROM (SELECT profile, feature_id, bool_or(alpha > 0.0005) AS l, bool_or(alpha < 0.0005) AS s FROM vector_calls GROUP BY 1, 2) GROUP BY 1")
+def _(spark, sf):
+    return K.call_nesting(B.vector_calls(spark, sf), 0.001, 0.0001)
+
+
+@register("combined_call_table", "SELECT l.profile, l.feature_id, s.feature_id IS NOT NULL AS retained_at_strict FROM (SELECT * FROM vector_calls WHERE alpha > 0.0005) l LEFT JOIN (SELECT * FROM vector_calls WHERE alpha < 0.0005) s ON l.profile = s.profile AND l.feature_id = s.feature_id")
+def _(spark, sf):
+    return K.combined_call_table(B.vector_calls(spark, sf), 0.001, 0.0001).select("profile", "feature_id", "retained_at_strict")
+
+
+@register("called_set_membership", "SELECT profile, feature_id, EXISTS (SELECT 1 FROM vector_calls c WHERE c.profile = v.profile AND c.feature_id = v.feature_id) AS called FROM vectors v")
+def _(spark, sf):
+    v = B.vectors(spark, sf).select("profile", "feature_id")
+    return K.called_set_membership(v, B.vector_calls(spark, sf), ["profile", "feature_id"], "called")
+
+
+_LC = "SELECT DISTINCT profile, feature_id, target, tissue FROM vector_calls WHERE alpha > 0.0005"
+
+
+@register("call_partition", """SELECT comparator, feature_id, call_status, target, tissue FROM (
+  SELECT o.profile AS comparator, o.feature_id, CASE WHEN q.feature_id IS NULL THEN 'COMPARATOR_ONLY' ELSE 'SHARED' END AS call_status FROM lc o LEFT JOIN lc q ON o.feature_id = q.feature_id AND q.profile = 2 WHERE o.profile <> 2
+  UNION ALL SELECT p.profile, q.feature_id, 'QUERY_ONLY' FROM (SELECT DISTINCT profile FROM lc WHERE profile <> 2) p, lc q WHERE q.profile = 2 AND NOT EXISTS (SELECT 1 FROM lc z WHERE z.profile = p.profile AND z.feature_id = q.feature_id))
+  JOIN vector_contract USING (feature_id)""", lc=_LC)
+def _(spark, sf):
+    calls = B.vector_calls(spark, sf).where("alpha > 0.0005")
+    return K.call_partition(calls, 2, B.vector_contract(spark, sf)).select("comparator", "feature_id", "call_status", "target", "tissue")
+
+
+@register("support_summary", "SELECT s.profile AS comparator, coalesce(n, 0) AS shared_features, q.k + s.k - coalesce(n, 0) AS union_features, q.k - coalesce(n, 0) AS query_only_features, s.k - coalesce(n, 0) AS comparator_only_features FROM sizes s JOIN sizes q ON q.profile = 0 LEFT JOIN (SELECT b, count(*) AS n FROM matched WHERE a = 0 GROUP BY 1) m ON m.b = s.profile WHERE s.profile <> 0", sizes=SIZES, matched=MATCHED)
+def _(spark, sf):
+    return K.support_summary(B.vectors(spark, sf), 0, "value")
+
+
+@register("scope_exclusive_calls", "SELECT profile, feature_id FROM vector_calls w WHERE alpha > 0.0005 AND NOT EXISTS (SELECT 1 FROM vector_calls n WHERE n.alpha < 0.0005 AND n.profile = w.profile AND n.feature_id = w.feature_id)")
+def _(spark, sf):
+    c = B.vector_calls(spark, sf)
+    return K.scope_exclusive_calls(c.where("alpha > 0.0005"), c.where("alpha < 0.0005"), ["profile", "feature_id"]).select("profile", "feature_id")
+
+
+@register("key_set_equality", "SELECT count(*) FILTER (na > 0) AS keys_a, count(*) FILTER (nb > 0) AS keys_b, count(*) FILTER (nb = 0) AS only_a, count(*) FILTER (na = 0) AS only_b, count(*) FILTER (na > 1 OR nb > 1) AS duplicated, bool_and(na > 0 AND nb > 0) AS equal, bool_and(nb > 0) AS a_subset_of_b FROM (SELECT feature_id, sum(x) AS na, sum(y) AS nb FROM (SELECT feature_id, 1 AS x, 0 AS y FROM contract UNION ALL SELECT feature_id, 0, 1 FROM (SELECT DISTINCT feature_id FROM profile_calls)) GROUP BY 1)")
+def _(spark, sf):
+    from ..operators import outliers as O
+
+    calls = O.gesd_calls(B.profiles(spark, sf), "profile", "score", "feature_order").select("feature_id").distinct()
+    return K.key_set_equality(B.contract(spark, sf), calls, ["feature_id"])
+
+
+@register("profiles_union", "SELECT profile_key, feature_id, lane, round(score, 6) AS score, round(raw, 6) AS raw FROM (SELECT profile AS profile_key, feature_id, 'SCORES' AS lane, score, NULL AS raw FROM profiles UNION ALL SELECT CAST(profile AS VARCHAR), feature_id, 'VECTORS', NULL, value FROM vectors)")
+def _(spark, sf):
+    a = B.profiles(spark, sf).select(C("profile").alias("profile_key"), "feature_id", F.lit("SCORES").alias("lane"), "score")
+    b = B.vectors(spark, sf).select(C("profile").cast("string").alias("profile_key"), "feature_id", F.lit("VECTORS").alias("lane"), C("value").alias("raw"))
+    return K.profiles_union(a, b).select("profile_key", "feature_id", "lane", r("score"), r("raw"))
+
+
+@register("replace_by_id", "SELECT p_partkey, p_name, 'OLD' AS origin FROM part WHERE p_size % 5 <> 0 UNION ALL SELECT p_partkey, upper(p_name), 'NEW' FROM part WHERE p_size % 5 = 0")
+def _(spark, sf):
+    p = B.table(spark, sf, "part")
+    old = p.select("p_partkey", "p_name", F.lit("OLD").alias("origin"))
+    new = p.where("p_size % 5 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), F.lit("NEW").alias("origin"))
+    return K.replace_by_id(old, new, "p_partkey")
+
+
+@register("scope_reconciliation", """SELECT n.profile, n.feature_id, CASE WHEN v.value IS NULL THEN 'MISSING' WHEN abs(n.v - v.value) <= 1e-10 THEN 'HR_MATCH' ELSE 'HR_DIFFERENCE' END AS scope_status, w.feature_id IS NOT NULL AS called_in_wide
+FROM (SELECT profile, feature_id, CASE WHEN feature_order % 5 = 0 THEN value + 1 ELSE value END AS v FROM vector_calls WHERE alpha > 0.0005) n
+LEFT JOIN (SELECT * FROM vectors WHERE feature_order % 7 <> 0) v ON n.profile = v.profile AND n.feature_id = v.feature_id LEFT JOIN (SELECT DISTINCT profile, feature_id FROM vector_calls WHERE alpha < 0.0005) w ON n.profile = w.profile AND n.feature_id = w.feature_id""")
+def _(spark, sf):
+    c = B.vector_calls(spark, sf)
+    narrow = c.where("alpha > 0.0005").select("profile", "feature_id", F.when(C("feature_order") % 5 == 0, C("value") + 1).otherwise(C("value")).alias("value"))
+    out = K.scope_reconciliation(narrow, c.where("alpha < 0.0005"), B.vectors(spark, sf).where("feature_order % 7 <> 0"), ["profile", "feature_id"])
+    return out.select("profile", "feature_id", "scope_status", "called_in_wide")
+
+
+@register("tissue_class_counts", "SELECT CASE WHEN tissue IN ('u0', 'u1', 'u2') THEN 'CNS' WHEN tissue = 'u7' THEN 'UNCLASSIFIED' ELSE 'PERIPHERAL' END AS tissue_class, count(*) AS calls, count(DISTINCT target) AS targets, count(DISTINCT tissue) AS tissues, count(*) FILTER (kept) AS retained_calls FROM (SELECT l.*, EXISTS (SELECT 1 FROM vector_calls s WHERE s.alpha < 0.0005 AND s.profile = l.profile AND s.feature_id = l.feature_id) AS kept FROM vector_calls l WHERE alpha > 0.0005) GROUP BY 1")
+def _(spark, sf):
+    c = K.combined_call_table(B.vector_calls(spark, sf), 0.001, 0.0001)
+    cls = spark.createDataFrame([(f"u{i}", "CNS" if i < 3 else "PERIPHERAL") for i in range(7)], "tissue string, tissue_class string")
+    return K.tissue_class_counts(c, F.broadcast(cls), "retained_at_strict")
+
+
+@register("axis_order", "SELECT target, round(m, 6) AS max_value, row_number() OVER (ORDER BY m DESC, target) AS axis_rank FROM (SELECT target, max(value) AS m FROM vector_calls GROUP BY 1)")
+def _(spark, sf):
+    return K.axis_order(B.vector_calls(spark, sf), "target", "value").select("target", r("max_value"), "axis_rank")
+
+
+@register("rank_of_calls_shown", "SELECT profile, alpha, feature_id, CAST(step AS BIGINT) AS call_rank, true AS consecutive FROM profile_calls WHERE step <= 10")
+def _(spark, sf):
+    from ..operators import outliers as O
+
+    calls = O.gesd_calls(B.profiles(spark, sf), "profile", "score", "feature_order")
+    return K.rank_of_calls_shown(calls, 10).select("profile", "alpha", "feature_id", "call_rank", "consecutive")
+
+
+@register("robust_bound", "SELECT profile, round(CASE WHEN b > 0 THEN b ELSE 1 END, 6) AS bound FROM (SELECT profile, quantile_cont(abs(value), 0.99) AS b FROM vectors WHERE value IS NOT NULL GROUP BY 1)")
+def _(spark, sf):
+    return K.robust_bound(B.vectors(spark, sf), "profile", "value").select("profile", r("bound"))
+
+
+@register("profile_coverage", "SELECT profile, count(score) AS supported_features, (SELECT count(*) FROM contract) AS total_features, count(DISTINCT CASE WHEN score IS NOT NULL THEN target END) AS supported_targets, (SELECT count(DISTINCT target) FROM contract) AS total_targets, round(count(score) / (SELECT count(*) FROM contract), 6) AS feature_fraction FROM profiles GROUP BY 1")
+def _(spark, sf):
+    c = K.profile_coverage(B.profiles(spark, sf), B.contract(spark, sf), "score")
+    return c.select("profile", "supported_features", "total_features", "supported_targets", "total_targets", r("feature_fraction"))
