@@ -340,7 +340,8 @@ def explicit_marker(df: DataFrame, value_col: str, cols: list[str], out: str = "
     staged = df.withColumn("_marks", F.filter(F.array(*marks), lambda x: x.isNotNull()))
     classes = F.array_distinct(F.filter(F.transform("_marks", lambda m: S.relation_class(m)), lambda c: c != "UNKNOWN"))
     staged = staged.withColumn("_classes", classes)
-    symbol = F.coalesce(*[F.when(F.exists("_marks", lambda m, s=s: m.contains(s)), s) for s in (">=", "<=", ">", "<", "=")], F.col("_marks")[0])
+    together = F.array_join("_marks", " ")
+    symbol = F.coalesce(*[F.when(together.contains(s), s) for s in (">=", "<=", ">", "<", "=")], F.get("_marks", F.lit(0)))
     return staged.withColumn(out, F.when(F.size("_classes") > 1, "CONFLICT").when(F.size("_classes") == 1, symbol).otherwise("")).drop("_marks", "_classes")
 
 

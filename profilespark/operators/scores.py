@@ -18,15 +18,15 @@ def zscore_within(df: DataFrame, group: str, value: str, out: str, ddof: int = 1
     n, sd = F.count("_x"), F.stddev_samp("_x")
     scale = sd if ddof == 1 else F.sqrt(F.try_divide(F.var_pop("_x") * n, n - F.lit(ddof)))
     stats = (
-        df.select(F.col(group).alias("_g"), x.alias("_x"))
-        .groupBy("_g")
+        df.select(F.col(group).alias("_zgroup"), x.alias("_x"))
+        .groupBy("_zgroup")
         .agg(
-            F.avg("_x").alias("_mean"),
-            F.when((n > ddof) & (F.max("_x") > F.min("_x")), scale).alias("_sd"),
+            F.avg("_x").alias("_zmean"),
+            F.when((n > ddof) & (F.max("_x") > F.min("_x")), scale).alias("_zsd"),
         )
     )
-    joined = df.join(stats, F.col(group).eqNullSafe(F.col("_g")), "left")
-    return joined.withColumn(out, F.try_divide(x - F.col("_mean"), F.col("_sd"))).drop("_g", "_mean", "_sd")
+    joined = df.join(stats, F.col(group).eqNullSafe(F.col("_zgroup")), "left")
+    return joined.withColumn(out, F.try_divide(x - F.col("_zmean"), F.col("_zsd"))).drop("_zgroup", "_zmean", "_zsd")
 
 
 def derive_z_from_ratio(df: DataFrame, score: str, strength: str, out: str) -> DataFrame:

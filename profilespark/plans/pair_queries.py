@@ -225,6 +225,9 @@ def _(spark, sf):
     return c.select("comparator", "matched_features", "matched_targets", r("support_jaccard"), r("rms"), r("spearman"), "supported_features", r("feature_fraction"))
 
 
+QC = 134  # a vector with calls at every scale; the query of the call comparisons
+
+
 # ---- calls
 
 _STATES = """SELECT v.profile, v.feature_id, CASE WHEN c.s1 THEN 1 WHEN v.value IS NOT NULL THEN 0 END AS call_alpha001, CASE WHEN c.s2 THEN 1 WHEN v.value IS NOT NULL THEN 0 END AS call_alpha0001,
@@ -278,13 +281,13 @@ def _(spark, sf):
 _LC = "SELECT DISTINCT profile, feature_id, target, tissue FROM vector_calls WHERE alpha > 0.0005"
 
 
-@register("call_partition", """SELECT comparator, feature_id, call_status, target, tissue FROM (
-  SELECT o.profile AS comparator, o.feature_id, CASE WHEN q.feature_id IS NULL THEN 'COMPARATOR_ONLY' ELSE 'SHARED' END AS call_status FROM lc o LEFT JOIN lc q ON o.feature_id = q.feature_id AND q.profile = 2 WHERE o.profile <> 2
-  UNION ALL SELECT p.profile, q.feature_id, 'QUERY_ONLY' FROM (SELECT DISTINCT profile FROM lc WHERE profile <> 2) p, lc q WHERE q.profile = 2 AND NOT EXISTS (SELECT 1 FROM lc z WHERE z.profile = p.profile AND z.feature_id = q.feature_id))
+@register("call_partition", f"""SELECT comparator, feature_id, call_status, target, tissue FROM (
+  SELECT o.profile AS comparator, o.feature_id, CASE WHEN q.feature_id IS NULL THEN 'COMPARATOR_ONLY' ELSE 'SHARED' END AS call_status FROM lc o LEFT JOIN lc q ON o.feature_id = q.feature_id AND q.profile = {QC} WHERE o.profile <> {QC}
+  UNION ALL SELECT p.profile, q.feature_id, 'QUERY_ONLY' FROM (SELECT DISTINCT profile FROM lc WHERE profile <> {QC}) p, lc q WHERE q.profile = {QC} AND NOT EXISTS (SELECT 1 FROM lc z WHERE z.profile = p.profile AND z.feature_id = q.feature_id))
   JOIN vector_contract USING (feature_id)""", lc=_LC)
 def _(spark, sf):
     calls = B.vector_calls(spark, sf).where("alpha > 0.0005")
-    return K.call_partition(calls, 2, B.vector_contract(spark, sf)).select("comparator", "feature_id", "call_status", "target", "tissue")
+    return K.call_partition(calls, QC, B.vector_contract(spark, sf)).select("comparator", "feature_id", "call_status", "target", "tissue")
 
 
 @register("support_summary", "SELECT s.profile AS comparator, coalesce(n, 0) AS shared_features, q.k + s.k - coalesce(n, 0) AS union_features, q.k - coalesce(n, 0) AS query_only_features, s.k - coalesce(n, 0) AS comparator_only_features FROM sizes s JOIN sizes q ON q.profile = 0 LEFT JOIN (SELECT b, count(*) AS n FROM matched WHERE a = 0 GROUP BY 1) m ON m.b = s.profile WHERE s.profile <> 0", sizes=SIZES, matched=MATCHED)
