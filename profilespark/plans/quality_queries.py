@@ -1 +1,131 @@
-"""Filled below."""
+"""Contracts and audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import calls as K
+from ..operators import quality as G
+from . import bindings as B
+from .class_queries import _MAPK, MAPPED, mapped
+from .pair_queries import _STATES, PAIR_VIEWS, _fp_views, _fingerprint, states, vector_metrics
+from .register import r, register
+
+C = F.col
+
+
+def _check(i, ok, obs, exp):
+    return f"SELECT '{i}' AS check_id, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS status, coalesce(CAST({obs} AS VARCHAR), '') AS observed, '{exp}' AS expected FROM base"
+
+
+def _checks(*items):
+    return " UNION ALL ".join(_check(*i) for i in items)
+
+
+@register("panel_contract", _checks(("TARGET_COUNT", "t = 150", "t", 150), ("TISSUE_COUNT", "u = 25", "u", 25), ("UNIQUE_COORDINATES", "d = 0", "d", 0), ("ROW_COUNT", "n = 3750", "n", 3750), ("FINITE_VALUES", "b = 0", "b", 0)),
+          base="SELECT count(DISTINCT target) AS t, count(DISTINCT tissue) AS u, sum(n) AS n, count(*) FILTER (n > 1) AS d, sum(bad) AS b FROM (SELECT target, tissue, count(*) AS n, count(*) FILTER (z IS NULL) AS bad FROM expression_z GROUP BY 1, 2)")
+def _(spark, sf):
+    return G.panel_contract(B.expression_z(spark, sf), 150, 25, "target", "tissue", "z")
+
+
+@register("pairwise_contract", _checks(("PAIR_COUNT", "n = 124750", "n", 124750), ("NO_SELF_PAIRS", "s = 0", "s", 0), ("UNORDERED_KEYS_UNIQUE", "d = 0", "d", 0), ("COSINE_BOUNDS", "c = 0", "c", 0), ("PEARSON_BOUNDS", "p = 0", "p", 0), ("SPEARMAN_BOUNDS", "sp = 0", "sp", 0), ("SUPPORT_JACCARD_BOUNDS", "j = 0", "j", 0)),
+          base="SELECT count(*) AS n, count(*) FILTER (a = b) AS s, count(*) - count(DISTINCT (least(a, b), greatest(a, b))) AS d, count(*) FILTER (abs(cosine) > 1.0000001) AS c, count(*) FILTER (abs(pearson) > 1.0000001) AS p, count(*) FILTER (abs(spearman) > 1.0000001) AS sp, count(*) FILTER (support_jaccard < -1e-12 OR support_jaccard > 1 + 1e-12) AS j FROM metrics", **PAIR_VIEWS)
+def _(spark, sf):
+    return G.pairwise_contract(vector_metrics(spark, sf), 124750)
+
+
+@register("metric_arithmetic", _checks(("CALL_INTERSECTION_LE_UNION", "le = 0", "le", 0), ("CALL_JACCARD_ARITHMETIC", "eq = 0", "eq", 0)),
+          base="SELECT count(*) FILTER (shared_calls > union_calls) AS le, count(*) FILTER (abs(call_jaccard - CASE WHEN union_calls > 0 THEN shared_calls / union_calls ELSE 1 END) > 1e-12) AS eq FROM fp", **_fp_views(0.001))
+def _(spark, sf):
+    return G.metric_arithmetic(_fingerprint(spark, sf, 0.001, ids=False))
+
+
+@register("matrix_symmetry", _checks(("SYMMETRY", "g <= 1e-12", "CASE WHEN g <= 1e-12 THEN 0 ELSE 1 END", 0), ("DIAGONAL", "d <= 1e-12", "CASE WHEN d <= 1e-12 THEN 0 ELSE 1 END", 0)),
+          base="SELECT coalesce(max(abs(m.value - t.value)), 0) AS g, coalesce(max(CASE WHEN m.a = m.b THEN abs(m.value) END), 0) AS d FROM mat m JOIN mat t ON m.a = t.b AND m.b = t.a", mat="SELECT a, b, rms AS value FROM metrics UNION ALL SELECT b, a, rms FROM metrics UNION ALL SELECT profile, profile, 0.0::DOUBLE FROM vector_roster", **PAIR_VIEWS)
+def _(spark, sf):
+    from ..operators import pairs as P
+
+    return G.matrix_symmetry(P.metric_matrix(vector_metrics(spark, sf), "rms", B.vector_roster(spark, sf)), 0.0)
+
+
+@register("frame_regression", "SELECT 'value' AS \"column\", 0 AS unmatched_rows, count(*) FILTER (feature_order = 5 AND value IS NOT NULL) AS null_mismatches, 0 AS text_mismatches, 0.25::DOUBLE AS max_delta, 'FAIL' AS status FROM vectors UNION ALL SELECT 'tissue', 0, 0, count(*) FILTER (feature_order = 6), NULL, 'FAIL' FROM vectors UNION ALL SELECT 'target', 0, 0, 0, NULL, 'PASS'")
+def _(spark, sf):
+    v = B.vectors(spark, sf).select("profile", "feature_id", "feature_order", "value", "tissue", "target")
+    o = v.withColumn("value", F.when(C("feature_order") == 5, None).when(C("feature_order") == 8, C("value") + 0.25).otherwise(C("value"))).withColumn("tissue", F.when(C("feature_order") == 6, "changed").otherwise(C("tissue")))
+    out = G.frame_regression(o.drop("feature_order"), v.drop("feature_order"), ["profile", "feature_id"])
+    return out.select("column", "unmatched_rows", "null_mismatches", "text_mismatches", F.round("max_delta", 6).alias("max_delta"), "status")
+
+
+@register("call_semantics", _checks(("CALL_ALPHA001_VALUES", "b1 = 0", "b1", 0), ("CALL_ALPHA001_UNTESTED_KEPT", "n1 > 0", "n1", ">0"), ("CALL_ALPHA0001_VALUES", "b2 = 0", "b2", 0), ("CALL_ALPHA0001_UNTESTED_KEPT", "n2 > 0", "n2", ">0")),
+          base="SELECT count(*) FILTER (call_alpha001 NOT IN (0, 1)) AS b1, count(*) FILTER (call_alpha001 IS NULL) AS n1, count(*) FILTER (call_alpha0001 NOT IN (0, 1)) AS b2, count(*) FILTER (call_alpha0001 IS NULL) AS n2 FROM st", st=_STATES)
+def _(spark, sf):
+    return G.call_semantics(states(spark, sf), ["call_alpha001", "call_alpha0001"])
+
+
+# ---- exchange records built from the vector cells, with rule breakers at fixed places
+
+def records(spark, sf):
+    v = B.vectors(spark, sf)
+    i = C("record_no")
+    base = v.select((C("profile") * 64 + C("feature_order") + 1).alias("record_no"), "profile", "target", "tissue", "value")
+    has = C("value").isNotNull()
+    return base.select(
+        "record_no", F.when(i % 997 == 1, "ghost").otherwise(F.concat(F.lit("P"), C("profile").cast("string"))).alias("profile_id"), F.when(i % 991 == 2, "bad").otherwise(F.concat(F.lit("src"), C("profile").cast("string"))).alias("source_profile_id"),
+        F.when(i % 983 == 3, "t99").otherwise(C("target")).alias("target_id"), F.when(i % 977 == 4, "u0").otherwise(C("tissue")).alias("tissue_id"), F.when(i % 971 == 5, "other").otherwise("DS").alias("expression_dataset_id"),
+        F.when(i % 967 == 6, float("nan")).when(has | (i % 953 == 7), F.coalesce("value", F.lit(0.0))).alias("hr_score"), F.when(has & (i % 947 != 8), C("value") > 1).when(i % 941 == 9, False).alias("fingerprint_member"),
+        F.when(has, "supported").when(i % 3 == 0, "untested").otherwise("unsupported").alias("support_status"), F.when(i % 937 == 10, 0.05).otherwise(0.001).alias("gesd_alpha"), F.lit("a.csv").alias("source_artifact"), i.alias("source_row"))
+
+
+_REC = """SELECT i AS record_no, CASE WHEN i % 997 = 1 THEN 'ghost' ELSE 'P' || profile END AS pid, CASE WHEN i % 991 = 2 THEN 'bad' ELSE 'src' || profile END AS spid, CASE WHEN i % 983 = 3 THEN 't99' ELSE target END AS tid, CASE WHEN i % 977 = 4 THEN 'u0' ELSE tissue END AS uid,
+  CASE WHEN i % 971 = 5 THEN 'other' ELSE 'DS' END AS ds, i % 967 = 6 AS isnan_, i % 967 = 6 OR value IS NOT NULL OR i % 953 = 7 AS has_hr, CASE WHEN value IS NOT NULL AND i % 947 <> 8 THEN value > 1 WHEN i % 941 = 9 THEN false END AS member,
+  CASE WHEN value IS NOT NULL THEN 'supported' WHEN i % 3 = 0 THEN 'untested' ELSE 'unsupported' END AS st, CASE WHEN i % 937 = 10 THEN 0.05 ELSE 0.001 END AS al, profile FROM (SELECT *, profile * 64 + feature_order + 1 AS i FROM vectors)"""
+
+
+@register("record_bundle_contract", """SELECT record_no, violation FROM (SELECT record_no, unnest([CASE WHEN pid = 'ghost' THEN 'UNKNOWN_PROFILE' END, CASE WHEN tid = 't99' THEN 'UNKNOWN_TARGET' END, CASE WHEN pid <> 'ghost' AND spid = 'bad' THEN 'SOURCE_PROFILE_MISMATCH' END, CASE WHEN ds = 'other' OR al > 0.01 THEN 'OUT_OF_SCOPE' END, CASE WHEN record_no > 30000 THEN 'UNDECLARED_SOURCE_ROW' END,
+  CASE WHEN rk > 1 THEN 'DUPLICATE_COORDINATE' END, CASE WHEN isnan_ THEN 'NONFINITE_SCORE' END, CASE WHEN st = 'supported' AND (NOT has_hr OR member IS NULL) THEN 'SUPPORTED_WITHOUT_VALUES' END, CASE WHEN st = 'unsupported' AND (has_hr OR member IS NOT NULL) THEN 'UNSUPPORTED_WITH_VALUES' END, CASE WHEN st = 'untested' AND member IS NOT NULL THEN 'UNTESTED_WITH_MEMBERSHIP' END]) AS violation
+  FROM (SELECT *, row_number() OVER (PARTITION BY pid, tid, uid, ds, al ORDER BY record_no) AS rk FROM rec)) WHERE violation IS NOT NULL""", rec=_REC)
+def _(spark, sf):
+    prof = B.vector_roster(spark, sf).select(F.concat(F.lit("P"), C("profile").cast("string")).alias("id"), F.concat(F.lit("src"), C("profile").cast("string")).alias("source_id"))
+    con = B.vector_contract(spark, sf)
+    art = spark.createDataFrame([("a.csv", 30000)], "path string, record_count long")
+    return G.record_bundle_contract(records(spark, sf), prof, con.select(C("target").alias("id")).distinct(), con.select(C("tissue").alias("id")).distinct(), ["DS"], [0.001], art)
+
+
+@register("registry_unique", "SELECT 'DUPLICATE_ID' AS violation, p_name AS value, count(*) AS n FROM part GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'MANY_TO_ONE_SOURCE', p_brand || p_size, count(*) FROM part GROUP BY 2 HAVING count(*) > 1")
+def _(spark, sf):
+    p = B.table(spark, sf, "part").select(C("p_name").alias("id"), F.concat("p_brand", C("p_size").cast("string")).alias("source_id"))
+    return G.registry_unique(p)
+
+
+@register("availability_audit", """SELECT x.profile, coalesce(k, 0) AS supported_features, coalesce(t, 0) AS supported_targets, CASE WHEN coalesce(k, 0) = 0 THEN 'STATUS_ONLY' WHEN k < 20 OR t < 2 THEN 'NUMERICAL_PARTIAL' ELSE 'NUMERICAL_READY' END AS numerical_status, coalesce(k, 0) > 0 AS eligible_continuous, coalesce(k, 0) > 0 AND c.profile IS NOT NULL AS eligible_fingerprint,
+  CASE WHEN coalesce(k, 0) = 0 OR k < 20 OR t < 2 THEN 'PASS_WITH_LIMITATION' ELSE 'PASS' END AS qa_status
+FROM (SELECT vec_id AS profile FROM embeddings UNION ALL SELECT vec_id + 1000000 FROM embeddings WHERE label = 0) x LEFT JOIN (SELECT profile, count(value) AS k, count(DISTINCT CASE WHEN value IS NOT NULL THEN target END) AS t FROM vectors WHERE label <> 5 OR feature_order < 8 GROUP BY 1) v ON v.profile = x.profile LEFT JOIN (SELECT DISTINCT profile FROM vector_calls) c ON c.profile = x.profile""")
+def _(spark, sf):
+    v = B.vectors(spark, sf).where("label <> 5 or feature_order < 8")
+    roster = B.vector_roster(spark, sf).select("profile").unionByName(B.table(spark, sf, "embeddings").where("label = 0").select((C("vec_id") + 1000000).alias("profile")))
+    a = G.availability_audit(roster, v, "value", "value", B.vector_calls(spark, sf))
+    return a.drop("raw_features")
+
+
+@register("common_scale_audit", _checks(("ROWS_ACCOUNTED", "k + o = n", "k + o", "X"), ("EXCLUDED_NOT_FILLED", "f = 0", "f", 0), ("COMPATIBLE_ROWS", "k > 0", "k", ">0"), ("EXCLUDED_TARGETS", "true", "t", "reported")).replace("'X' AS expected", "CAST(n AS VARCHAR) AS expected"),
+          base="SELECT count(*) AS n, count(*) FILTER (ok) AS k, count(*) FILTER (NOT ok) AS o, count(*) FILTER (NOT ok AND common_value IS NOT NULL) AS f, count(DISTINCT CASE WHEN NOT ok THEN target END) AS t FROM mapped", mapk=_MAPK, mapped=MAPPED)
+def _(spark, sf):
+    return G.common_scale_audit(mapped(spark, sf), "target")
+
+
+@register("overall_status", "SELECT count(*) AS checks, count(*) FILTER (s = 'FAIL') AS failed, CASE WHEN bool_or(s = 'FAIL') THEN 'FAIL' WHEN bool_or(s = 'PASS_WITH_LIMITATION') THEN 'PASS_WITH_DOCUMENTED_LIMITATIONS' ELSE 'PASS' END AS overall FROM (SELECT CASE WHEN count(value) < 52 THEN 'PASS_WITH_LIMITATION' ELSE 'PASS' END AS s FROM vectors GROUP BY profile)")
+def _(spark, sf):
+    per = B.vectors(spark, sf).groupBy("profile").agg(F.when(F.count("value") < 52, "PASS_WITH_LIMITATION").otherwise("PASS").alias("status"))
+    return G.overall_status(per)
+
+
+@register("call_count_regression", "SELECT x.profile, coalesce(n, 0) AS pair_min, coalesce(n, 0) AS pair_max, coalesce(n, 0) AS called, 'PASS' AS status FROM vector_roster x LEFT JOIN (SELECT profile, count(*) AS n FROM vector_calls WHERE alpha > 0.0005 GROUP BY 1) c ON c.profile = x.profile")
+def _(spark, sf):
+    return G.call_count_regression(_fingerprint(spark, sf, 0.001, ids=False), B.vector_calls(spark, sf).where("alpha > 0.0005"))
+
+
+@register("coverage_expectation", "SELECT profile, k AS supported_features, 8 AS supported_targets, CASE WHEN profile % 3 <> 0 THEN 51 END AS expected_features, CASE WHEN profile % 3 <> 0 THEN 8 END AS expected_targets, CASE WHEN profile % 3 <> 0 AND k <> 51 THEN 'FAIL' ELSE 'PASS' END AS status FROM (SELECT profile, count(value) AS k FROM vectors GROUP BY 1)")
+def _(spark, sf):
+    cov = K.profile_coverage(B.vectors(spark, sf), B.vector_contract(spark, sf), "value")
+    exp = B.vector_roster(spark, sf).where("profile % 3 <> 0").select("profile", F.lit(51).cast("long").alias("expected_features"), F.lit(8).cast("long").alias("expected_targets"))
+    return G.coverage_expectation(cov, exp)

@@ -63,16 +63,23 @@ def roundtrip_equivalence(a: DataFrame, b: DataFrame, keys: list[str], values: l
     return out.withColumn("equal", (F.col("unmatched") == 0) & (F.col("null_mismatches") == 0) & (F.col("max_delta") <= tol))
 
 
-def json_records_scan(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
-    """A JSON array of exchange records; a record that does not fit the schema stops the read."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def json_records_scan(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """JSON arrays of exchange records; a record that does not fit the schema stops the read.
 
+    ``multi_line`` reads each file as one array. Files of ``json_records_write`` hold one array per line and are split.
+    """
+    return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
 
-def json_records_export(calls: DataFrame, dataset: str, artifact: str, order: list[str]) -> DataFrame:
-    """Call rows as exchange records (one JSON text each, fields in schema order) with their row number in the artifact.
 
-    Row numbers come from a range sort and per-partition offsets, not from one global window.
-    """
+def json_records_write(records: DataFrame, path: str, chunk: int = 10_000) -> None:
+    """Exported records as arrays of at most ``chunk``, one array per line."""
+    block = F.floor((F.col("source_row") - 1) / chunk).alias("_block")
+    arrays = records.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("source_row", "record"))).alias("_l"))
+    arrays.select(F.concat(F.lit("["), F.array_join("_l.record", ","), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+
+
+def json_records_export(calls: DataFrame, dataset: str, artifact: str, order: list[str]) -> DataFrame:
+    """Call rows as exchange records (one JSON text each, fields in schema order) with their row number in the artifact."""
     numbered = row_numbers(calls, order, "source_row")
     rec = F.struct(
         F.col("profile").cast("string").alias("profile_id"), F.col("profile").cast("string").alias("source_profile_id"), F.col("target").alias("target_id"),
@@ -81,18 +88,17 @@ def json_records_export(calls: DataFrame, dataset: str, artifact: str, order: li
     return numbered.select("source_row", F.to_json(rec).alias("record"))
 
 
-def row_numbers(df: DataFrame, order: list[str], out: str, buckets: int = 64) -> DataFrame:
-    """1-based position in ``order`` without ordering everything in one task.
+def row_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """1-based position in ``order`` (first by the text of the leading column) without sorting all rows in one task.
 
-    Rows fall into buckets by the first order column (any cut points do, equal values stay together); a row's number is its
-    place in its bucket plus the rows of the buckets before.
+    Rows are numbered inside each value of the leading column and shifted by the number of rows before that value; the
+    shift is a running sum over the distinct leading values only (a roster).
     """
     from pyspark.sql import Window as W
 
-    first = order[0]
-    cuts = df.select(F.col(first).cast("string").alias("_f")).groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
-    # distinct leading values carry the counts; offsets are a running sum over them, bucketed by hash-free order
-    totals = cuts.withColumn("_before", F.sum("_n").over(W.orderBy("_f").rowsBetween(W.unboundedPreceding, -1)))
-    w = W.partitionBy(F.col(first).cast("string")).orderBy(*order)
-    placed = df.withColumn("_rn", F.row_number().over(w)).withColumn("_f", F.col(first).cast("string"))
-    return placed.join(totals.drop("_n"), "_f").withColumn(out, (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_rn", "_f", "_before")
+    lead = F.col(order[0]).cast("string")
+    sizes = df.groupBy(lead.alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
+    shifts = sizes.select("_f", F.coalesce(F.sum("_n").over(W.orderBy("_f").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    w = W.partitionBy("_f").orderBy(*order)
+    placed = df.withColumn("_f", lead).withColumn("_rn", F.row_number().over(w))
+    return placed.join(shifts, "_f").withColumn(out, (F.col("_rn") + F.col("_shift")).cast("long")).drop("_rn", "_f", "_shift")
