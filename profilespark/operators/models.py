@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut
 from .calls import alpha_name
 from .pairs import target_level_mean
 
@@ -26,8 +26,7 @@ REFRESH = 10
 
 def _spread(df: DataFrame, rows: int, width: int) -> DataFrame:
     """Row vectors in tasks of about ``CELLS_PER_TASK`` cells, written to the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.repartition(max(1, -(-rows * width // CELLS_PER_TASK))).checkpoint()
+    return cut(df.repartition(max(1, -(-rows * width // CELLS_PER_TASK))))
 
 
 def usable_features(cells: DataFrame, value: str, min_observed: int, complete: bool) -> DataFrame:
@@ -291,7 +290,7 @@ def _store(rows: _Rows, widths, start, history) -> DataFrame:
             yield pd.concat(out) if out else pdf
 
     schema = f"grp {rows.grp_type}, key {rows.key_type}, pos array<int>, val array<double>, fill array<double>"
-    return rows.frame.mapInPandas(keep, schema).checkpoint()
+    return cut(rows.frame.mapInPandas(keep, schema))
 
 
 def _tables(rows: _Rows, widths, start, history, fits, k):
@@ -320,7 +319,7 @@ def _tables(rows: _Rows, widths, start, history, fits, k):
                 yield pd.DataFrame(d)
 
     schema = f"grp {rows.grp_type}, key {rows.key_type}, " + ", ".join(f"{c} double" for c in comps) + ", row_mean double, sq double, n_obs long"
-    far = rows.frame.mapInPandas(project, schema).checkpoint() if widths else spark.createDataFrame([], schema)
+    far = cut(rows.frame.mapInPandas(project, schema)) if widths else spark.createDataFrame([], schema)
     rmse = {r["grp"]: float(np.sqrt(r["s"] / r["n"])) for r in far.groupBy("grp").agg(F.sum("sq").alias("s"), F.sum("n_obs").alias("n")).collect() if r["n"]}
     near = []
     for g in widths:
@@ -422,8 +421,8 @@ def complete_distance_subset(pairs: DataFrame, coverage: DataFrame, metric: str)
     ``coverage``: profile, coverage.
     """
     spark = pairs.sparkSession
-    ensure_checkpoint_dir(spark)
-    edges = pairs.where(F.col(metric).isNull()).select("a", "b").checkpoint()
+    edges = cut(pairs.where(F.col(metric).isNull()).select("a", "b"))
+    coverage = cut(coverage)
     left, out = coverage.count(), []
     while left >= 3:
         ends = edges.select(F.explode(F.array("a", "b")).alias("profile")).groupBy("profile").agg(F.count(F.lit(1)).alias("_n"))
@@ -435,7 +434,7 @@ def complete_distance_subset(pairs: DataFrame, coverage: DataFrame, metric: str)
         left -= 1
         edges = edges.where((F.col("a") != name) & (F.col("b") != name))
         if len(out) % 20 == 0:
-            edges = edges.checkpoint()
+            edges = cut(edges)
     key = coverage.schema["profile"].dataType.simpleString()
     excluded = spark.createDataFrame(out, f"exclusion_order long, profile {key}")
     return coverage.join(excluded, "profile", "left_anti"), excluded
@@ -539,7 +538,7 @@ def _top_eigen(rows: DataFrame, n: int, k: int):
         t = v.T @ z
         w_new = np.sort(np.linalg.eigvalsh((t + t.T) / 2))[::-1][:k]
         v = np.linalg.qr(z + shift * v)[0]
-        if np.max(np.abs(w_new - w)) <= 1e-10 * max(1.0, np.abs(w_new).max()):
+        if np.max(np.abs(w_new - w)) <= 1e-14 * max(1.0, np.abs(w_new).max()):
             break
         w = w_new
     t = v.T @ _row_map(rows, lambda m, i, v=v: m @ v, k + 4)
@@ -547,7 +546,7 @@ def _top_eigen(rows: DataFrame, n: int, k: int):
     return ev[::-1], (v @ r)[:, ::-1], trace
 
 
-def metric_mds(distances: DataFrame, seed: int, n_init: int = 8, max_iter: int = 1000, eps: float = 1e-6, group: str | None = None) -> Model:
+def metric_mds(distances: DataFrame, seed: int, n_init: int = 8, max_iter: int = 1000, eps: float = 1e-4, group: str | None = None) -> Model:
     """Two-dimensional metric scaling by stress majorisation, best of ``n_init`` seeded starts.
 
     The distance rows stay distributed; a pass moves every point of every start at once, and only coordinates (two numbers
@@ -557,34 +556,49 @@ def metric_mds(distances: DataFrame, seed: int, n_init: int = 8, max_iter: int =
     d = distances.withColumn("grp", F.col(group) if group else F.lit("ALL"))
     rows, index = _row_vectors(d.select("grp", "a", "b", "value"))
     gt, key = d.schema["grp"].dataType.simpleString(), d.schema["a"].dataType.simpleString()
-    coords, status = [], []
+    x, best, moving, rounds = {}, {}, set(index), dict.fromkeys(index, 0)
     for g, names in index.items():
-        n, mine = len(names), rows.where(F.col("grp") == g)
-        rng = np.random.default_rng(seed)
-        x = rng.random((n, n_init * 2))
-        last, it = None, 0
-        for it in range(1, max_iter + 1):
-            def move(m, i, x=x):
+        x[g] = np.random.default_rng(seed).random((len(names), n_init * 2))
+    names_out = [f"y{i}" for i in range(n_init * 3)]
+
+    def move(batches):
+        for pdf in batches:
+            for g, part in pdf.groupby("grp", sort=False):
+                if g not in now:
+                    continue
+                m, i, pts = np.vstack([np.asarray(v, dtype=float) for v in part["val"]]), part["_i"].to_numpy(), now[g]
                 out = np.empty((len(i), n_init * 3))
                 for s in range(n_init):
-                    p = x[:, 2 * s: 2 * s + 2]
+                    p = pts[:, 2 * s: 2 * s + 2]
                     me = p[i]
                     dist = np.sqrt(((me[:, None, :] - p[None, :, :]) ** 2).sum(2))
                     ratio = np.where(dist > 1e-12, m / np.where(dist > 1e-12, dist, 1.0), 0.0)
                     ratio[np.arange(len(i)), i] = 0.0
-                    out[:, 2 * s: 2 * s + 2] = (me * ratio.sum(1, keepdims=True) - ratio @ p) / n
+                    out[:, 2 * s: 2 * s + 2] = (me * ratio.sum(1, keepdims=True) - ratio @ p) / len(p)
                     out[:, 2 * n_init + s] = ((dist - m) ** 2).sum(1) / 2
-                return out
-
-            y = _row_map(mine, move, n_init * 3)
+                res = pd.DataFrame(out, columns=names_out)
+                res.insert(0, "_i", i)
+                res.insert(0, "grp", g)
+                yield res
+
+    last = {}
+    for _ in range(max_iter + 1):
+        if not moving:
+            break
+        now = {g: x[g] for g in moving}
+        got = rows.select("grp", "_i", "val").mapInPandas(move, f"grp {gt}, _i int, " + ", ".join(f"{c} double" for c in names_out)).toPandas()
+        for g, part in got.groupby("grp", sort=False):
+            y = part.sort_values("_i")[names_out].to_numpy()
             stress = y[:, 2 * n_init:].sum(0)
-            if last is not None and np.all(last - stress <= eps * np.maximum(last, 1e-300)):
-                break
-            last, x = stress, y[:, : 2 * n_init]
-        best = int(np.argmin(stress))
-        p = x[:, 2 * best: 2 * best + 2]
-        coords += [(g, names[i], float(p[i, 0]), float(p[i, 1])) for i in range(n)]
-        status.append((g, "METRIC_MDS", "PASS", n, it, float(stress[best]), seed))
+            rounds[g] += 1
+            if (g in last and np.all(last[g] - stress <= eps * np.maximum(last[g], 1e-300))) or rounds[g] > max_iter:
+                s = int(np.argmin(stress))
+                best[g] = (x[g][:, 2 * s: 2 * s + 2], float(stress[s]))
+                moving.discard(g)
+            else:
+                last[g], x[g] = stress, y[:, : 2 * n_init]
+    coords = [(g, n, float(p[0]), float(p[1])) for g, names in index.items() for n, p in zip(names, best[g][0])]
+    status = [(g, "METRIC_MDS", "PASS" if rounds[g] <= max_iter else "PASS_WITH_LIMITATION", len(names), rounds[g], best[g][1], seed) for g, names in index.items()]
     c = spark.createDataFrame(coords, f"analysis_id {gt}, profile {key}, MDS1 double, MDS2 double")
     return Model(c, None, spark.createDataFrame(status, f"analysis_id {gt}, method string, status string, sample_count long, iterations long, stress double, seed long"))
 
@@ -597,18 +611,16 @@ def average_linkage_by_group(distances: DataFrame, group: str) -> DataFrame:
     aggregates over the cluster pairs, so no group is ever held by one task.
     ``distances``: group, a, b, value with a < b, complete.
     """
-    spark = distances.sparkSession
-    ensure_checkpoint_dir(spark)
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    live = distances.where(F.col("a") != F.col("b")).select(group, lo.alias("a"), hi.alias("b"), F.col("value").cast("double").alias("s"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")).distinct().checkpoint()
+    live = cut(distances.where(F.col("a") != F.col("b")).select(group, lo.alias("a"), hi.alias("b"), F.col("value").cast("double").alias("s"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")).distinct())
     merges = None
     while not live.isEmpty():
         d = F.col("s") / (F.col("na") * F.col("nb"))
-        rank = F.struct(d.alias("d"), F.col("a"), F.col("b"))
-        ends = live.select(group, F.explode(F.array("a", "b")).alias("c"), rank.alias("r"))
+        ranked = live.withColumn("r", F.struct(d.alias("d"), F.col("a").alias("a"), F.col("b").alias("b")))
+        ends = ranked.select(group, F.explode(F.array("a", "b")).alias("c"), "r")
         near = ends.groupBy(group, "c").agg(F.min("r").alias("r"))
         both = near.groupBy(group, "r").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select(group, F.col("r.a").alias("a"), F.col("r.b").alias("b"), F.col("r.d").alias("distance"))
-        done = both.join(live.select(group, "a", "b", "na", "nb"), [group, "a", "b"]).select(group, F.col("a").alias("left_cluster"), F.col("b").alias("right_cluster"), "distance", (F.col("na") + F.col("nb")).alias("member_count")).checkpoint()
+        done = cut(both.join(live.select(group, "a", "b", "na", "nb"), [group, "a", "b"]).select(group, F.col("a").alias("left_cluster"), F.col("b").alias("right_cluster"), "distance", (F.col("na") + F.col("nb")).alias("member_count")))
         merges = done if merges is None else merges.unionByName(done)
         into = done.select(group, F.col("right_cluster").alias("c"), F.col("left_cluster").alias("to"), "member_count")
         size = done.select(group, F.col("left_cluster").alias("c"), F.col("left_cluster").alias("to"), "member_count")
@@ -618,7 +630,7 @@ def average_linkage_by_group(distances: DataFrame, group: str) -> DataFrame:
         x = x.select(group, F.coalesce("ta", "a").alias("p"), F.coalesce("tb", "b").alias("q"), F.coalesce("ma", "na").alias("np"), F.coalesce("mb", "nb").alias("nq"), "s").where("p <> q")
         swap = F.col("p") > F.col("q")
         x = x.select(group, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.when(swap, F.col("nq")).otherwise(F.col("np")).alias("na"), F.when(swap, F.col("np")).otherwise(F.col("nq")).alias("nb"), "s")
-        live = x.groupBy(group, "a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb")).checkpoint()
+        live = cut(x.groupBy(group, "a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb")))
     return merges
 
 
@@ -628,14 +640,14 @@ def class_models(profiles: DataFrame, states: DataFrame, distances: DataFrame, c
     ``distances`` is the full long matrix (a, b, value). All classes share the passes; one that cannot be fitted is a status row.
     """
     member = classes.select("class_id", "profile").distinct()
-    mine = profiles.join(member, "profile")
+    mine = cut(profiles.join(member, "profile"))
     joint = em_svd_pca(mine, value, group="class_id", max_iter=max_iter)
     means = mine.groupBy("class_id", "profile", "target").agg(F.avg(value).alias(value)).select(
         "class_id", "profile", F.col("target").alias("feature_id"), F.pmod(F.xxhash64("target"), F.lit(2**62)).alias("feature_order"), value)
     target = em_svd_pca(means, value, group="class_id", representation="target_mean", method="TARGET_LEVEL_EM_SVD_PCA", max_iter=max_iter)
-    sparse = sparse_call_pca(states.join(member, "profile"), alpha, max_iter=max_iter, group="class_id")
+    sparse = sparse_call_pca(cut(states.join(member, "profile")), alpha, max_iter=max_iter, group="class_id")
     a, b = member.select("class_id", F.col("profile").alias("a")), member.select("class_id", F.col("profile").alias("b"))
-    inner = distances.join(a, "a").join(b, ["class_id", "b"]).select("class_id", "a", "b", "value")
+    inner = cut(distances.join(a, "a").join(b, ["class_id", "b"]).select("class_id", "a", "b", "value"))
     ord_ = pcoa(inner, group="class_id")
     scaled = metric_mds(inner, mds_seed, group="class_id", max_iter=max_iter)
     tree = average_linkage_by_group(inner.where("a < b"), "class_id")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "8", memory: str = "12g") -> SparkSession:
@@ -33,3 +34,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(named if named else tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table written to the shared checkpoint folder and read back: lineage ends here and the sizes are known.
+
+    Reliable like ``checkpoint()`` (files outlive executors), but the plan that follows starts from a plain scan, so neither
+    constraints nor missing statistics pile up over the rounds of an iterative job.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
