@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import activity as A
 from ..operators import outliers as O
 from ..operators import scores as X
+from ..session import cut
 
 SELECT_COLS = ["assertion_id", "activity_type", "relation_class", "relation_operator", "pactivity", "molar", "species",
                "source_database", "value_original", "unit_original"]
@@ -108,8 +109,8 @@ def eligible(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def selection(spark: SparkSession, sf: str) -> DataFrame:
-    return A.select_activity(eligible(spark, sf), ["profile", "target"], SELECT_COLS)
+def selection(spark: SparkSession, sf: str, cols: list[str] = SELECT_COLS) -> DataFrame:
+    return A.select_activity(eligible(spark, sf), ["profile", "target"], cols)
 
 
 def expression(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,10 +148,19 @@ def contract(spark: SparkSession, sf: str) -> DataFrame:
 
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Long score table: profile x (target, tissue)."""
-    scored = X.score_join(selection(spark, sf), expression_z(spark, sf), "target", "tissue", "pactivity", "z", ("profile",), ("relation_class",))
+    scored = X.score_join(selection(spark, sf, ["pactivity", "relation_class"]), expression_z(spark, sf), "target", "tissue", "pactivity", "z", ("profile",), ("relation_class",))
     return scored.select("profile", "feature_id", "feature_order", "target", "tissue", "pactivity", "z", "relation_class", "score")
 
 
+def profile_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Outlier steps of the score profiles; the scores are written once, since sizing and walking both read them."""
+    return O.gesd_steps(cut(profiles(spark, sf)), "profile", "score", "feature_order")
+
+
+def profile_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return O.gesd_calls(cut(profiles(spark, sf)), "profile", "score", "feature_order")
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Embedding cells as profiles: a fifth of the cells is unsupported, a fixed share is raised."""
     v = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "x"))

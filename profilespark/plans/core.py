@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import outliers as O
 from . import bindings as B
 from .register import register
 
@@ -30,7 +29,7 @@ def _(spark, sf):
 
 @register("gesd_steps", "SELECT profile, feature_id, CAST(step AS BIGINT) AS step, n, round(r_stat, 6) AS r_stat FROM profile_steps")
 def _(spark, sf):
-    s = O.gesd_steps(B.profiles(spark, sf), "profile", "score", "feature_order")
+    s = B.profile_steps(spark, sf)
     return s.select("profile", "feature_id", "step", "n", R("r_stat").alias("r_stat"))
 
 
@@ -39,7 +38,7 @@ _calls_sql = "SELECT profile, feature_id, alpha, CAST(step AS BIGINT) AS call_ra
 
 @register("gesd_calls", _calls_sql + "profile_calls")
 def _(spark, sf):
-    c = O.gesd_calls(B.profiles(spark, sf), "profile", "score", "feature_order")
+    c = B.profile_calls(spark, sf)
     return c.select("profile", "feature_id", "alpha", "call_rank", R("r_stat").alias("r_stat"), R("critical_lambda").alias("critical_lambda"))
 
 

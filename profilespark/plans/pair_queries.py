@@ -303,9 +303,7 @@ def _(spark, sf):
 
 @register("key_set_equality", "SELECT count(*) FILTER (na > 0) AS keys_a, count(*) FILTER (nb > 0) AS keys_b, count(*) FILTER (nb = 0) AS only_a, count(*) FILTER (na = 0) AS only_b, count(*) FILTER (na > 1 OR nb > 1) AS duplicated, bool_and(na > 0 AND nb > 0) AS equal, bool_and(nb > 0) AS a_subset_of_b FROM (SELECT feature_id, sum(x) AS na, sum(y) AS nb FROM (SELECT feature_id, 1 AS x, 0 AS y FROM contract UNION ALL SELECT feature_id, 0, 1 FROM (SELECT DISTINCT feature_id FROM profile_calls)) GROUP BY 1)")
 def _(spark, sf):
-    from ..operators import outliers as O
-
-    calls = O.gesd_calls(B.profiles(spark, sf), "profile", "score", "feature_order").select("feature_id").distinct()
+    calls = B.profile_calls(spark, sf).select("feature_id").distinct()
     return K.key_set_equality(B.contract(spark, sf), calls, ["feature_id"])
 
 
@@ -348,9 +346,7 @@ def _(spark, sf):
 
 @register("rank_of_calls_shown", "SELECT profile, alpha, feature_id, CAST(step AS BIGINT) AS call_rank, true AS consecutive FROM profile_calls WHERE step <= 10")
 def _(spark, sf):
-    from ..operators import outliers as O
-
-    calls = O.gesd_calls(B.profiles(spark, sf), "profile", "score", "feature_order")
+    calls = B.profile_calls(spark, sf)
     return K.rank_of_calls_shown(calls, 10).select("profile", "alpha", "feature_id", "call_rank", "consecutive")
 
 

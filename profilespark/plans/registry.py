@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from . import class_queries, core, curation_queries, model_queries, pair_queries, quality_queries, resolve_queries, scalar_queries, source_queries  # noqa: F401
+from functools import wraps
+
+from ..session import tune
 from .register import QUERIES, oracles
 
 
+def _tuned(fn):
+    @wraps(fn)
+    def run(spark, sf):
+        tune(spark)
+        return fn(spark, sf)
+
+    return run
+
+
 def flagship(spark, sf):
-    return QUERIES["gesd_calls"](spark, sf)
+    return _tuned(QUERIES["gesd_calls"])(spark, sf)
 
 
 def queries():
-    return dict(QUERIES)
+    return {name: _tuned(fn) for name, fn in QUERIES.items()}
 
 
 def oracle_sql():

