@@ -16,24 +16,23 @@ def alpha_name(alpha: float) -> str:
 
 def call_states(profiles: DataFrame, calls: DataFrame, contract: DataFrame, roster: DataFrame, raw: str,
                 common: str | None = None, alphas=V.ALPHAS) -> DataFrame:
-    """Every (profile, contract feature) with call 1 / 0 / NULL per alpha, and the signed score of called cells.
+    """Cells of the roster's profiles on the contract, with call 1 / 0 / NULL per alpha and the signed score of called cells.
 
-    1 = called, 0 = tested and not called, NULL = unsupported. The grid is roster x contract by definition; the contract
-    is replicated, the profile rows are joined on (profile, feature).
+    1 = called, 0 = tested and not called, NULL = unsupported. Cells come from the profile table (a row without a value is an
+    unsupported cell); the empty part of the roster x contract grid is never written out.
     """
-    grid = roster.select("profile").join(contract, F.lit(True))
     rows = profiles.select("profile", "feature_id", F.col(raw).alias("_raw"), F.col(common or raw).alias("_common"))
     flags = calls.groupBy("profile", "feature_id").agg(
         *[F.max((F.abs(F.col("alpha") - a) < 1e-12).cast("int")).alias(f"_c{i}") for i, a in enumerate(alphas)]
     )
-    j = grid.join(rows, ["profile", "feature_id"], "left").join(flags, ["profile", "feature_id"], "left")
-    out = j.select(
+    mine = rows.join(roster.select("profile"), "profile", "left_semi").join(contract, "feature_id")
+    j = mine.join(flags, ["profile", "feature_id"], "left")
+    return j.select(
         "profile", *contract.columns,
         *[F.when(F.col(f"_c{i}") == 1, 1).when(F.col("_raw").isNotNull(), 0).alias(f"call_{alpha_name(a)}") for i, a in enumerate(alphas)],
         *[F.when(F.col(f"_c{i}") == 1, F.coalesce("_common", "_raw")).when(F.col("_raw").isNotNull(), 0.0).alias(f"score_{alpha_name(a)}")
           for i, a in enumerate(alphas)],
     )
-    return out
 
 
 def call_matrix_counts(states: DataFrame, call: str) -> DataFrame:
@@ -93,15 +92,17 @@ def sparse_call_matrix(calls: DataFrame, index: str, columns: str, value: str, c
 def call_partition(calls: DataFrame, query, contract: DataFrame) -> DataFrame:
     """Query calls against every comparator: SHARED / QUERY_ONLY / COMPARATOR_ONLY with feature metadata.
 
-    Comparator rows are joined to the query's calls (a set bounded by the contract); a query call missing from a
-    comparator is found by an anti join on (comparator, feature).
+    Comparator rows are joined to the query's calls. What a comparator lacks is the query's sorted list (one row) minus the
+    list of calls they share, so no comparator x call product is formed.
     """
     q = calls.where(F.col("profile") == query).select("feature_id").distinct()
     others = calls.where(F.col("profile") != query).select(F.col("profile").alias("comparator"), "feature_id").distinct()
     marked = others.join(q.withColumn("_q", F.lit(True)), "feature_id", "left")
     theirs = marked.select("comparator", "feature_id", F.when(F.col("_q"), "SHARED").otherwise("COMPARATOR_ONLY").alias("call_status"))
-    expected = others.select("comparator").distinct().join(q, F.lit(True))
-    mine = expected.join(others, ["comparator", "feature_id"], "left_anti").withColumn("call_status", F.lit("QUERY_ONLY"))
+    whole = q.agg(F.array_sort(F.collect_list("feature_id")).alias("_all"))
+    shared = marked.groupBy("comparator").agg(F.collect_list(F.when(F.col("_q"), F.col("feature_id"))).alias("_have"))
+    lacking = shared.join(F.broadcast(whole), F.lit(True)).select("comparator", F.explode(F.array_except("_all", "_have")).alias("feature_id"))
+    mine = lacking.withColumn("call_status", F.lit("QUERY_ONLY"))
     both = theirs.unionByName(mine)
     return both.join(contract.select("feature_id", "target", "tissue"), "feature_id", "left")
 

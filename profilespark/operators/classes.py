@@ -38,7 +38,7 @@ def class_summary(profiles: DataFrame, calls: DataFrame, classes: DataFrame, que
     tested = profiles.where(F.col(value).isNotNull()).join(members, "profile").groupBy("class_id", "feature_id").agg(F.count(F.lit(1)).alias("_tested"))
     mine = called.where(F.col("profile") == query).select("feature_id", F.lit(1).alias("_q"))
     n_mine = mine.agg(F.count(F.lit(1)).alias("query_calls"))
-    cells = by_cell.join(tested, ["class_id", "feature_id"], "left").join(F.broadcast(size), "class_id").join(F.broadcast(mine), "feature_id", "left")
+    cells = by_cell.join(tested, ["class_id", "feature_id"], "left").join(F.broadcast(size), "class_id").join(mine, "feature_id", "left")
     over = cells.groupBy("class_id").agg(
         F.count(F.lit(1)).alias("class_union_calls"), F.count("_q").alias("shared_calls"),
         F.avg(F.col("_called") / F.col("members")).alias("mean_prevalence"), F.avg(F.try_divide(F.col("_called"), F.col("_tested"))).alias("mean_prevalence_tested"))

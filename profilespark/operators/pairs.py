@@ -177,10 +177,13 @@ def continuous_metrics(profiles: DataFrame, roster: DataFrame, value: str, gate=
                        n_features: int | None = None, blocks: int | None = None) -> DataFrame:
     """Distances, similarities and support overlap of every pair on its matched support; pairs without overlap are kept.
 
-    While a profile's vector fits a task (contract up to ``CHUNK_FEATURES``; pass its size as ``n_features``) a block pair is
-    compared in one Arrow group. Beyond that the same numbers come from the joined coordinates (``metrics_from_rows``).
+    While a profile's vector fits a task (contract up to ``CHUNK_FEATURES``; its size is counted unless passed as
+    ``n_features``) a block pair is compared in one Arrow group. Beyond that the same numbers come from the joined coordinates
+    (``metrics_from_rows``).
     """
-    if n_features is not None and n_features > CHUNK_FEATURES:
+    if n_features is None:
+        n_features = profiles.select("feature_order").distinct().count()
+    if n_features > CHUNK_FEATURES:
         return metrics_from_rows(profiles, roster, value, gate, blocks)
     blocks = blocks or block_count(roster)
     packed = profile_arrays(profiles, roster, value)
@@ -261,7 +264,7 @@ def fingerprint_metrics(profiles: DataFrame, calls: DataFrame, roster: DataFrame
     )
     # Coordinates called by anybody but untested in this profile: enough to tell joint testing without carrying the support.
     called = at.select("feature_id").distinct()
-    tested = profiles.where(F.col(value).isNotNull()).join(F.broadcast(called), "feature_id", "left_semi")
+    tested = profiles.where(F.col(value).isNotNull()).join(called, "feature_id", "left_semi")
     seen = tested.groupBy("profile").agg(F.collect_set("feature_id").alias("s"))
     none = F.array().cast("array<string>")
     packed = roster.join(sets, "profile", "left").join(seen, "profile", "left")
@@ -387,10 +390,10 @@ def incremental_pairs(prior: DataFrame, profiles: DataFrame, roster: DataFrame,
 
 def _pairs_with(profiles: DataFrame, roster: DataFrame, names: DataFrame, value: str) -> DataFrame:
     tested = profiles.where(F.col(value).isNotNull()).join(roster, "profile").select("profile", "roster_order", "feature_id", "target", F.col(value).alias("_v"))
-    mine = tested.join(F.broadcast(names), "profile", "left_semi")
+    mine = tested.join(names, "profile", "left_semi")
     flag = names.withColumn("_ch", F.lit(True))
     x = mine.select(F.col("profile").alias("p"), F.col("roster_order").alias("po"), "feature_id", "target", F.col("_v").alias("pv"))
-    y = tested.join(F.broadcast(flag), "profile", "left").select(F.col("profile").alias("q"), F.col("roster_order").alias("qo"), "feature_id", F.col("_v").alias("qv"), "_ch")
+    y = tested.join(flag, "profile", "left").select(F.col("profile").alias("q"), F.col("roster_order").alias("qo"), "feature_id", F.col("_v").alias("qv"), "_ch")
     j = x.join(y, "feature_id").where((F.col("po") < F.col("qo")) | (F.col("_ch").isNull() & (F.col("po") != F.col("qo"))))
     swap = F.col("po") > F.col("qo")
     j = j.select(F.when(swap, F.col("q")).otherwise(F.col("p")).alias("a"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("b"),

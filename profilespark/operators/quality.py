@@ -112,7 +112,7 @@ def record_bundle_contract(records: DataFrame, profiles: DataFrame, targets: Dat
     Registries are small tables (``id``, profiles also ``source_id``); ``artifacts`` has ``path`` and ``record_count``.
     """
     def known(df, flag):
-        return F.broadcast(df.select(F.col("id").alias(f"_{flag}"), *([F.col("source_id").alias("_source")] if flag == "p" else [])))
+        return df.select(F.col("id").alias(f"_{flag}"), *([F.col("source_id").alias("_source")] if flag == "p" else []))
 
     key = ["profile_id", "target_id", "tissue_id", "expression_dataset_id", "gesd_alpha"]
     firsts = records.groupBy(*key).agg(F.min("record_no").alias("_first"))
@@ -120,7 +120,7 @@ def record_bundle_contract(records: DataFrame, profiles: DataFrame, targets: Dat
         records.join(known(profiles, "p"), F.col("profile_id") == F.col("_p"), "left")
         .join(known(targets, "t"), F.col("target_id") == F.col("_t"), "left")
         .join(known(tissues, "u"), F.col("tissue_id") == F.col("_u"), "left")
-        .join(F.broadcast(artifacts.select(F.col("path").alias("_path"), F.col("record_count").alias("_rows"))), F.col("source_artifact") == F.col("_path"), "left")
+        .join(artifacts.select(F.col("path").alias("_path"), F.col("record_count").alias("_rows")), F.col("source_artifact") == F.col("_path"), "left")
         .join(firsts, key, "left")
     )
     hr, member, status = F.col("hr_score"), F.col("fingerprint_member"), F.col("support_status")

@@ -136,9 +136,9 @@ def gated_upsert(base: DataFrame, new: DataFrame, keys: list[str], values: list[
         o, n = F.col(f"o_{v}"), F.col(f"n_{v}")
         why = why.when(o.isNull() != n.isNull(), f"NULL_MASK_{v}").when(F.abs(o - n) > tol, f"VALUE_{v}")
     bad = j.withColumn("violation", why).where("violation is not null").select(*keys, "violation")
-    blocked = F.broadcast(bad.select(owner).distinct())
+    blocked = bad.select(owner).distinct()
     ok_new = new.join(blocked, owner, "left_anti")
-    kept = base.join(F.broadcast(ok_new.select(owner).distinct()), owner, "left_anti")
+    kept = base.join(ok_new.select(owner).distinct(), owner, "left_anti")
     return kept.unionByName(ok_new.select(*base.columns)), bad
 
 
@@ -157,7 +157,7 @@ def resolve_identity(df: DataFrame, name: str, lane: str, registry: DataFrame, a
     index = alias.select("canonical_id", S.compound_name_key(F.col("_alias")).alias("_key")).where("_key <> ''").distinct()
     index = index.groupBy("_key").agg(F.array_sort(F.collect_set("canonical_id")).alias("_ids"))
     names = registry.select(F.col("canonical_id").alias("_cid"), F.col("label").alias("canonical_label"))
-    j = asked.join(F.broadcast(amb), "_key", "left").join(F.broadcast(index), "_key", "left")
+    j = asked.join(amb, "_key", "left").join(index, "_key", "left")
     by_lane = F.element_at("_lanes", F.col("_lane"))
     special = F.col("_cand").isNotNull()
     sole = F.size("_ids") == 1
@@ -171,7 +171,7 @@ def resolve_identity(df: DataFrame, name: str, lane: str, registry: DataFrame, a
         F.when(blank, "Blank source name").when(special & by_lane.isNotNull(), F.concat(F.lit("Resolved by explicit source lane "), F.col("_lane")))
         .when(special, F.col("_why")).when(sole, "Explicit configured alias").when(F.size("_ids") > 1, "Alias maps to multiple configured identities")
         .otherwise("No explicit governed identity mapping").alias("reason"))
-    out = out.join(F.broadcast(names), "_cid", "left").select("_name", "_lane", "status", F.col("_cid").alias("canonical_id"), "canonical_label", "candidates", "reason")
+    out = out.join(names, "_cid", "left").select("_name", "_lane", "status", F.col("_cid").alias("canonical_id"), "canonical_label", "candidates", "reason")
     back = df.join(out, F.col(name).eqNullSafe(F.col("_name")) & F.col(lane).eqNullSafe(F.col("_lane")), "left")
     return back.drop("_name", "_lane")
 
@@ -294,7 +294,7 @@ def resolve_species(assertions: DataFrame, audit: DataFrame, raw: DataFrame, sou
     # Last: receptor names, all known names of a row together; they must agree.
     names = a.where(F.col("_s").isNull() & from_source).select(
         key, F.explode(F.array_distinct(F.array(*[S.upper_key(F.col(c)) for c in ("original_target_name", "target_name", "gene_symbol", "target")]))).alias("name_key"))
-    by_name = consensus_value(names.join(F.broadcast(rec_name), "name_key"), key, ["cls", "species", "taxon"])
+    by_name = consensus_value(names.join(rec_name, "name_key"), key, ["cls", "species", "taxon"])
     a = a.join(by_name.select(key, F.struct("cls", "species", "taxon").alias("_nm")), key, "left")
     s = F.coalesce("_s", "_nm")
     method = F.coalesce("_m", F.when(F.col("_nm").isNotNull(), "RAW_NAME_UNANIMOUS"), F.lit(""))
