@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from ..session import tune
+from ..session import ready
 from . import class_queries, core, curation_queries, model_queries, pair_queries, quality_queries, resolve_queries, scalar_queries, source_queries  # noqa: F401
 from .register import QUERIES, oracles
 
@@ -12,7 +12,7 @@ from .register import QUERIES, oracles
 def _tuned(fn):
     @wraps(fn)
     def run(spark, sf):
-        tune(spark)
+        ready(spark)
         return fn(spark, sf)
 
     return run
@@ -22,8 +22,13 @@ def flagship(spark, sf):
     return _tuned(QUERIES["gesd_calls"])(spark, sf)
 
 
+def tuned(queries):
+    """Queries that set up the session they are given before they run."""
+    return {name: _tuned(fn) for name, fn in queries.items()}
+
+
 def queries():
-    return {name: _tuned(fn) for name, fn in QUERIES.items()}
+    return tuned(QUERIES)
 
 
 def oracle_sql():

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,23 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_BYTES)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers once a session, so that Arrow functions run wherever the job was started."""
+    sc, home = spark.sparkContext, Path(__file__).resolve().parent
+    if any(Path(p).name == "profilespark.zip" for p in getattr(sc, "_python_includes", [])):
+        return
+    target = Path(tempfile.mkdtemp(prefix="profilespark-")) / "profilespark.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(home.rglob("*.py")):
+            out.write(file, Path("profilespark") / file.relative_to(home))
+    sc.addPyFile(str(target))
+
+
+def ready(spark: SparkSession) -> None:
+    tune(spark)
+    ship(spark)
+
+
 def local_session(cpus: str | int = "8", memory: str = "12g") -> SparkSession:
     """Local session with the settings the operators are tested under."""
     spark = (
@@ -32,16 +51,18 @@ def local_session(cpus: str | int = "8", memory: str = "12g") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    tune(spark)
+    ready(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder the cluster names; fall back only where none is set."""
+    """Use the checkpoint folder the cluster names; a temporary one only on a local master, whose tasks all see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named if named else tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
 
 
