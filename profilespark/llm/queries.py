@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .quality_rules import quality_rules
 from .simhash import simhash_groups
 
 QUERIES, ORACLES = {}, {}
@@ -23,3 +24,8 @@ def register(name: str, sql: str | None = None):
 @register("op5_simhash_golay")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(documents(spark, sf))
+
+
+@register("op9_quality_rules")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules(documents(spark, sf), documents(spark, sf, "labels"))
