@@ -23,14 +23,14 @@ STEPS = 64  # thresholds lie on a grid of this many steps to one
 
 #: Learned-on features: the share and the factor that brings it to about one.
 FEATURES = {
-    "symbols": F.col("n_symbols") / F.col("n_words"),
-    "repeats": F.col("n_repeat_words") / F.col("n_words"),
-    "same_lines": F.col("n_dup_lines") / F.col("n_lines"),
-    "capitals": F.col("n_capitals") / F.col("word_chars"),
-    "marks": F.col("n_marks") / F.col("n_words"),
-    "digits": F.col("n_digits") / F.col("word_chars"),
-    "word_length": F.col("word_chars") / F.col("n_words") / 16,
-    "distinct": F.col("n_distinct") / F.col("n_words"),
+    "symbols": "n_symbols / n_words",
+    "repeats": "n_repeat_words / n_words",
+    "same_lines": "n_dup_lines / n_lines",
+    "capitals": "n_capitals / word_chars",
+    "marks": "n_marks / n_words",
+    "digits": "n_digits / word_chars",
+    "word_length": "word_chars / n_words / 16",
+    "distinct": "n_distinct / n_words",
 }
 
 
@@ -83,7 +83,7 @@ class Condition:
     step: int
 
     def column(self) -> Column:
-        c = F.coalesce(FEATURES[self.feature], F.lit(0.0))
+        c = F.coalesce(F.expr(FEATURES[self.feature]), F.lit(0.0))
         return c >= self.step / STEPS if self.above else c < self.step / STEPS
 
     def __str__(self) -> str:
@@ -113,7 +113,7 @@ def _all(rule) -> Column:
 def _counts(rows: DataFrame) -> dict[str, list[tuple[int, int, int]]]:
     """Bad and good rows by feature and grid step: at most features x (STEPS + 2) rows whatever the input."""
     step = lambda c: F.least(F.lit(STEPS + 1), F.floor(F.coalesce(c, F.lit(0.0)) * STEPS)).cast("int")
-    steps = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), step(c).alias("step")) for name, c in FEATURES.items()])).alias("s")
+    steps = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), step(F.expr(c)).alias("step")) for name, c in FEATURES.items()])).alias("s")
     table = rows.select("bad", steps).groupBy("s.feature", "s.step").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good"))
     out: dict[str, list[tuple[int, int, int]]] = {}
     for r in table.collect():
