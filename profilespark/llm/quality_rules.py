@@ -23,14 +23,14 @@ STEPS = 64  # thresholds lie on a grid of this many steps to one
 
 #: Learned-on features: the share and the factor that brings it to about one.
 FEATURES = {
-    "symbols": "n_symbols / n_words",
-    "repeats": "n_repeat_words / n_words",
-    "same_lines": "n_dup_lines / n_lines",
-    "capitals": "n_capitals / word_chars",
-    "marks": "n_marks / n_words",
-    "digits": "n_digits / word_chars",
-    "word_length": "word_chars / n_words / 16",
-    "distinct": "n_distinct / n_words",
+    "symbols": "try_divide(n_symbols, n_words)",
+    "repeats": "try_divide(n_repeat_words, n_words)",
+    "same_lines": "try_divide(n_dup_lines, n_lines)",
+    "capitals": "try_divide(n_capitals, word_chars)",
+    "marks": "try_divide(n_marks, n_words)",
+    "digits": "try_divide(n_digits, word_chars)",
+    "word_length": "try_divide(word_chars, n_words * 16)",
+    "distinct": "try_divide(n_distinct, n_words)",
 }
 
 

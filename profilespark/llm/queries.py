@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .line_dedup import line_matches
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
 
@@ -29,3 +30,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @register("op9_quality_rules")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(documents(spark, sf), documents(spark, sf, "labels"))
+
+
+@register("op8_line_edit_join")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return line_matches(documents(spark, sf)).drop("text_hash")
