@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .line_dedup import line_matches
+from .passages import repeated_passages
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
 
@@ -35,3 +36,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @register("op8_line_edit_join")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return line_matches(documents(spark, sf)).drop("text_hash")
+
+
+@register("op3_repeated_passages")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf))
