@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from profilespark.llm import quality_rules
+from profilespark.llm import line_dedup, packing, passages, quality_rules, simhash
 from profilespark.llm.common import documents
 from profilespark.session import cut
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned rules reject go."""
     return quality_rules.keep_good(docs, documents(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", rules)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line, exactly or within two edits, go from the texts; every document stays."""
+    return _counted(line_dedup.drop_lines(docs, line_dedup.line_matches(docs)))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.keep_one(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat an earlier document go from the texts; every document stays."""
+    return _counted(passages.drop_passages(docs, passages.repeated_passages(docs)))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of what is left."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", rules), ("line_dedup", lines), ("simhash_near_dedup", near_copies), ("substring_dedup", substrings), ("best_fit_packing", sequences)]
 
 #: The learned rules, fingerprints and alignments have no SQL form.
 ORACLE_SQL = None

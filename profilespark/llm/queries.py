@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .line_dedup import line_matches
+from .packing import pack
 from .passages import repeated_passages
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
@@ -38,6 +40,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return line_matches(documents(spark, sf)).drop("text_hash")
 
 
+@register("op1_best_fit_packing")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @register("op3_repeated_passages")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_passages(documents(spark, sf))
