@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .knn import TOP_K_SQL, top_k
 from .line_dedup import line_matches
 from .packing import pack
+from .pairwise_ranking import quality_scores
 from .passages import repeated_passages
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
@@ -25,6 +27,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op4_voronoi_top_k", TOP_K_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(documents(spark, sf, "embeddings"))
+
+
 @register("op5_simhash_golay")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(documents(spark, sf))
@@ -48,3 +55,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @register("op3_repeated_passages")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_passages(documents(spark, sf))
+
+
+@register("op10_pairwise_quality")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_scores(documents(spark, sf), documents(spark, sf, "labels"))
