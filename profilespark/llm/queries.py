@@ -13,6 +13,7 @@ from .pairwise_ranking import quality_scores
 from .passages import repeated_passages
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
+from .url_filter import shown_documents, url_verdicts, verdict_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -52,6 +53,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return pack(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@register("op2_url_templates", verdict_sql())
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    pages = documents(spark, sf, "pages")
+    return url_verdicts(pages, shown_documents(pages, documents(spark, sf, "labels")))
+
+
 @register("op3_repeated_passages")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_passages(documents(spark, sf))
