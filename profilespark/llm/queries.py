@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .knn import TOP_K_SQL, top_k
+from .licenses import license_scan
 from .line_dedup import line_matches
 from .packing import pack
 from .pairwise_ranking import quality_scores
 from .passages import repeated_passages
+from .pieces import piece_digest
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
 from .url_filter import shown_documents, url_verdicts, verdict_sql
@@ -43,6 +45,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(documents(spark, sf), documents(spark, sf, "labels"))
 
 
+@register("op6_license_patience")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan(documents(spark, sf))
+
+
+@register("op7_sentencepiece_viterbi")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return piece_digest(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register("op8_line_edit_join")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return line_matches(documents(spark, sf)).drop("text_hash")
