@@ -35,11 +35,11 @@ def call_states(profiles: DataFrame, calls: DataFrame, contract: DataFrame, rost
     )
 
 
-def call_matrix_counts(states: DataFrame, call: str) -> DataFrame:
-    c = F.col(call)
-    return states.groupBy("profile").agg(
-        F.count_if(c == 1).alias("called"), F.count_if(c == 0).alias("tested_noncall"), F.count_if(c.isNull()).alias("unsupported")
-    )
+def call_matrix_counts(states: DataFrame, call: str, contract: DataFrame) -> DataFrame:
+    """Cells of every profile by state; what is neither called nor tested counts as unsupported over the whole contract, listed or not."""
+    c, total = F.col(call), contract.select("feature_id").distinct().count()
+    counts = states.groupBy("profile").agg(F.count_if(c == 1).alias("called"), F.count_if(c == 0).alias("tested_noncall"))
+    return counts.withColumn("unsupported", F.lit(total) - F.col("called") - F.col("tested_noncall"))
 
 
 def profile_call_table(calls: DataFrame, roster: DataFrame, tested: DataFrame, alpha: float) -> DataFrame:
@@ -89,10 +89,10 @@ def sparse_call_matrix(calls: DataFrame, index: str, columns: str, value: str, c
     return calls.groupBy(index).pivot(columns, column_values).agg(F.first(value))
 
 
-def call_partition(calls: DataFrame, query, contract: DataFrame) -> DataFrame:
-    """Query calls against every comparator: SHARED / QUERY_ONLY / COMPARATOR_ONLY with feature metadata.
+def call_partition(calls: DataFrame, query, contract: DataFrame, roster: DataFrame) -> DataFrame:
+    """Query calls against every comparator of the roster: SHARED / QUERY_ONLY / COMPARATOR_ONLY with feature metadata.
 
-    Comparator rows are joined to the query's calls. What a comparator lacks is the query's sorted list (one row) minus the
+    A comparator without calls gets the query's as QUERY_ONLY. Comparator rows are joined to the query's calls. What a comparator lacks is the query's sorted list (one row) minus the
     list of calls they share, so no comparator x call product is formed.
     """
     q = calls.where(F.col("profile") == query).select("feature_id").distinct()
@@ -101,7 +101,9 @@ def call_partition(calls: DataFrame, query, contract: DataFrame) -> DataFrame:
     theirs = marked.select("comparator", "feature_id", F.when(F.col("_q"), "SHARED").otherwise("COMPARATOR_ONLY").alias("call_status"))
     whole = q.agg(F.array_sort(F.collect_list("feature_id")).alias("_all"))
     shared = marked.groupBy("comparator").agg(F.collect_list(F.when(F.col("_q"), F.col("feature_id"))).alias("_have"))
-    lacking = shared.join(F.broadcast(whole), F.lit(True)).select("comparator", F.explode(F.array_except("_all", "_have")).alias("feature_id"))
+    every = roster.where(F.col("profile") != query).select(F.col("profile").alias("comparator")).distinct().join(shared, "comparator", "left")
+    every = every.withColumn("_have", F.coalesce("_have", F.array().cast("array<string>")))
+    lacking = every.join(F.broadcast(whole), F.lit(True)).select("comparator", F.explode(F.array_except("_all", "_have")).alias("feature_id"))
     mine = lacking.withColumn("call_status", F.lit("QUERY_ONLY"))
     both = theirs.unionByName(mine)
     return both.join(contract.select("feature_id", "target", "tissue"), "feature_id", "left")

@@ -68,5 +68,6 @@ def class_distance(pairs: DataFrame, classes: DataFrame, query, metric: str = "r
 
 
 def method_availability(status: DataFrame, statuses: list[str]) -> DataFrame:
-    """Method x status counts."""
-    return status.groupBy("method").pivot("status", statuses).count().na.fill(0, statuses)
+    """Method x status counts; statuses that are not listed, and NULL, count as OTHER."""
+    named = status.select("method", F.when(F.col("status").isin(statuses), F.col("status")).otherwise("OTHER").alias("status"))
+    return named.groupBy("method").pivot("status", [*statuses, "OTHER"]).count().na.fill(0)

@@ -116,7 +116,7 @@ def _pass(rows: _Rows, widths, start, history, probe):
                 if g not in widths:
                     continue
                 x, gone, filled, before = _replay(part, g, widths[g], by_profile, start, history)
-                c = filled if by_profile else filled - filled.mean(1, keepdims=True)
+                c = filled - (start[g] if by_profile else filled.mean(1, keepdims=True))  # sums around the start means lose no digits
                 v = probe.get(g)
                 a = c.T @ (c @ v) if v is not None else c.T @ c
                 head = np.array([len(c), (c * c).sum(), ((filled - before)[gone] ** 2).sum(), (before[gone] ** 2).sum(), gone.sum()])
@@ -151,38 +151,84 @@ def _tree_sum(parts: DataFrame, schema: str, fan: int = 32) -> dict:
     return out
 
 
+def _solve(head, s, gram, by_profile, start):
+    """Mean, falling squared singular values, axes and rank from one group's sums around ``start``.
+
+    A value that the rounding of the sums alone could make does not count towards the rank.
+    """
+    n, off = head[0], s / head[0]
+    if by_profile:
+        gram = gram - n * np.outer(off, off)
+    w, q = np.linalg.eigh(gram)
+    w, q = np.maximum(w[::-1], 0.0), q[:, ::-1]
+    rank = int((w > 4 * np.finfo(float).eps * max(n, len(w)) * max(w[0], 1e-300)).sum()) if w[0] > 1e-24 else 0
+    return (off + start if by_profile else off), w, q, int(min(rank, n - 1 if by_profile else len(w) - 1))
+
+
+def _advance(rows, widths, start, k, max_iter, tol):
+    """The filling rounds of all groups of at most CELLS_PER_TASK cells, each inside one task, up to the last round but one.
+
+    The same rounds as by passes: those work on groups of any size, and make the last ones of every group. Rows come back with their filling and
+    the rounds made.
+    """
+    by_profile = rows.by_profile
+    small = {g for g in widths if widths[g] * (rows.size[g][0] if by_profile else rows.size[g][1]) <= CELLS_PER_TASK}
+    if not small or max_iter < 2:
+        return {}
+    columns = ["grp", "key", "pos", "val", "fill"]
+
+    def settle(pdf):
+        g = pdf["grp"].iloc[0]
+        pdf = pdf.sort_values("key")
+        x, gone, filled, _ = _replay(pdf, g, widths[g], by_profile, start, {})
+        made, before = 0, filled
+        while made < max_iter and gone.any():
+            c = filled - (start[g] if by_profile else filled.mean(1, keepdims=True))
+            mean, w, q, rank = _solve(np.array([len(c)]), c.sum(0), c.T @ c, by_profile, start.get(g))
+            basis = q[:, : min(k, rank)]
+            mu = mean if by_profile else filled.mean(1, keepdims=True)
+            new = np.where(gone, mu + ((filled - mu) @ basis) @ basis.T, x)
+            made, before = made + 1, filled
+            change = np.sqrt(((new - filled)[gone] ** 2).mean()) / max(np.sqrt((filled[gone] ** 2).mean()), 1e-12)
+            filled = new
+            if change <= tol:
+                break
+        return pdf.assign(fill=[before[i, gone[i]] for i in range(len(pdf))], made=max(0, made - 1))[[*columns, "made"]]
+
+    schema = f"grp {rows.grp_type}, key {rows.key_type}, pos array<int>, val array<double>, fill array<double>"
+    mine = rows.frame.where(F.col("grp").isin(*small))
+    done = cut(mine.groupBy("grp").applyInPandas(settle, f"{schema}, made long"))
+    made = {r["grp"]: r["n"] for r in done.groupBy("grp").agg(F.max("made").alias("n")).collect()}
+    rest = rows.frame.where(~F.col("grp").isin(*small))
+    rows.frame = done.drop("made") if len(small) == len(rows.size) else done.drop("made").unionByName(rest)
+    return {g: n for g, n in made.items() if n}
+
+
 def _spectrum(rows: _Rows, got, widths, start, history, subspace, k):
     """Mean, top-k basis and squared singular values per group from one pass (or a few, for wide groups)."""
     solved = {}
     wide = {g: subspace[g] for g in got if g in subspace}
     for g, (head, s, a) in got.items():
-        n, mean = head[0], s / head[0]
         if g in wide:
             continue
-        gram = a.reshape(widths[g], widths[g])
-        if rows.by_profile:
-            gram = gram - n * np.outer(mean, mean)
-        w, q = np.linalg.eigh(gram)
-        order = np.argsort(w)[::-1]
-        w, q = np.maximum(w[order], 0.0), q[:, order]
-        rank = int((np.sqrt(w) > 1e-12 * max(1.0, np.sqrt(w[0]))).sum())
-        rank = min(rank, n - 1 if rows.by_profile else widths[g] - 1, widths[g])
-        solved[g] = (mean, q[:, :k], w[:k], w.sum(), int(rank))
+        mean, w, q, rank = _solve(head, s, a.reshape(widths[g], widths[g]), rows.by_profile, start.get(g))
+        solved[g] = (mean, q[:, : min(k, rank)], w[: min(k, rank)], w.sum(), rank)
     for _ in range(200 if wide else 0):
         parts = _pass(rows, {g: widths[g] for g in wide}, start, history, wide)
         moved = 0.0
         for g, (head, s, a) in parts.items():
-            mean = s / head[0]
+            off = s / head[0]
+            mean = off + start[g] if rows.by_profile else off
             z = a.reshape(widths[g], -1)
             if rows.by_profile:
-                z = z - head[0] * np.outer(mean, mean @ wide[g])
+                z = z - head[0] * np.outer(off, off @ wide[g])
             v = wide[g]
             t = v.T @ z
             ev, turn = np.linalg.eigh((t + t.T) / 2)
             ev, turn = ev[::-1][:k], turn[:, ::-1][:, :k]
             ritz = v @ turn
             moved = max(moved, np.linalg.norm(z @ turn - ritz * ev) / max(ev[0], 1e-300))
-            total = head[1] - (head[0] * (mean @ mean) if rows.by_profile else 0.0)
+            total = head[1] - (head[0] * (off @ off) if rows.by_profile else 0.0)
             wide[g] = np.linalg.qr(z)[0]
             solved[g] = (mean, ritz, np.maximum(ev, 0.0), total, -1)
         if moved < 1e-11:
@@ -235,23 +281,23 @@ def em_svd_pca(profiles: DataFrame, value: str, k: int = 2, min_observed: int =
     subspace = {g: np.linalg.qr(rng.standard_normal((w, min(k + 4, w))))[0] for g, w in widths.items() if w > GRAM_SIDE}
     history: dict = {g: [] for g in widths}
     active, fits = dict(widths), {}
-    iterations, settled = {g: 0 for g in widths}, {g: False for g in widths}
+    ahead = _advance(rows, {g: w for g, w in widths.items() if g not in subspace}, start, k, max_iter, tol)
+    iterations, settled = {g: ahead.get(g, 0) for g in widths}, {g: False for g in widths}
     stale = 0
     while active:
         got = _pass(rows, active, start, history, subspace)
         solved = _spectrum(rows, got, active, start, history, subspace, k)
         for g in list(active):
             head = got[g][0]
-            if iterations[g]:
+            if history[g]:
                 change = np.sqrt(head[2] / head[4]) / max(np.sqrt(head[3] / head[4]), 1e-12) if head[4] else 0.0
                 settled[g] = bool(change <= tol)
             fits[g] = solved[g]
             if settled[g] or iterations[g] >= max_iter:
                 active.pop(g)
                 continue
-            mean, basis, w, _, rank = solved[g]
-            use = min(k, rank) if rank >= 0 else k
-            history[g].append((mean, basis[:, :use]))
+            mean, basis = solved[g][:2]
+            history[g].append((mean, basis))
             iterations[g] += 1
             if head[4] == 0:
                 settled[g] = True
@@ -466,6 +512,18 @@ def _row_vectors(long: DataFrame):
     return _spread(packed, n, max((len(v) for v in index.values()), default=1)), index
 
 
+def _shapes(d: DataFrame) -> dict:
+    """Per group the number of profiles, and why its distances cannot be scaled (None if they can)."""
+    size = d.groupBy("grp").agg(F.count_if(F.col("value").isNull()).alias("na"), F.countDistinct("a").alias("n"), F.countDistinct("b").alias("m"), F.countDistinct("a", "b").alias("pairs"))
+    turned = d.select("grp", F.col("b").alias("a"), F.col("a").alias("b"), F.col("value").alias("_w"))
+    uneven = d.join(turned, ["grp", "a", "b"]).groupBy("grp").agg(F.count_if(F.abs(F.col("value") - F.col("_w")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("value"))).alias("uneven"))
+    out = {}
+    for r in size.join(uneven, "grp", "left").collect():
+        reason = "fewer than three profiles" if r["n"] < 3 else "incomplete distances" if r["na"] or r["pairs"] != r["n"] * r["n"] or r["m"] != r["n"] else "distances are not symmetric" if r["uneven"] else None
+        out[r["grp"]] = (r["n"], reason)
+    return out
+
+
 def pcoa(distances: DataFrame, k: int = 2, group: str | None = None) -> Model:
     """Classical scaling of complete distance matrices (a, b, value, both orders and the diagonal).
 
@@ -475,14 +533,13 @@ def pcoa(distances: DataFrame, k: int = 2, group: str | None = None) -> Model:
     """
     spark = distances.sparkSession
     d = distances.withColumn("grp", F.col(group) if group else F.lit("ALL"))
-    bad = d.groupBy("grp").agg(F.count_if(F.col("value").isNull()).alias("_na"), F.countDistinct("a").alias("_n"))
-    shape = {r["grp"]: (r["_n"], r["_na"]) for r in bad.collect()}
-    fine = [g for g, (n, na) in shape.items() if n >= 3 and na == 0]
+    shape = _shapes(d)
+    fine = [g for g, (_, reason) in shape.items() if reason is None]
     status, coords = [], []
     gt = d.schema["grp"].dataType.simpleString()
-    for g, (n, na) in shape.items():
-        if g not in fine:
-            status.append(_status_row(g, "pairwise", "PCOA", reason="incomplete distances or fewer than three profiles", m=n))
+    for g, (n, reason) in shape.items():
+        if reason:
+            status.append(_status_row(g, "pairwise", "PCOA", reason=reason, m=n))
     if fine:
         gram = double_center(d.where(F.col("grp").isin(fine)).select("grp", "a", "b", "value"), "grp")
         rows, index = _row_vectors(gram)
@@ -505,10 +562,10 @@ def pcoa(distances: DataFrame, k: int = 2, group: str | None = None) -> Model:
                 continue
             q = q * np.sign(q[np.abs(q[:, : q.shape[1]]).argmax(0), np.arange(q.shape[1])])
             for i, name in enumerate(index[g]):
-                coords.append((g, name, *[float(q[i, c] * np.sqrt(w[c])) if c < comps else None for c in range(k)]))
+                coords.append((g, name, *[float(q[i, c] * np.sqrt(w[c])) if c < comps else None for c in range(k)], *[float(w[c] / total) if c < comps and total > 0 else None for c in range(k)]))
             status.append(_status_row(g, "pairwise", "PCOA", "PASS", "" if rank is not None else "fractions over the trace", n, None, rank, comps, float(w[:comps].sum() / total) if total > 0 else None))
     key = d.schema["a"].dataType.simpleString()
-    c = spark.createDataFrame(coords, f"analysis_id {gt}, profile {key}, " + ", ".join(f"Axis{i + 1} double" for i in range(k)))
+    c = spark.createDataFrame(coords, f"analysis_id {gt}, profile {key}, " + ", ".join(f"Axis{i + 1} double" for i in range(k)) + ", " + ", ".join(f"Axis{i + 1}_variance_fraction double" for i in range(k)))
     return Model(c, None, spark.createDataFrame(status, _STATUS.format(g=gt)))
 
 
@@ -554,7 +611,9 @@ def metric_mds(distances: DataFrame, seed: int, n_init: int = 8, max_iter: int =
     """
     spark = distances.sparkSession
     d = distances.withColumn("grp", F.col(group) if group else F.lit("ALL"))
-    rows, index = _row_vectors(d.select("grp", "a", "b", "value"))
+    shape = _shapes(d)
+    fine = [g for g, (_, reason) in shape.items() if reason is None]
+    rows, index = _row_vectors(d.where(F.col("grp").isin(fine)).select("grp", "a", "b", "value"))
     gt, key = d.schema["grp"].dataType.simpleString(), d.schema["a"].dataType.simpleString()
     x, best, moving, rounds = {}, {}, set(index), dict.fromkeys(index, 0)
     for g, names in index.items():
@@ -599,6 +658,7 @@ def metric_mds(distances: DataFrame, seed: int, n_init: int = 8, max_iter: int =
                 last[g], x[g] = stress, y[:, : 2 * n_init]
     coords = [(g, n, float(p[0]), float(p[1])) for g, names in index.items() for n, p in zip(names, best[g][0])]
     status = [(g, "METRIC_MDS", "PASS" if rounds[g] <= max_iter else "PASS_WITH_LIMITATION", len(names), rounds[g], best[g][1], seed) for g, names in index.items()]
+    status += [(g, "METRIC_MDS", f"NOT_ESTIMABLE: {reason}", n, None, None, seed) for g, (n, reason) in shape.items() if reason]
     c = spark.createDataFrame(coords, f"analysis_id {gt}, profile {key}, MDS1 double, MDS2 double")
     return Model(c, None, spark.createDataFrame(status, f"analysis_id {gt}, method string, status string, sample_count long, iterations long, stress double, seed long"))
 

@@ -217,10 +217,8 @@ def pair_correlation(detail: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("matched_features"), corr("value_a", "value_b").alias("pearson"), corr("ra", "rb").alias("spearman"))
 
 
-def metrics_from_rows(profiles: DataFrame, roster: DataFrame, value: str, gate=(V.GATE_FEATURES, V.GATE_TARGETS), blocks: int | None = None) -> DataFrame:
-    """``continuous_metrics`` by joins and aggregates only, for contracts of any size."""
-    blocks = blocks or block_count(roster)
-    detail = matched_support_join(profiles, roster, value, blocks)
+def _row_sums(detail: DataFrame) -> DataFrame:
+    """Metrics of every pair from its matched rows."""
     d, va, vb = F.col("absolute_difference"), F.col("value_a"), F.col("value_b")
     sums = detail.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("matched_features"), F.countDistinct("target").alias("matched_targets"),
@@ -228,7 +226,13 @@ def metrics_from_rows(profiles: DataFrame, roster: DataFrame, value: str, gate=(
         F.try_divide(F.sum(va * vb), F.sqrt(F.sum(va * va)) * F.sqrt(F.sum(vb * vb))).alias("cosine"),
         F.avg(d).alias("mean_abs_difference"), F.median(d).alias("median_abs_difference"), F.max(d).alias("max_abs_difference"),
     )
-    sums = sums.join(pair_correlation(detail).drop("matched_features"), ["a", "b"], "left")
+    return sums.join(pair_correlation(detail).drop("matched_features"), ["a", "b"], "left")
+
+
+def metrics_from_rows(profiles: DataFrame, roster: DataFrame, value: str, gate=(V.GATE_FEATURES, V.GATE_TARGETS), blocks: int | None = None) -> DataFrame:
+    """``continuous_metrics`` by joins and aggregates only, for contracts of any size."""
+    blocks = blocks or block_count(roster)
+    sums = _row_sums(matched_support_join(profiles, roster, value, blocks))
     size = profiles.groupBy("profile").agg(F.count(value).alias("support"))
     sized = roster.join(size, "profile", "left").withColumn("support", F.coalesce("support", F.lit(0)))
     every = pair_enumeration(sized, blocks, ("support",))
@@ -348,66 +352,76 @@ def target_level_mean(profiles: DataFrame, value: str) -> DataFrame:
 
 
 def query_metrics(profiles: DataFrame, query, value: str, gate=(V.GATE_FEATURES, V.GATE_TARGETS)) -> DataFrame:
-    """Continuous metrics of one query against every profile: linear in the data, no pair grid."""
+    """Continuous metrics of one query against every other profile, those without overlap too: linear in the data, no pair grid."""
     detail = pair_detail(profiles, query, value)
+    ranked = pair_correlation(detail.select(F.col("comparator").alias("a"), F.col("query").alias("b"), F.col("query_value").alias("value_a"), F.col("comparator_value").alias("value_b")))
+    others = profiles.where(F.col("profile") != query).select(F.col("profile").alias("comparator")).distinct()
     d, q, c = F.col("absolute_difference"), F.col("query_value"), F.col("comparator_value")
     spread = (F.max(q) > F.min(q)) & (F.max(c) > F.min(c))
-    return detail.groupBy("comparator").agg(
+    sums = detail.groupBy("comparator").agg(
         F.count(F.lit(1)).alias("matched_features"), F.countDistinct("target").alias("matched_targets"),
         F.sqrt(F.avg(d * d)).alias("rms"), F.sqrt(F.sum(d * d)).alias("euclidean"),
         F.try_divide(F.sum(q * c), F.sqrt(F.sum(q * q)) * F.sqrt(F.sum(c * c))).alias("cosine"),
         F.when(spread, F.try_divide(F.covar_samp(q, c), F.stddev_samp(q) * F.stddev_samp(c))).alias("pearson"),
         F.avg(d).alias("mean_abs_difference"), F.median(d).alias("median_abs_difference"), F.max(d).alias("max_abs_difference"),
-    ).withColumn("overlap_gate_pass", _gate(F.col("matched_features"), F.col("matched_targets"), gate))
+    )
+    full = others.join(sums, "comparator", "left").join(ranked.select(F.col("a").alias("comparator"), "spearman"), "comparator", "left")
+    return full.na.fill(0, ["matched_features", "matched_targets"]).withColumn("overlap_gate_pass", _gate(F.col("matched_features"), F.col("matched_targets"), gate))
 
 
 def target_level_pairwise(profiles: DataFrame, query, value: str) -> DataFrame:
+    """One row for every comparator, with matched 0 where no target is shared."""
     return query_metrics(target_level_mean(profiles, value), query, value)
 
 
 def incremental_pairs(prior: DataFrame, profiles: DataFrame, roster: DataFrame, changed: DataFrame, value: str, check: DataFrame | None = None,
                       tol: float = 1e-10) -> tuple[DataFrame, DataFrame]:
-    """(pairs, mismatches): pairs touching ``changed`` profiles are recomputed, the rest is taken from ``prior``.
+    """(pairs, equality): pairs touching ``changed`` profiles are recomputed in every metric, the rest is taken from ``prior``.
 
-    ``check`` is an optional recomputation of some reused pairs; rows differing by more than ``tol`` or in their NULLs are
-    reported.
+    ``check`` is an optional recomputation of some reused pairs. ``equality`` then has one row per metric: pairs compared, pairs that
+    differ by more than ``tol`` or in their NULLs, the largest difference, and whether reuse is allowed.
     """
     names = changed.select("profile").distinct()
     touched_a = prior.join(names, F.col("a") == F.col("profile"), "left_anti")
     reused = touched_a.join(names, F.col("b") == F.col("profile"), "left_anti").withColumn("lineage", F.lit("REUSED"))
-    # Pairs with a changed member only: changed x roster, oriented by roster order.
     new = _pairs_with(profiles, roster, names, value).withColumn("lineage", F.lit("RECOMPUTED"))
     pairs = reused.select(*new.columns).unionByName(new)
     if check is None:
-        return pairs, prior.sparkSession.createDataFrame([], "a string, b string, metric string")
+        return pairs, prior.sparkSession.createDataFrame([], "metric string, compared long, differing long, largest double, reuse_allowed boolean")
     j = reused.alias("p").join(check.alias("c"), ["a", "b"])
-    diffs = [
-        F.when(F.col(f"p.{m}").isNull() != F.col(f"c.{m}").isNull(), m).when(F.abs(F.col(f"p.{m}") - F.col(f"c.{m}")) > tol, m) for m in ("rms", "cosine", "pearson")
-    ]
-    bad = j.select(F.col("a").cast("string"), F.col("b").cast("string"), F.explode(F.array(*diffs)).alias("metric")).where("metric is not null")
-    return pairs, bad
+    metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"p.{m}").alias("was"), F.col(f"c.{m}").alias("now")) for m in _METRICS])).alias("m")
+    gap = F.abs(F.col("m.was") - F.col("m.now"))
+    equality = j.select(metrics).groupBy("m.metric").agg(
+        F.count(F.lit(1)).alias("compared"), F.count_if((F.col("m.was").isNull() != F.col("m.now").isNull()) | F.coalesce(gap > tol, F.lit(False))).alias("differing"), F.max(gap).alias("largest"))
+    return pairs, equality.withColumn("reuse_allowed", F.col("differing") == 0)
 
 
 def _pairs_with(profiles: DataFrame, roster: DataFrame, names: DataFrame, value: str) -> DataFrame:
-    tested = profiles.where(F.col(value).isNotNull()).join(roster, "profile").select("profile", "roster_order", "feature_id", "target", F.col(value).alias("_v"))
-    mine = tested.join(names, "profile", "left_semi")
-    flag = names.withColumn("_ch", F.lit(True))
-    x = mine.select(F.col("profile").alias("p"), F.col("roster_order").alias("po"), "feature_id", "target", F.col("_v").alias("pv"))
-    y = tested.join(flag, "profile", "left").select(F.col("profile").alias("q"), F.col("roster_order").alias("qo"), "feature_id", F.col("_v").alias("qv"), "_ch")
-    j = x.join(y, "feature_id").where((F.col("po") < F.col("qo")) | (F.col("_ch").isNull() & (F.col("po") != F.col("qo"))))
-    swap = F.col("po") > F.col("qo")
-    j = j.select(F.when(swap, F.col("q")).otherwise(F.col("p")).alias("a"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("b"),
-                 F.when(swap, F.col("qv")).otherwise(F.col("pv")).alias("va"), F.when(swap, F.col("pv")).otherwise(F.col("qv")).alias("vb"))
-    d, va, vb = F.abs(F.col("va") - F.col("vb")), F.col("va"), F.col("vb")
-    spread = (F.max(va) > F.min(va)) & (F.max(vb) > F.min(vb))
-    return j.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("matched_features"), F.sqrt(F.avg(d * d)).alias("rms"),
-        F.try_divide(F.sum(va * vb), F.sqrt(F.sum(va * va)) * F.sqrt(F.sum(vb * vb))).alias("cosine"),
-        F.when(spread, F.try_divide(F.covar_samp(va, vb), F.stddev_samp(va) * F.stddev_samp(vb))).alias("pearson"))
+    """Every metric of the pairs with a member in ``names``, those without overlap too; laid out on the grid of profile blocks."""
+    blocks = block_count(roster)
+    flagged = roster.select("profile", "roster_order").join(names.withColumn("_ch", F.lit(True)), "profile", "left")
+    size = profiles.groupBy("profile").agg(F.count(value).alias("support"))
+    sized = flagged.join(size, "profile", "left").na.fill(0, ["support"])
+
+    def met(rows: DataFrame, carry: list[str], on: list[str]) -> DataFrame:
+        x, y = _sides(rows, blocks)
+        x = x.where("_ch").select("_bi", "_bj", *on, F.col("profile").alias("p"), F.col("roster_order").alias("po"), *[F.col(c).alias(f"{c}_p") for c in carry])
+        y = y.select("_bi", "_bj", *on, F.col("profile").alias("q"), F.col("roster_order").alias("qo"), "_ch", *[F.col(c).alias(f"{c}_q") for c in carry])
+        j = x.join(y, ["_bi", "_bj", *on]).where((F.col("po") < F.col("qo")) | (F.col("_ch").isNull() & (F.col("po") != F.col("qo"))))
+        swap = F.col("po") > F.col("qo")
+        ends = [F.when(swap, F.col(second)).otherwise(F.col(first)).alias(out) for first, second, out in
+                [("p", "q", "a"), ("q", "p", "b"), *[(f"{c}_p", f"{c}_q", f"{c}_a") for c in carry], *[(f"{c}_q", f"{c}_p", f"{c}_b") for c in carry]]]
+        return j.select(*on, *ends)
+
+    tested = profiles.where(F.col(value).isNotNull()).join(flagged, "profile").select("profile", "roster_order", "_ch", "feature_id", "target", F.col(value).alias("value"))
+    detail = met(tested, ["value"], ["feature_id", "target"]).withColumn("absolute_difference", F.abs(F.col("value_a") - F.col("value_b")))
+    full = met(sized, ["support"], []).join(_row_sums(detail), ["a", "b"], "left").na.fill(0, ["matched_features", "matched_targets"])
+    return _finish(full, (V.GATE_FEATURES, V.GATE_TARGETS))
 
 
 def vector_equality_forensics(layers: DataFrame, roster: DataFrame, near: float = 1e-12) -> DataFrame:
-    """Pair x layer: matched cells, exactly and nearly equal ones, largest and mean difference, same-support flag.
+    """Pair x layer, those without overlap too: matched cells, exactly and nearly equal ones, largest and mean difference, whether the
+    supports are the same, whether the vectors are identical, and whether the pair is identical in any or in every layer.
 
     ``layers`` has (layer, profile, feature_id, feature_order, target, tissue, value).
     """
@@ -421,12 +435,16 @@ def vector_equality_forensics(layers: DataFrame, roster: DataFrame, near: float
     per = x.join(y, ["_bi", "_bj", "layer", "feature_id"]).where("_oa < _ob").groupBy("a", "b", "layer").agg(
         F.count(F.lit(1)).alias("matched"), F.count_if(F.col("va") == F.col("vb")).alias("exact_equal"), F.count_if(d <= near).alias("near_equal"),
         F.max(d).alias("max_abs"), F.avg(d).alias("mean_abs"))
+    names = [r[0] for r in layers.select("layer").distinct().orderBy("layer").collect()]  # a handful of named layers
+    every = pair_enumeration(roster, blocks).withColumn("layer", F.explode(F.array(*[F.lit(n) for n in names]))) if names else per.select("a", "b", "layer")
     size = keyed.groupBy("layer", "profile").agg(F.count(F.lit(1)).alias("k"))
-    out = per.join(size.select("layer", F.col("profile").alias("a"), F.col("k").alias("ka")), ["layer", "a"])
-    out = out.join(size.select("layer", F.col("profile").alias("b"), F.col("k").alias("kb")), ["layer", "b"])
+    out = every.select("a", "b", "layer").join(per, ["a", "b", "layer"], "left")
+    out = out.join(size.select("layer", F.col("profile").alias("a"), F.col("k").alias("ka")), ["layer", "a"], "left")
+    out = out.join(size.select("layer", F.col("profile").alias("b"), F.col("k").alias("kb")), ["layer", "b"], "left").na.fill(0, ["matched", "exact_equal", "near_equal", "ka", "kb"])
     same = (F.col("matched") == F.col("ka")) & (F.col("matched") == F.col("kb"))
-    return out.select("layer", "a", "b", "matched", "exact_equal", "near_equal", "max_abs", "mean_abs", same.alias("same_support"),
-                      (same & (F.col("exact_equal") == F.col("matched"))).alias("identical"))
+    told = out.select("layer", "a", "b", "matched", "exact_equal", "near_equal", "max_abs", "mean_abs", same.alias("same_support"), (same & (F.col("matched") > 0) & (F.col("exact_equal") == F.col("matched"))).alias("identical"))
+    across = told.groupBy("a", "b").agg(F.bool_or("identical").alias("identical_in_any_layer"), F.bool_and("identical").alias("identical_in_every_layer"))
+    return told.join(across, ["a", "b"])
 
 
 def distance_confounding(oriented: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -181,10 +181,10 @@ def _(spark, sf):
     return d.select("class_id", "class_label", r("mean_distance"), r("median_distance"), r("minimum_distance"), "member_count")
 
 
-@register("method_availability", "SELECT activity_type AS method, " + ", ".join(f"count(*) FILTER (lane = '{s}') AS {s}" for s in ("MEASURED_NUMERICAL", "MODELED_OR_IMPUTED", "ASSIGNED_SCENARIO")) + " FROM cleaned GROUP BY 1")
+@register("method_availability", "SELECT activity_type AS method, " + ", ".join(f"count(*) FILTER (lane = '{s}') AS {s}" for s in ("MEASURED_NUMERICAL", "MEASURED_NONNUMERICAL", "MODELED_OR_IMPUTED")) + ", count(*) FILTER (coalesce(lane, '') NOT IN ('MEASURED_NUMERICAL', 'MEASURED_NONNUMERICAL', 'MODELED_OR_IMPUTED')) AS OTHER FROM cleaned GROUP BY 1")
 def _(spark, sf):
     st = B.cleaned(spark, sf).select(C("activity_type").alias("method"), C("lane").alias("status"))
-    return L.method_availability(st, ["MEASURED_NUMERICAL", "MODELED_OR_IMPUTED", "ASSIGNED_SCENARIO"])
+    return L.method_availability(st, ["MEASURED_NUMERICAL", "MEASURED_NONNUMERICAL", "MODELED_OR_IMPUTED"])
 
 
 # ---- common scale

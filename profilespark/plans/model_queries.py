@@ -12,7 +12,6 @@ from .pair_queries import PAIR_VIEWS, states, vector_metrics
 from .register import r, register
 
 C = F.col
-SOME = 40  # filling rounds for the queries that fit several models; the status reports whether they settled
 
 
 def score_roster(p):
@@ -43,7 +42,7 @@ def _(spark, sf):
 
 @register("model_status")
 def _(spark, sf):
-    return M.em_svd_pca(B.vectors(spark, sf), "value", max_iter=SOME).status
+    return M.em_svd_pca(B.vectors(spark, sf), "value").status
 
 
 _LD = "SELECT feature_id, avg(value) AS mu, avg(CASE WHEN label < 5 THEN value END) AS l1, avg(CASE WHEN label >= 5 THEN value END) AS l2 FROM vectors GROUP BY 1"
@@ -63,12 +62,12 @@ def _(spark, sf):
 def _(spark, sf):
     e = B.table(spark, sf, "embeddings")
     ref, ask = e.where("label < 7").select(C("vec_id").alias("profile")), e.where("label >= 7").select(C("vec_id").alias("profile"))
-    return M.fixed_reference_pca(B.vectors(spark, sf), "value", ref, ask, max_iter=SOME).scores
+    return M.fixed_reference_pca(B.vectors(spark, sf), "value", ref, ask).scores
 
 
 @register("sparse_call_pca")
 def _(spark, sf):
-    return M.sparse_call_pca(states(spark, sf), 0.001, max_iter=SOME).scores
+    return M.sparse_call_pca(states(spark, sf), 0.001).scores
 
 
 @register("target_level_pca")
@@ -114,11 +113,11 @@ def _(spark, sf):
 
 @register("class_models")
 def _(spark, sf):
-    out = M.class_models(B.vectors(spark, sf), states(spark, sf), vector_distances(spark, sf), B.vector_classes(spark, sf), "value", 0.001, max_iter=10)
+    out = M.class_models(B.vectors(spark, sf), states(spark, sf), vector_distances(spark, sf), B.vector_classes(spark, sf), "value", 0.001)
     return out["status"]
 
 
 @register("component_audit")
 def _(spark, sf):
-    st = M.em_svd_pca(B.vectors(spark, sf).withColumn("grp_label", C("label").cast("string")), "value", max_iter=10, group="grp_label").status
+    st = M.em_svd_pca(B.vectors(spark, sf).withColumn("grp_label", C("label").cast("string")), "value", group="grp_label").status
     return G.component_audit(st)

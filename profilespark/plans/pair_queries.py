@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import calls as K
 from ..operators import nearest as N
+from ..operators import outliers as O
 from ..operators import pairs as P
+from ..session import cut
 from . import bindings as B
 from .register import r, register
 
@@ -184,36 +186,65 @@ def _(spark, sf):
     return P.target_level_mean(B.profiles(spark, sf), "score").select("profile", "feature_id", r("score"))
 
 
-@register("target_level_pairwise", f"""SELECT c.profile AS comparator, count(*) AS matched_features, round(sqrt(avg((q.s - c.s) * (q.s - c.s))), 6) AS rms, round(median(abs(q.s - c.s)), 6) AS median_abs_difference,
-  round(sum(q.s * c.s) / (sqrt(sum(q.s * q.s)) * sqrt(sum(c.s * c.s))), 6) AS cosine, round(corr(q.s, c.s), 6) AS pearson
-FROM tm c JOIN tm q ON c.target = q.target WHERE q.profile = 0 AND c.profile <> 0 AND q.s IS NOT NULL AND c.s IS NOT NULL GROUP BY 1""", tm="SELECT profile, target, avg(value) AS s FROM vectors GROUP BY 1, 2")
+@register("target_level_pairwise", """SELECT o.profile AS comparator, coalesce(n, 0) AS matched_features, round(rms, 6) AS rms, round(med, 6) AS median_abs_difference, round(cosine, 6) AS cosine, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman
+FROM (SELECT DISTINCT profile FROM vectors WHERE profile <> 0) o LEFT JOIN (
+  SELECT profile, count(*) AS n, sqrt(avg((q - c) * (q - c))) AS rms, median(abs(q - c)) AS med, sum(q * c) / (sqrt(sum(q * q)) * sqrt(sum(c * c))) AS cosine,
+    CASE WHEN max(q) > min(q) AND max(c) > min(c) THEN covar_samp(q, c) / nullif(stddev_samp(q) * stddev_samp(c), 0) END AS pearson,
+    CASE WHEN max(rq) > min(rq) AND max(rc) > min(rc) THEN covar_samp(rq, rc) / nullif(stddev_samp(rq) * stddev_samp(rc), 0) END AS spearman
+  FROM (SELECT *, rank() OVER (PARTITION BY profile ORDER BY q) + (count(*) OVER (PARTITION BY profile, q) - 1) / 2.0 AS rq, rank() OVER (PARTITION BY profile ORDER BY c) + (count(*) OVER (PARTITION BY profile, c) - 1) / 2.0 AS rc
+    FROM (SELECT c.profile, q.s AS q, c.s AS c FROM tm c JOIN tm q ON c.target = q.target WHERE q.profile = 0 AND c.profile <> 0 AND q.s IS NOT NULL AND c.s IS NOT NULL)) GROUP BY 1) m ON o.profile = m.profile""", tm="SELECT profile, target, avg(value) AS s FROM sparse GROUP BY 1, 2",
+          sparse="SELECT * FROM vectors WHERE profile % 11 = 0 OR (profile % 11 = 5 AND target <> 't0') OR (profile % 11 = 7 AND target = 't7') OR profile % 11 NOT IN (5, 7)")
 def _(spark, sf):
-    t = P.target_level_pairwise(B.vectors(spark, sf), 0, "value")
-    return t.select("comparator", "matched_features", r("rms"), r("median_abs_difference"), r("cosine"), r("pearson"))
+    """A share of the vectors lacks a target or has a single one, so that comparators with little overlap occur."""
+    v = B.vectors(spark, sf)
+    kind = C("profile") % 11
+    t = P.target_level_pairwise(v.where((kind == 0) | ((kind == 5) & (C("target") != "t0")) | ((kind == 7) & (C("target") == "t7")) | ~kind.isin(5, 7)), 0, "value")
+    return t.select("comparator", "matched_features", r("rms"), r("median_abs_difference"), r("cosine"), r("pearson"), r("spearman"))
+
+
+@register("incremental_pairs", f"""SELECT m.a, m.b, CASE WHEN x.label = 3 OR y.label = 3 THEN 'RECOMPUTED' ELSE 'REUSED' END AS lineage, matched_features, matched_targets, overlap_gate_pass, support_union, {_MSQL}, round(support_jaccard, 6) AS support_jaccard
+FROM moved_metrics m JOIN embeddings x ON m.a = x.vec_id JOIN embeddings y ON m.b = y.vec_id""",
+          moved="SELECT profile, label, feature_order, feature_id, target, tissue, CASE WHEN label = 3 THEN CASE WHEN profile % 2 = 0 OR target = 't0' THEN value * value END ELSE CASE WHEN label <> 4 OR target <> 't0' THEN value END END AS value FROM vectors",
+          moved_matched=MATCHED.replace("vectors", "moved"), moved_sizes=SIZES.replace("vectors", "moved"), moved_ranked=RANKED.replace("FROM matched", "FROM moved_matched"),
+          moved_metrics=METRICS.replace("JOIN sizes", "JOIN moved_sizes").replace("FROM ranked", "FROM moved_ranked"))
+def _(spark, sf):
+    """Profiles of one label change, and half of them keep a single target that those of another label lack: pairs without overlap occur."""
+    thin = B.vectors(spark, sf).withColumn("value", F.when((C("label") != 4) | (C("target") != "t0"), C("value")))
+    roster = B.vector_roster(spark, sf)
+    prior = P.continuous_metrics(thin, roster, "value", n_features=64)
+    moved = thin.withColumn("value", F.when(C("label") != 3, C("value")).when((C("profile") % 2 == 0) | (C("target") == "t0"), C("value") * C("value")))
+    changed = B.table(spark, sf, "embeddings").where("label = 3").select(C("vec_id").alias("profile"))
+    pairs, _ = P.incremental_pairs(prior, moved, roster, changed, "value")
+    return pairs.select("a", "b", "lineage", "matched_features", "matched_targets", "overlap_gate_pass", "support_union", *[r(m) for m in _M], r("support_jaccard"))
 
 
-@register("incremental_pairs", """SELECT a, b, CASE WHEN x.label = 3 OR y.label = 3 THEN 'RECOMPUTED' ELSE 'REUSED' END AS lineage, count(*) AS matched_features, round(sqrt(avg(d * d)), 6) AS rms,
-  round(sum(va * vb) / (sqrt(sum(va * va)) * sqrt(sum(vb * vb))), 6) AS cosine FROM (
-    SELECT a.profile AS a, b.profile AS b, a.v AS va, b.v AS vb, abs(a.v - b.v) AS d FROM moved a JOIN moved b ON a.feature_order = b.feature_order AND a.profile < b.profile WHERE a.v IS NOT NULL AND b.v IS NOT NULL)
-  JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id GROUP BY 1, 2, 3""", moved="SELECT *, CASE WHEN label = 3 THEN value * value ELSE value END AS v FROM vectors")
+@register("incremental_equality", "SELECT metric, (SELECT count(*) FROM vector_roster x JOIN vector_roster y ON x.profile < y.profile JOIN embeddings e ON x.profile = e.vec_id JOIN embeddings g ON y.profile = g.vec_id WHERE e.label <> 3 AND g.label <> 3 AND e.label < 2 AND g.label < 2) AS compared, 0 AS differing, true AS reuse_allowed FROM (VALUES " + ", ".join(f"('{m}')" for m in _M) + ") t(metric)")
 def _(spark, sf):
+    """Pairs of two labels are computed again, by joined rows, and compared with the prior table."""
     v, roster = B.vectors(spark, sf), B.vector_roster(spark, sf)
-    prior = vector_metrics(spark, sf)
-    moved = v.withColumn("value", F.when(C("label") == 3, C("value") * C("value")).otherwise(C("value")))
+    again = B.table(spark, sf, "embeddings").where("label < 2").select(C("vec_id").alias("profile"))
+    check = P.metrics_from_rows(v.join(again, "profile", "left_semi"), roster.join(again, "profile", "left_semi"), "value")
     changed = B.table(spark, sf, "embeddings").where("label = 3").select(C("vec_id").alias("profile"))
-    pairs, _ = P.incremental_pairs(prior, moved, roster, changed, "value")
-    return pairs.select("a", "b", "lineage", "matched_features", r("rms"), r("cosine"))
+    _, equality = P.incremental_pairs(vector_metrics(spark, sf), v, roster, changed, "value", check, tol=1e-9)
+    return equality.select("metric", "compared", "differing", "reuse_allowed")
 
 
-@register("vector_equality_forensics", """SELECT layer, a, b, count(*) AS matched, count(*) FILTER (va = vb) AS exact_equal, count(*) FILTER (abs(va - vb) <= 1e-12) AS near_equal, round(max(abs(va - vb)), 6) AS max_abs, round(avg(abs(va - vb)), 6) AS mean_abs,
-  bool_and(ka = kb) AND count(*) = min(ka) AS same_support FROM (
-    SELECT x.layer, x.profile AS a, y.profile AS b, x.v AS va, y.v AS vb, x.k AS ka, y.k AS kb FROM lay x JOIN lay y ON x.layer = y.layer AND x.feature_order = y.feature_order AND x.profile < y.profile) GROUP BY 1, 2, 3""",
-          lay="SELECT *, count(*) OVER (PARTITION BY layer, profile) AS k FROM (SELECT 'RAW' AS layer, profile, feature_order, value AS v FROM vectors WHERE value IS NOT NULL UNION ALL SELECT 'SIGN', profile, feature_order, CAST(sign(value) AS DOUBLE) FROM vectors WHERE value IS NOT NULL)")
+@register("vector_equality_forensics", """SELECT layer, a, b, matched, exact_equal, near_equal, round(max_abs, 6) AS max_abs, round(mean_abs, 6) AS mean_abs, same_support, identical, bool_or(identical) OVER (PARTITION BY a, b) AS identical_in_any_layer, bool_and(identical) OVER (PARTITION BY a, b) AS identical_in_every_layer
+FROM (SELECT l.layer, p.a, p.b, coalesce(n, 0) AS matched, coalesce(ex, 0) AS exact_equal, coalesce(ne, 0) AS near_equal, max_abs, mean_abs,
+    coalesce(n, 0) = coalesce(ka.k, 0) AND coalesce(n, 0) = coalesce(kb.k, 0) AS same_support, coalesce(n, 0) = coalesce(ka.k, 0) AND coalesce(n, 0) = coalesce(kb.k, 0) AND coalesce(n, 0) > 0 AND ex = n AS identical
+  FROM (SELECT x.profile AS a, y.profile AS b FROM vector_roster x JOIN vector_roster y ON x.profile < y.profile) p CROSS JOIN (SELECT DISTINCT layer FROM lay) l
+  LEFT JOIN (SELECT x.layer, x.profile AS a, y.profile AS b, count(*) AS n, count(*) FILTER (x.v = y.v) AS ex, count(*) FILTER (abs(x.v - y.v) <= 1e-12) AS ne, max(abs(x.v - y.v)) AS max_abs, avg(abs(x.v - y.v)) AS mean_abs
+    FROM lay x JOIN lay y ON x.layer = y.layer AND x.feature_order = y.feature_order AND x.profile < y.profile GROUP BY 1, 2, 3) m ON m.layer = l.layer AND m.a = p.a AND m.b = p.b
+  LEFT JOIN lsize ka ON ka.layer = l.layer AND ka.profile = p.a LEFT JOIN lsize kb ON kb.layer = l.layer AND kb.profile = p.b)""",
+          lay="SELECT 'RAW' AS layer, profile, feature_order, value AS v FROM vectors WHERE value IS NOT NULL AND (label <> 3 OR target = 't0') AND (label <> 4 OR target <> 't0') UNION ALL SELECT 'SIGN', profile, feature_order, CAST(sign(value) AS DOUBLE) FROM vectors WHERE value IS NOT NULL",
+          lsize="SELECT layer, profile, count(*) AS k FROM lay GROUP BY 1, 2")
 def _(spark, sf):
-    v = B.vectors(spark, sf).select("profile", "feature_id", "value")
-    layers = v.withColumn("layer", F.lit("RAW")).unionByName(v.withColumn("layer", F.lit("SIGN")).withColumn("value", F.signum("value")))
+    """In the raw layer, profiles of one label keep one target only, which those of another lack."""
+    v = B.vectors(spark, sf)
+    raw = v.where(((C("label") != 3) | (C("target") == "t0")) & ((C("label") != 4) | (C("target") != "t0"))).select("profile", "feature_id", "value").withColumn("layer", F.lit("RAW"))
+    layers = raw.unionByName(v.select("profile", "feature_id", F.signum("value").alias("value")).withColumn("layer", F.lit("SIGN")))
     f = P.vector_equality_forensics(layers, B.vector_roster(spark, sf))
-    return f.select("layer", "a", "b", "matched", "exact_equal", "near_equal", r("max_abs"), r("mean_abs"), "same_support")
+    return f.select("layer", "a", "b", "matched", "exact_equal", "near_equal", r("max_abs"), r("mean_abs"), "same_support", "identical", "identical_in_any_layer", "identical_in_every_layer")
 
 
 @register("distance_confounding", """SELECT CASE WHEN a = 0 THEN b ELSE a END AS comparator, matched_features, matched_targets, round(support_jaccard, 6) AS support_jaccard, round(rms, 6) AS rms, round(spearman, 6) AS spearman,
@@ -244,9 +275,13 @@ def _(spark, sf):
     return states(spark, sf).select("profile", "feature_id", "call_alpha001", "call_alpha0001", r("score_alpha001"))
 
 
-@register("call_matrix_counts", "SELECT profile, count(*) FILTER (call_alpha001 = 1) AS called, count(*) FILTER (call_alpha001 = 0) AS tested_noncall, count(*) FILTER (call_alpha001 IS NULL) AS unsupported FROM st GROUP BY 1", st=_STATES)
+@register("call_matrix_counts", """SELECT profile, coalesce(c, 0) AS called, k - coalesce(c, 0) AS tested_noncall, (SELECT count(*) FROM contract) - k AS unsupported
+FROM (SELECT profile, count(score) AS k FROM profiles GROUP BY 1) LEFT JOIN (SELECT profile, count(DISTINCT feature_id) AS c FROM profile_calls WHERE alpha > 0.0005 GROUP BY 1) USING (profile)""")
 def _(spark, sf):
-    return K.call_matrix_counts(states(spark, sf), "call_alpha001")
+    p, contract = cut(B.profiles(spark, sf)), B.contract(spark, sf)
+    calls = O.gesd_calls(p, "profile", "score", "feature_order")
+    cells = K.call_states(p.select("profile", "feature_id", "score"), calls, contract, p.select("profile").distinct(), "score")
+    return K.call_matrix_counts(cells, "call_alpha001", contract)
 
 
 @register("sparse_call_matrix", "SELECT target, " + ", ".join(f"max(CASE WHEN tissue = 'u{i}' THEN s END) AS u{i}" for i in range(8)) + " FROM (SELECT target, tissue, round(sum(value), 6) AS s FROM vector_calls WHERE alpha > 0.0005 GROUP BY 1, 2) GROUP BY 1")
@@ -283,11 +318,11 @@ _LC = "SELECT DISTINCT profile, feature_id, target, tissue FROM vector_calls WHE
 
 @register("call_partition", f"""SELECT comparator, feature_id, call_status, target, tissue FROM (
   SELECT o.profile AS comparator, o.feature_id, CASE WHEN q.feature_id IS NULL THEN 'COMPARATOR_ONLY' ELSE 'SHARED' END AS call_status FROM lc o LEFT JOIN lc q ON o.feature_id = q.feature_id AND q.profile = {QC} WHERE o.profile <> {QC}
-  UNION ALL SELECT p.profile, q.feature_id, 'QUERY_ONLY' FROM (SELECT DISTINCT profile FROM lc WHERE profile <> {QC}) p, lc q WHERE q.profile = {QC} AND NOT EXISTS (SELECT 1 FROM lc z WHERE z.profile = p.profile AND z.feature_id = q.feature_id))
+  UNION ALL SELECT p.profile, q.feature_id, 'QUERY_ONLY' FROM (SELECT profile FROM vector_roster WHERE profile <> {QC}) p, lc q WHERE q.profile = {QC} AND NOT EXISTS (SELECT 1 FROM lc z WHERE z.profile = p.profile AND z.feature_id = q.feature_id))
   JOIN vector_contract USING (feature_id)""", lc=_LC)
 def _(spark, sf):
     calls = B.vector_calls(spark, sf).where("alpha > 0.0005")
-    return K.call_partition(calls, QC, B.vector_contract(spark, sf)).select("comparator", "feature_id", "call_status", "target", "tissue")
+    return K.call_partition(calls, QC, B.vector_contract(spark, sf), B.vector_roster(spark, sf)).select("comparator", "feature_id", "call_status", "target", "tissue")
 
 
 @register("support_summary", "SELECT s.profile AS comparator, coalesce(n, 0) AS shared_features, q.k + s.k - coalesce(n, 0) AS union_features, q.k - coalesce(n, 0) AS query_only_features, s.k - coalesce(n, 0) AS comparator_only_features FROM sizes s JOIN sizes q ON q.profile = 0 LEFT JOIN (SELECT b, count(*) AS n FROM matched WHERE a = 0 GROUP BY 1) m ON m.b = s.profile WHERE s.profile <> 0", sizes=SIZES, matched=MATCHED)

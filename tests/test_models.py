@@ -86,3 +86,53 @@ def test_complete_distance_subset(spark):
     cover = spark.createDataFrame(list(zip("abcde", [5, 4, 3, 2, 1])), "profile string, coverage long")
     kept, out = M.complete_distance_subset(pairs, cover, "rms")
     assert sorted(r.profile for r in kept.collect()) == ["a", "d", "e"] and [r.profile for r in out.orderBy("exclusion_order").collect()] == ["b", "c"]
+
+
+def table_of(spark, x, name="p"):
+    return spark.createDataFrame([(f"{name}{i}", f"f{j}", j, float(v)) for i, row in enumerate(x) for j, v in enumerate(row) if v == v], "profile string, feature_id string, feature_order long, value double")
+
+
+def test_rank_of_rank_one_tables(spark):
+    rng = np.random.default_rng(3)
+    parts = None
+    for g in range(40):
+        m, f = rng.integers(3, 9), rng.integers(2, 9)
+        t = table_of(spark, np.outer(rng.standard_normal(m), rng.standard_normal(f)) + rng.standard_normal(f)).withColumn("grp_label", F.lit(f"g{g:02d}"))
+        parts = t if parts is None else parts.unionByName(t)
+    fit = M.complete_case_pca(parts, "value", group="grp_label")
+    status = fit.status.collect()
+    assert len(status) == 40 and all(r["rank"] == 1 and r["component_count"] == 1 for r in status)
+    assert fit.scores.where("PC2 is not null").count() == 0
+
+
+def test_large_offsets_lose_no_digits(spark):
+    rng = np.random.default_rng(4)
+    x = 1e7 + rng.standard_normal((30, 5)) * np.array([3, 2, 1, 1, 1])
+    status = M.complete_case_pca(table_of(spark, x), "value").status.first()
+    w = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
+    assert abs(status["explained_variance_sum"] - w[:2].sum() / w.sum()) < 1e-9
+
+
+def test_fits_by_passes_and_inside_a_task_agree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((12, 2)) @ rng.standard_normal((2, 6)) + 0.1 * rng.standard_normal((12, 6))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    t = table_of(spark, x)
+    near = M.em_svd_pca(t, "value", max_iter=12, tol=0.0)
+    monkeypatch.setattr(M, "CELLS_PER_TASK", 1)
+    far = M.em_svd_pca(t, "value", max_iter=12, tol=0.0)
+    a, b = near.status.first(), far.status.first()
+    assert a["iterations"] == b["iterations"] == 12 and abs(a["observed_reconstruction_rmse"] - b["observed_reconstruction_rmse"]) < 1e-12
+    rows = {r["profile"]: r for r in far.scores.collect()}
+    assert all(abs(r["PC1"] - rows[r["profile"]]["PC1"]) < 1e-9 for r in near.scores.collect())
+
+
+def test_scaling_refuses_uneven_distances(spark):
+    full = [(a, b, float(abs(ord(a) - ord(b)))) for a in "abcd" for b in "abcd"]
+    turned = [(a, b, v + (0.5 if (a, b) == ("a", "b") else 0.0)) for a, b, v in full]
+    holes = [r for r in full if r[:2] != ("c", "a")]
+    schema = "a string, b string, value double"
+    assert M.pcoa(spark.createDataFrame(full, schema)).status.first()["status"] == "PASS"
+    for rows in (turned, holes):
+        assert M.pcoa(spark.createDataFrame(rows, schema)).status.first()["status"] == "NOT_ESTIMABLE"
+        assert M.metric_mds(spark.createDataFrame(rows, schema), 1).status.first()["status"].startswith("NOT_ESTIMABLE")
