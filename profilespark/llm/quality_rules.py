@@ -45,7 +45,7 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     with a repeated window sort theirs, and overlapping windows count each word once.
     """
     t = plain(docs, doc_id=doc_id, text=text).withColumn("text", F.coalesce("text", F.lit("")))
-    body = F.expr(f"trim(BOTH '{SPACES.encode('unicode_escape').decode()}' FROM text)")
+    body = F.btrim("text", F.lit(SPACES))
     words = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE_RUN))
     lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != ""), lambda x: F.xxhash64(x))
     t = t.select(
@@ -198,5 +198,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns; rows are matched by id and text, so repeated ids are judged apart."""
     good = judged(docs, labels).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    key = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
+    key = docs["doc_id"].eqNullSafe(good["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == good["_hash"])
     return docs.join(good, key, "left_semi")

@@ -231,5 +231,5 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each group, with its own columns; of rows that share an id one stays. Rows without an id stay."""
     firsts = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(firsts, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(firsts, docs["doc_id"] == firsts["_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
