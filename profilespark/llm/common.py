@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,3 +54,13 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
                 n += 1
             yield batch.slice(at, n)
             at += n
+
+
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """The table written to the shared folder in buckets of ``key``: later joins on the key read it without moving it again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"by_{key}_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+    return spark.table(name)
