@@ -135,6 +135,33 @@ def test_passages(spark):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_exact_blocks_survive_their_chain(spark):
+    """Five exact blocks of 50 words with 22 other words in between: no chain of three or more reaches the similarity."""
+    for seed in range(3):
+        blocks = [prose(1000 + 10 * seed + i, 50) for i in range(5)]
+        rows = [(d, " ".join(w for i, b in enumerate(blocks) for w in (prose(2000 + 100 * seed + 10 * d + i, 22), b))) for d in (1, 2)]
+        found = passages.repeated_passages(table(spark, rows)).collect()
+        got = {w for r in found for w in range(r.passage_start, r.passage_end)}
+        assert got >= {w for i in range(5) for w in range(22 + 72 * i, 72 + 72 * i)}
+        assert all(r.doc_id == 2 and r.source_doc_id == 1 and r.similarity >= passages.SIMILARITY for r in found)
+
+
+def test_parts_reach_the_similarity():
+    rng = random.Random(4)
+    for _ in range(100):
+        a, b, blocks = [], [], []
+        for _ in range(rng.randint(1, 5)):
+            run, gap = rng.randint(10, 40), rng.randint(5, 30)
+            a += [f"a{len(a) + i}" for i in range(gap)]
+            b += [f"b{len(b) + i}" for i in range(gap)]
+            blocks.append((len(a), run))
+            shared = [f"s{len(a) + i}" for i in range(run)]
+            a, b = a + shared, b + shared
+        got = passages.parts(a, b, 0.8, 20)
+        assert all(n == passages.common_words(a[x0:x1], b[y0:y1]) and n >= 0.8 * max(x1 - x0, y1 - y0) for x0, x1, y0, y1, n in got)
+        assert all(any(x0 <= at and at + run <= x1 for x0, x1, *_ in got) for at, run in blocks if run >= 20)
+
+
 def test_chains_follow_gap_costs():
     near = passages.chain([0, 20, 200], [5, 27, 90], [10, 40, 210], [15, 47, 100], 0.2, 30)
     assert near[0] == [0, 1] and [2] in near
