@@ -31,7 +31,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that repeat an earlier document go from the texts; every document stays."""
+    """Passages of 50 words or more that repeat an earlier document or place go from the texts; every document stays."""
     return _counted(passages.drop_passages(docs, passages.repeated_passages(docs)))
 
 

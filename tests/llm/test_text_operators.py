@@ -146,6 +146,17 @@ def test_exact_blocks_survive_their_chain(spark):
         assert all(r.doc_id == 2 and r.source_doc_id == 1 and r.similarity >= passages.SIMILARITY for r in found)
 
 
+def test_every_copy_in_one_document(spark):
+    """A document with another's passage three times loses all three copies; one that repeats a passage of its own keeps the first."""
+    shared, own, fill = prose(3001, 60).split(), prose(3002, 60).split(), [prose(3010 + i, 80).split() for i in range(8)]
+    rows = [(1, fill[0] + shared + fill[1]), (2, fill[2] + shared + fill[3] + shared + fill[4] + shared), (3, fill[5] + own + fill[6] + own + fill[7] + own)]
+    docs = table(spark, [(i, " ".join(words)) for i, words in rows])
+    found = passages.repeated_passages(docs)
+    assert all((r.source_doc_id, r.source_start) < (r.doc_id, r.start_word) for r in found.collect())
+    kept = {r.doc_id: r.text.split() for r in passages.drop_passages(docs, found).collect()}
+    assert kept == {1: rows[0][1], 2: fill[2] + fill[3] + fill[4], 3: fill[5] + own + fill[6] + fill[7]}
+
+
 def test_parts_reach_the_similarity():
     rng = random.Random(4)
     for _ in range(100):
