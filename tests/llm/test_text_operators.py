@@ -157,6 +157,24 @@ def test_every_copy_in_one_document(spark):
     assert kept == {1: rows[0][1], 2: fill[2] + fill[3] + fill[4], 3: fill[5] + own + fill[6] + fill[7]}
 
 
+def test_passages_whose_seeds_occur_singly_before(spark):
+    """Short pieces of a passage in earlier documents cover all its seeds; exact repeats are held against brute force."""
+    rng = random.Random(11)
+    for seed in range(3):
+        passage, fill = prose(4000 + seed, 64).split(), lambda i, n=40: prose(5000 + 100 * seed + i, n).split()
+        rows = [(i, fill(i) + passage[12 * i : 12 * i + 16] + fill(10 + i)) for i in range(5)]
+        rows += [(20, fill(20) + passage + fill(21)), (30, fill(22) + passage + fill(23))]
+        rows += [(40 + i, fill(30 + i) + passage[(at := rng.randint(0, 64 - 50)) : at + 50] + fill(40 + i)) for i in range(6)]
+        got = defaultdict(set)
+        for r in passages.repeated_passages(table(spark, [(i, " ".join(words)) for i, words in rows])).collect():
+            got[r.doc_id] |= set(range(r.passage_start, r.passage_end))
+        before = set()
+        for i, words in rows:
+            runs = [tuple(words[j : j + 50]) for j in range(len(words) - 49)]
+            assert got[i] >= {j + n for j, run in enumerate(runs) if run in before for n in range(50)}, (seed, i)
+            before |= set(runs)
+
+
 def test_parts_reach_the_similarity():
     rng = random.Random(4)
     for _ in range(100):
