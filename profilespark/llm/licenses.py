@@ -33,8 +33,47 @@ TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSD notice": "Released under the BSD License.",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "EPL-2.0 notice": "Licensed under the Eclipse Public License, Version 2.0.",
+    "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0 notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0 notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 notice": "Licensed under CC BY-NC-ND 4.0.",
     "All rights reserved": "All rights reserved.",
 }
+# What tells a licence from those of like wording; each phrase must stand unbroken in the stretch found.
+ANCHORS = {
+    "GPL-3.0": ["gnu general public license", "version 3"],
+    "GPL-3.0 notice": ["gnu general public license", "version 3"],
+    "MPL-2.0": ["mozilla public license"],
+    "Apache-2.0 notice": ["apache license version 2 0"],
+    "MIT notice": ["mit license"],
+    "CC-BY-NC-4.0 notice": ["cc by nc 4 0"],
+    "GPL-2.0": ["gnu general public license", "version 2 of"],
+    "GPL-2.0 notice": ["gnu general public license", "version 2"],
+    "LGPL-2.1": ["gnu lesser general public license", "version 2 1"],
+    "LGPL-3.0": ["gnu lesser general public license", "version 3"],
+    "LGPL-3.0 notice": ["gnu lesser general public license", "version 3"],
+    "AGPL-3.0": ["gnu affero general public license", "version 3"],
+    "AGPL-3.0 notice": ["gnu affero general public license", "version 3"],
+    "Unlicense": ["unencumbered software"],
+    "BSD notice": ["bsd license"],
+    "EPL-2.0 notice": ["eclipse public license version 2 0"],
+    "CC-BY-4.0 notice": ["cc by 4 0"],
+    "CC-BY-SA-4.0 notice": ["cc by sa 4 0"],
+    "CC-BY-ND-4.0 notice": ["cc by nd 4 0"],
+    "CC-BY-NC-SA-4.0 notice": ["cc by nc sa 4 0"],
+    "CC-BY-NC-ND-4.0 notice": ["cc by nc nd 4 0"],
+}
 # Words of the templates that ordinary texts are full of, which mark nothing.
 COMMON = set("a above all and any are as at be but by can either file following for form form free if in is it kind later law list may must not of on one or other person shall so software source subject terms that the this to under use v was where whom with without work writing you your 0 2 3 4 http https www org copy code version".split())
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -115,9 +154,10 @@ def _best_stretch(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float) -> None:
+    def __init__(self, templates: dict[str, str], coverage: float, anchors: dict[str, list[str]] | None = None) -> None:
         self.templates = {name: licence_words(text.encode()) for name, text in templates.items()}
         self.counts = {name: Counter(t) for name, t in self.templates.items()}
+        self.anchors = {name: [f" {p} ".encode() for p in phrases] for name, phrases in (anchors or {}).items()}
         self.coverage = coverage
         known = {w for t in self.templates.values() for w in t}
         self.marks = {w for w in known if w.decode() not in COMMON}
@@ -136,6 +176,11 @@ class Scanner:
                 start = k
         return sorted(set(out), key=lambda r: (r[2], r[0]))
 
+    def _told(self, name: str, words: list[bytes]) -> bool:
+        """Whether the stretch holds every phrase that tells the licence from its likes."""
+        text = b" " + b" ".join(words) + b" "
+        return all(p in text for p in self.anchors.get(name, ()))
+
     def _region(self, words: list[bytes], lo: int, hi: int) -> list[tuple[str, int, int, int, float]]:
         found, todo = [], [(lo, hi)]
         while todo:
@@ -146,7 +191,7 @@ class Scanner:
                 if sum(min(n, have[w]) for w, n in self.counts[name].items()) < self.coverage * len(t):
                     continue
                 pairs = _best_stretch(patience(t, part))
-                if pairs and len(pairs) >= self.coverage * len(t) and (best is None or len(pairs) > best[1]):
+                if pairs and len(pairs) >= self.coverage * len(t) and (best is None or len(pairs) > best[1]) and self._told(name, part[pairs[0][1] : pairs[-1][1] + 1]):
                     best = (name, len(pairs), lo + pairs[0][1], lo + pairs[-1][1] + 1, len(pairs) / len(t))
             if best:
                 found.append(best)
@@ -154,8 +199,8 @@ class Scanner:
         return found
 
 
-def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], coverage: float) -> Iterator[pa.RecordBatch]:
-    scan = Scanner(templates, coverage)
+def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], coverage: float, anchors: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
+    scan = Scanner(templates, coverage, anchors)
     kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
     for batch in by_size(batches, "text"):
         source, rows = [], []
@@ -175,5 +220,5 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     other; an empty table gives an empty result; further columns are ignored.
     """
     source = plain(docs, doc_id=doc_id, text=text)
-    chosen = TEMPLATES if templates is None else templates
-    return source.mapInArrow(lambda batches: _scan(batches, chosen, coverage), f"doc_id {dict(source.dtypes)['doc_id']}, license string, n_words int, start_word int, end_word int, coverage double")
+    chosen, anchors = (TEMPLATES, ANCHORS) if templates is None else (templates, {})
+    return source.mapInArrow(lambda batches: _scan(batches, chosen, coverage, anchors), f"doc_id {dict(source.dtypes)['doc_id']}, license string, n_words int, start_word int, end_word int, coverage double")

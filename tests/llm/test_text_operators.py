@@ -294,6 +294,17 @@ def test_simhash_groups(spark):
 
 # ---- licences
 
+def test_licences_of_like_wording(spark):
+    gnu = licenses.TEMPLATES["GPL-3.0"]
+    says = {"Released under the BSD License.": "BSD notice", "Licensed under CC BY 4.0.": "CC-BY-4.0 notice", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0 notice", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 notice",
+            "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0 notice", "Released under the MIT License.": "MIT notice", "Released under the XYZ License.": None, "Licensed under CC BY-NC 2.0.": None, gnu: "GPL-3.0",
+            gnu.replace("version 3", "version 2"): "GPL-2.0", gnu.replace("GNU General", "GNU Lesser General"): "LGPL-3.0", gnu.replace("GNU General", "GNU Affero General"): "AGPL-3.0", "Licensed under the Eclipse Public License, Version 2.0.": "EPL-2.0 notice"}
+    got = defaultdict(list)
+    for r in licenses.license_scan(table(spark, list(enumerate(says)))).collect():
+        got[r.doc_id].append(r.license)
+    assert {text: got[i] for i, text in enumerate(says)} == {text: [name] if name else [] for text, name in says.items()}
+
+
 def test_licences(spark):
     mit = licenses.TEMPLATES["MIT"].replace("furnished", "given").replace("sublicense, ", "")
     rows = [*ODD, (10, f"{prose(1, 300)} {mit} {prose(2, 300)}"), (11, "All rights reserved. Released under the MIT License. All rights reserved."), (12, "the licensed person reserved all"), (13, licenses.TEMPLATES["Apache-2.0"])]
