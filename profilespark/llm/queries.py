@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .centroids import centroid_clusters, cluster_sql
 from .common import documents
 from .knn import TOP_K_SQL, top_k
 from .licenses import license_scan
@@ -16,6 +18,7 @@ from .pieces import piece_digest
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
 from .url_filter import shown_documents, url_verdicts, verdict_sql
+from .whitening import whitened
 
 QUERIES, ORACLES = {}, {}
 
@@ -79,3 +82,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @register("op10_pairwise_quality")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return quality_scores(documents(spark, sf), documents(spark, sf, "labels"))
+
+
+@register("op12_ns_centroids", cluster_sql())
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return centroid_clusters(documents(spark, sf, "embeddings"))
+
+
+@register("op13_whitening")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return whitened(documents(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
