@@ -41,15 +41,15 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
 
 
-def by_size(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each slice holds about BATCH_BYTES of text, or one row."""
+def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each slice holds about ``most`` bytes of text, or one row."""
     for batch in batches:
         column_at = batch.schema.get_field_index(column)
         at = 0
         while at < batch.num_rows:
             n, size = 0, 0
             lengths = batch.column(column_at)
-            while at + n < batch.num_rows and (n == 0 or size < BATCH_BYTES):
+            while at + n < batch.num_rows and (n == 0 or size < most):
                 size += len(lengths[at + n].as_buffer() or b"") if lengths[at + n].is_valid else 0
                 n += 1
             yield batch.slice(at, n)

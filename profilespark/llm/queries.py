@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .centroids import centroid_clusters, cluster_sql
 from .common import documents
+from .context_mixing import mixing_scores
 from .knn import TOP_K_SQL, top_k
 from .licenses import license_scan
 from .line_dedup import line_matches
@@ -84,6 +85,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return quality_scores(documents(spark, sf), documents(spark, sf, "labels"))
 
 
+@register("op11_context_mixing")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing_scores(documents(spark, sf))
+
+
 @register("op12_ns_centroids", cluster_sql())
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return centroid_clusters(documents(spark, sf, "embeddings"))
