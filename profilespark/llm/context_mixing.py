@@ -40,8 +40,8 @@ RANGE = 1 << 16  # cells of a slot range, the unit in which partial tables are a
 STEP, ADD = 12.0, 0.15  # log odds are kept in steps of 1 / 12; a count of 0.15 stands before each bit
 GATES = 8  # a set of weights for each bit of a byte
 START_WEIGHT, RATE, REFINE = 0.3, 0.02, 0.005
-BLOCK, PAD = 1024, 6
-SLICE = 4 << 20
+BLOCK, PAD = 512, 6
+SLICE = 2 << 20
 CHUNK = 64
 LEAST = 2.0**-15  # no bit is thought likelier than 1 - LEAST
 HOT = 1 << 17
@@ -103,24 +103,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.multiply.accumulate(np.concatenate(([1], np.full(n - 1, f))), dtype=np.uint32) for f in (odd, pow(odd, -1, 1 << 32)))
 
 
-def contexts(data: np.ndarray) -> list[np.ndarray]:
+def contexts(data: np.ndarray) -> Iterator[np.ndarray]:
     """For every position the mixed hash of each of its contexts; those of padding are of no use."""
-    b = data.astype(np.uint32)
-    back = [np.roll(b, j) for j in range(1, PAD + 1)]
-    near = back[0] | back[1] << 8
-    found = [back[0], near, near | back[2] << 16]
-    found.append(found[2] | back[3] << 24)
-    found.append(found[3] * np.uint32(0x2545F491) ^ (back[4] | back[5] << 8) * np.uint32(0x9E3779B1))
-    up, down = (p[: len(b)] for p in _powers(1 << max(20, len(b).bit_length())))
-    sums = np.cumsum((b + np.uint32(1)) * up, dtype=np.uint32)  # of all bytes up to here, each times its power
-    space = np.roll(np.maximum.accumulate(np.where(data == SPACE, np.arange(len(b), dtype=np.int32), 0)), 1)
-    space[0] = 0
-    found.append((np.roll(sums, 1) - sums[space]) * down[space])  # of the bytes since the last space, wherever that lies
-    mixed = []
-    for h in found:
+    def mixed(h):
         h = h * np.uint32(0x9E3779B1)
-        mixed.append((h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA6B))
-    return mixed
+        return (h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA6B)
+
+    def back(j):
+        return np.roll(data, j).astype(np.uint32)
+
+    near = back(1)
+    yield mixed(near)
+    for j in (2, 3, 4):
+        near |= back(j) << np.uint32(8 * (j - 1))
+        yield mixed(near)
+    near *= np.uint32(0x2545F491)
+    near ^= (back(5) | back(6) << np.uint32(8)) * np.uint32(0x9E3779B1)
+    yield mixed(near)
+    up, down = (p[: len(data)] for p in _powers(1 << max(20, len(data).bit_length())))
+    sums = np.cumsum((data + np.uint32(1)) * up, dtype=np.uint32)  # of all bytes up to here, each times its power
+    space = np.roll(np.maximum.accumulate(np.where(data == SPACE, np.arange(len(data), dtype=np.int32), 0)), 1)
+    space[0] = 0
+    yield mixed((np.roll(sums, 1) - sums[space]) * down[space])  # of the bytes since the last space, wherever that lies
 
 
 def rows_at(hashed: np.ndarray, i: int, upper: np.ndarray | None = None) -> np.ndarray:
@@ -142,7 +146,7 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for i, h in enumerate(contexts(flat.data)):
             h = h[coded]
             for row, half in ((rows_at(h, i), upper), (rows_at(h, i, upper), lower)):
-                count[i] += np.bincount(row << np.uint32(4) | half, minlength=16 << ROW_BITS[i]).astype(np.uint32)
+                np.add(count[i], np.bincount(row << np.uint32(4) | half, minlength=16 << ROW_BITS[i]), out=count[i], casting="unsafe")
     salt = TaskContext.get().partitionId() >> 8
     for i, c in enumerate(count):
         for at in range(0, len(c), RANGE):
@@ -217,7 +221,7 @@ def mix(data: np.ndarray, start: np.ndarray, size: np.ndarray, table: np.ndarray
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
     n, longest = len(start), int(size.max(initial=0))
-    hashed, slots = contexts(data), table.view(np.dtype("V16"))
+    hashed, slots = list(contexts(data)), table.view(np.dtype("V16"))
     own = np.repeat(weights.astype(np.float32)[:, :, None], n, axis=2)  # gate, context, block
     cost, active = np.zeros(n), np.searchsorted(-size, -np.arange(longest), side="left")
     own, rate, least = own / np.float32(STEP), np.float32(rate / STEP**2), np.float32(LEAST)  # so that log odds go in as the steps they are kept in

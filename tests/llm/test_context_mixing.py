@@ -55,7 +55,7 @@ def test_base_scores_equal_plain_counts(spark, monkeypatch):
 def by_hand(text: bytes, table: np.ndarray, weights: np.ndarray, rate: float) -> float:
     """-ln p of a text's coded bytes, one bit at a time."""
     data = b" " * M.PAD + b" ".join(text.lower().split()) + b"\n"
-    hashed = M.contexts(np.frombuffer(data, np.uint8))
+    hashed = list(M.contexts(np.frombuffer(data, np.uint8)))
     cost, own = 0.0, None
     for at in range(M.PAD, len(data)):
         if (at - M.PAD) % M.BLOCK == 0:
