@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .calls import alpha_name
 from .pairs import target_level_mean
+from .spectrum import spectra
 
 GRAM_SIDE = 2048
 CELLS_PER_TASK = 2_000_000
@@ -204,7 +205,7 @@ def _advance(rows, widths, start, k, max_iter, tol):
     return {g: n for g, n in made.items() if n}
 
 
-def _spectrum(rows: _Rows, got, widths, start, history, subspace, k):
+def _spectrum(rows: _Rows, got, widths, start, history, subspace, k, loose):
     """Mean, top-k basis and squared singular values per group from one pass (or a few, for wide groups)."""
     solved = {}
     wide = {g: subspace[g] for g in got if g in subspace}
@@ -233,6 +234,8 @@ def _spectrum(rows: _Rows, got, widths, start, history, subspace, k):
             solved[g] = (mean, ritz, np.maximum(ev, 0.0), total, -1)
         if moved < 1e-11:
             break
+    else:
+        loose.update(wide)
     subspace.update(wide)
     return solved
 
@@ -283,10 +286,12 @@ def em_svd_pca(profiles: DataFrame, value: str, k: int = 2, min_observed: int =
     active, fits = dict(widths), {}
     ahead = _advance(rows, {g: w for g, w in widths.items() if g not in subspace}, start, k, max_iter, tol)
     iterations, settled = {g: ahead.get(g, 0) for g in widths}, {g: False for g in widths}
-    stale = 0
+    stale, unsettled = 0, {}
     while active:
         got = _pass(rows, active, start, history, subspace)
-        solved = _spectrum(rows, got, active, start, history, subspace, k)
+        loose = {}
+        solved = _spectrum(rows, got, active, start, history, subspace, k, loose)
+        unsettled.update({g: g in loose for g in active})
         for g in list(active):
             head = got[g][0]
             if history[g]:
@@ -314,8 +319,8 @@ def em_svd_pca(profiles: DataFrame, value: str, k: int = 2, min_observed: int =
         mean, basis, w, total, rank = fits[g]
         m, f = rows.size[g]
         comps = min(k, rank) if rank >= 0 else k
-        ok = settled[g]
-        status.append(_status_row(g, representation, method, "PASS" if ok else "PASS_WITH_LIMITATION", "" if ok else "not settled within the iteration limit; estimate kept",
+        ok = settled[g] and not unsettled[g]
+        status.append(_status_row(g, representation, method, "PASS" if ok else "PASS_WITH_LIMITATION", "" if ok else "axes not settled within the pass limit; estimate kept" if unsettled[g] else "not settled within the iteration limit; estimate kept",
                                   m, f, rank if rank >= 0 else None, comps, float(w[:comps].sum() / total) if total > 0 else 0.0, iterations[g], ok, rmse.get(g)))
     st = spark.createDataFrame(status + failed, _STATUS.format(g=rows.grp_type))
     return Model(scores, loadings, st)
@@ -524,83 +529,48 @@ def _shapes(d: DataFrame) -> dict:
     return out
 
 
-def pcoa(distances: DataFrame, k: int = 2, group: str | None = None) -> Model:
+def pcoa(distances: DataFrame, k: int = 2, group: str | None = None, max_rounds: int = 2000) -> Model:
     """Classical scaling of complete distance matrices (a, b, value, both orders and the diagonal).
 
-    Groups up to ``GRAM_SIDE`` are solved whole (a checked s x s matrix on the driver), with fractions over all positive
-    eigenvalues. Larger ones use subspace iteration over the distributed rows, shifted so that the largest signed eigenvalues
-    win, with fractions over the trace.
+    Rank is the number of positive eigenvalues and fractions divide by their sum, at every size: the whole spectrum comes from block
+    Lanczos with deflation over the distributed matrix (``spectrum.spectra``), and coordinates are worked out and stay where the rows are.
+    An eigenvalue counts as positive above 1e-12 and above what rounding alone could make. A spectrum that is not through after
+    ``max_rounds`` is kept with PASS_WITH_LIMITATION, its largest residual as the reason, and no rank or fractions.
     """
     spark = distances.sparkSession
     d = distances.withColumn("grp", F.col(group) if group else F.lit("ALL"))
     shape = _shapes(d)
-    fine = [g for g, (_, reason) in shape.items() if reason is None]
-    status, coords = [], []
-    gt = d.schema["grp"].dataType.simpleString()
-    for g, (n, reason) in shape.items():
-        if reason:
-            status.append(_status_row(g, "pairwise", "PCOA", reason=reason, m=n))
-    if fine:
-        gram = double_center(d.where(F.col("grp").isin(fine)).select("grp", "a", "b", "value"), "grp")
-        rows, index = _row_vectors(gram)
-        for g in fine:
-            n, mine = len(index[g]), rows.where(F.col("grp") == g)
-            if n <= GRAM_SIDE:
-                b = np.zeros((n, n))
-                for r in mine.toLocalIterator():
-                    b[r["_i"]] = r["val"]
-                w, q = np.linalg.eigh((b + b.T) / 2)
-                w, q = w[::-1], q[:, ::-1]
-                positive = w > 1e-12
-                total, rank = float(w[positive].sum()), int(positive.sum())
-            else:
-                w, q, total = _top_eigen(mine, n, k)
-                rank = None
-            comps = min(k, int((w[:k] > 1e-12).sum()))
-            if comps < 1:
-                status.append(_status_row(g, "pairwise", "PCOA", reason="no positive eigenvalue", m=n))
-                continue
-            q = q * np.sign(q[np.abs(q[:, : q.shape[1]]).argmax(0), np.arange(q.shape[1])])
-            for i, name in enumerate(index[g]):
-                coords.append((g, name, *[float(q[i, c] * np.sqrt(w[c])) if c < comps else None for c in range(k)], *[float(w[c] / total) if c < comps and total > 0 else None for c in range(k)]))
-            status.append(_status_row(g, "pairwise", "PCOA", "PASS", "" if rank is not None else "fractions over the trace", n, None, rank, comps, float(w[:comps].sum() / total) if total > 0 else None))
-    key = d.schema["a"].dataType.simpleString()
-    c = spark.createDataFrame(coords, f"analysis_id {gt}, profile {key}, " + ", ".join(f"Axis{i + 1} double" for i in range(k)) + ", " + ", ".join(f"Axis{i + 1}_variance_fraction double" for i in range(k)))
-    return Model(c, None, spark.createDataFrame(status, _STATUS.format(g=gt)))
-
-
-def _row_map(rows: DataFrame, fn, width: int) -> np.ndarray:
-    """fn(matrix block, row numbers) -> (block rows, width) for every block of packed rows, put together by row number."""
-    def go(batches):
-        for pdf in batches:
-            if len(pdf):
-                m = np.vstack([np.asarray(v, dtype=float) for v in pdf["val"]])
-                y = fn(m, pdf["_i"].to_numpy())
-                yield pd.DataFrame({"_i": pdf["_i"], "y": list(y)})
-
-    out = rows.select("_i", "val").mapInPandas(go, "_i int, y array<double>").toPandas()
-    res = np.zeros((len(out), width))
-    res[out["_i"].to_numpy()] = np.vstack(out["y"].to_list()) if len(out) else res
-    return res
-
-
-def _top_eigen(rows: DataFrame, n: int, k: int):
-    rng = np.random.default_rng(0)
-    v = np.linalg.qr(rng.standard_normal((n, k + 4)))[0]
-    shift = float(_row_map(rows, lambda m, i: np.abs(m).sum(1, keepdims=True), 1).max())
-    trace = float(_row_map(rows, lambda m, i: m[np.arange(len(i)), i][:, None], 1).sum())
-    w = np.zeros(k)
-    for _ in range(2000):
-        z = _row_map(rows, lambda m, i, v=v: m @ v, k + 4)
-        t = v.T @ z
-        w_new = np.sort(np.linalg.eigvalsh((t + t.T) / 2))[::-1][:k]
-        v = np.linalg.qr(z + shift * v)[0]
-        if np.max(np.abs(w_new - w)) <= 1e-14 * max(1.0, np.abs(w_new).max()):
-            break
-        w = w_new
-    t = v.T @ _row_map(rows, lambda m, i, v=v: m @ v, k + 4)
-    ev, r = np.linalg.eigh((t + t.T) / 2)
-    return ev[::-1], (v @ r)[:, ::-1], trace
+    sizes = {g: n for g, (n, reason) in shape.items() if reason is None}
+    gt, key = d.schema["grp"].dataType.simpleString(), d.schema["a"].dataType.simpleString()
+    status = [_status_row(g, "pairwise", "PCOA", reason=reason, m=n) for g, (n, reason) in shape.items() if reason]
+    axes = [f"Axis{i + 1}" for i in range(k)]
+    names = axes + [f"{a}_variance_fraction" for a in axes]
+    empty = spark.createDataFrame([], f"analysis_id {gt}, profile {key}, " + ", ".join(f"{c} double" for c in names))
+    if not sizes:
+        return Model(empty, None, spark.createDataFrame(status, _STATUS.format(g=gt)))
+    gram = cut(double_center(d.where(F.col("grp").isin(list(sizes))).select("grp", "a", "b", "value"), "grp"))
+    found, vectors = spectra(gram, sizes, k, max_rounds)
+    scale = []
+    for g, s in found.items():
+        n, size = sizes[g], np.abs(s.values).max(initial=0.0)
+        w = s.values[s.values > max(1e-12, 4 * n * np.finfo(float).eps * size)]
+        comps, total = min(k, len(w)), float(w.sum())
+        if comps < 1:
+            status.append(_status_row(g, "pairwise", "PCOA", reason="no positive eigenvalue", m=n, it=s.rounds, conv=s.whole))
+            continue
+        shares = [float(w[i] / total) if i < comps and s.whole else None for i in range(k)]
+        scale.append((g, *[float(np.sqrt(w[i])) if i < comps else None for i in range(k)], *shares))
+        why = "" if s.whole else f"spectrum not exhausted after {s.rounds} rounds; largest residual {s.residual:.3g}"
+        status.append(_status_row(g, "pairwise", "PCOA", "PASS" if s.whole else "PASS_WITH_LIMITATION", why, n, None, len(w) if s.whole else None, comps, sum(x for x in shares if x is not None) if s.whole else None, s.rounds, s.whole))
+    st = spark.createDataFrame(status, _STATUS.format(g=gt))
+    if not scale:
+        return Model(empty, None, st)
+    factors = spark.createDataFrame(scale, f"grp {gt}, " + ", ".join(f"_f{i} double" for i in range(k)) + ", " + ", ".join(f"{c} double" for c in names[k:]))
+    at = [F.get("v", F.lit(i)) for i in range(k)]
+    sign = vectors.groupBy("grp").agg(*[F.signum(F.max_by(v, F.struct(F.round(F.abs(v), 9), F.col("name")))).alias(f"_s{i}") for i, v in enumerate(at)])
+    placed = vectors.join(factors, "grp").join(sign, "grp")
+    coords = placed.select(F.col("grp").alias("analysis_id"), F.col("name").alias("profile"), *[(v * F.col(f"_f{i}") * F.col(f"_s{i}")).alias(c) for (i, v), c in zip(enumerate(at), axes)], *names[k:])
+    return Model(coords, None, st)
 
 
 def metric_mds(distances: DataFrame, seed: int, n_init: int = 8, max_iter: int = 1000, eps: float = 1e-4, group: str | None = None) -> Model:
