@@ -1,7 +1,7 @@
 """Language-model scores by online logistic context mixing.
 
 A document is coded as its lower-cased words with one space between them and one end byte. Every bit is predicted from several hashed
-contexts at once: the last 1, 2, 3, 4 and 6 bytes, and the word so far. A context's row holds, for the 15 nodes of a half byte, the log odds
+contexts at once: the last 2, 3, 4 and 6 bytes, and the word so far. A context's row holds, for the 15 nodes of a half byte, the log odds
 of a one as counted over the training corpus; rows share slots where hashes meet. The log odds are mixed by weights that a gate picks (the bit's
 place in its byte), and the weights are refined bit by bit: error times log odds is
 added to those used. The summed code lengths give the total bits of a text, and bits per byte.
@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import by_size, plain, texts
 
-REACH = (1, 2, 3, 4, 6)  # bytes before; the last context is the word so far
-ROW_BITS = (13, 16, 18, 18, 19, 19)  # rows a context, as powers of two
+ROW_BITS = (16, 18, 18, 19, 19)  # rows of the contexts of 2, 3, 4 and 6 bytes and of the word so far, as powers of two
 N_CONTEXTS = len(ROW_BITS)
 FIRST_ROW = np.concatenate(([0], np.cumsum([1 << b for b in ROW_BITS])))
 RANGE = 1 << 16  # cells of a slot range, the unit in which partial tables are added up
@@ -113,7 +112,6 @@ def contexts(data: np.ndarray) -> Iterator[np.ndarray]:
         return np.roll(data, j).astype(np.uint32)
 
     near = back(1)
-    yield mixed(near)
     for j in (2, 3, 4):
         near |= back(j) << np.uint32(8 * (j - 1))
         yield mixed(near)
@@ -135,7 +133,7 @@ def rows_at(hashed: np.ndarray, i: int, upper: np.ndarray | None = None) -> np.n
 
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The half bytes that follow every row, counted over the task; rows (slot range, salt, cells that are not zero, their counts)."""
-    count = [np.zeros(16 << b, np.uint32) for b in ROW_BITS]
+    count, one = [np.zeros(16 << b, np.uint32) for b in ROW_BITS], np.uint32(1)
     for batch in by_size(batches, "text", SLICE):
         flat = Flat.of([split(data) for data in texts(batch, "text")])
         coded = np.ones(len(flat.data), bool)
@@ -146,7 +144,7 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for i, h in enumerate(contexts(flat.data)):
             h = h[coded]
             for row, half in ((rows_at(h, i), upper), (rows_at(h, i, upper), lower)):
-                np.add(count[i], np.bincount(row << np.uint32(4) | half, minlength=16 << ROW_BITS[i]), out=count[i], casting="unsafe")
+                np.add.at(count[i], row << np.uint32(4) | half, one)
     salt = TaskContext.get().partitionId() >> 8
     for i, c in enumerate(count):
         for at in range(0, len(c), RANGE):
@@ -264,9 +262,8 @@ def blocks(flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """What scoring needs: log odds, weights, and how likely the frequent words and an unseen one are."""
+    """What scoring needs beside the log odds: weights, and how likely the frequent words and an unseen one are."""
 
-    table: np.ndarray
     weights: np.ndarray
     tokens: int
     words: int
@@ -300,7 +297,7 @@ def mixing_weights(docs: DataFrame, table) -> np.ndarray:
 
 # ---------------------------------------------------------------- scoring
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], table, model) -> Iterator[pa.RecordBatch]:
     """A row per document: its code length, what its frequent words add to the base score, and its other words with their counts."""
     m: Model = model.value
     shown = {w: (n, float(m.base(n))) for w, n in m.hot.items()}
@@ -309,7 +306,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         docs = [split(data) for data in texts(batch, "text")]
         flat = Flat.of(docs)
         start, size, doc = blocks(flat)
-        bits = np.bincount(doc, mix(flat.data, start, size, m.table, m.weights, REFINE).cost, minlength=len(docs)) / np.log(2)
+        bits = np.bincount(doc, mix(flat.data, start, size, table.value, m.weights, REFINE).cost, minlength=len(docs)) / np.log(2)
         base, known, rare, times = [], [], [], []
         for words in docs:
             total, seen, left, left_times = 0.0, 0, [], []
@@ -352,10 +349,9 @@ def mixing_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     hot = {bytes(r["token"]): r["trained"] for r in counts.where(frequent).select("token", "trained").collect()}
     table = sc.broadcast(context_table(source.where((F.col("r") > 0) & (F.col("r") < 9))))
     weights = mixing_weights(source.where(F.col("r") == 9), table)
-    model = Model(table.value, weights, n, words, hot)
-    sent = sc.broadcast(model)
+    model = sc.broadcast(Model(weights, n, words, hot))
     scored = cut(source.select("doc_id", "r", "text").mapInArrow(
-        lambda b: _score(b, sent), f"key long, doc_id {kind}, r int, n_tokens long, known long, base double, bits double, n_bytes long, rare array<binary>, times array<int>"))
+        lambda b: _score(b, table, model), f"key long, doc_id {kind}, r int, n_tokens long, known long, base double, bits double, n_bytes long, rare array<binary>, times array<int>"))
     rare = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("key", F.col("w.rare").alias("token"), F.col("w.times").alias("times"))
     met = rare.join(counts.where(~frequent).select("token", "trained"), "token", "left")
     c = F.coalesce("trained", F.lit(0))
