@@ -11,7 +11,7 @@ block of text from the same start, and the tasks' weights are averaged by use. I
 trained weights and refines its own copy; contexts reach back over block ends. So thousands of blocks advance together, one bit a step.
 
 The corpus is counted whole: words by a shuffle, contexts as sparse partial tables that are added up by slot range. The model is a table of
-fixed size (about 2^20.7 rows of 16 bytes), whatever the corpus holds. Words that make up a share of at least 1 / ``HOT`` of all tokens
+fixed size (about 2^19.9 rows of 16 bytes), whatever the corpus holds. Words that make up a share of at least 1 / ``HOT`` of all tokens
 (so at most ``HOT`` words) are sent to the tasks; all others meet their counts by a join in which no key is frequent.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import by_size, plain, texts
 
-ROW_BITS = (16, 18, 18, 19, 19)  # rows of the contexts of 2, 3, 4 and 6 bytes and of the word so far, as powers of two
+ROW_BITS = (16, 17, 18, 18, 18)  # rows of the contexts of 2, 3, 4 and 6 bytes and of the word so far, as powers of two
 N_CONTEXTS = len(ROW_BITS)
 FIRST_ROW = np.concatenate(([0], np.cumsum([1 << b for b in ROW_BITS])))
 RANGE = 1 << 16  # cells of a slot range, the unit in which partial tables are added up
@@ -99,7 +99,12 @@ class Flat:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd factor and of its inverse modulo 2^32."""
     odd = 0x01000193
-    return tuple(np.multiply.accumulate(np.concatenate(([1], np.full(n - 1, f))), dtype=np.uint32) for f in (odd, pow(odd, -1, 1 << 32)))
+    found = []
+    for factor in (odd, pow(odd, -1, 1 << 32)):
+        powers = np.full(n, factor, np.uint32)
+        powers[0] = 1
+        found.append(np.multiply.accumulate(powers, out=powers))
+    return tuple(found)
 
 
 def contexts(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -195,7 +200,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def context_table(docs: DataFrame) -> np.ndarray:
-    """The log odds of all rows: at most 2^20.7 x 16 bytes come to the driver."""
+    """The log odds of all rows: at most 2^19.9 x 16 bytes come to the driver."""
     partial = docs.select("text").mapInArrow(_count_contexts, _PARTIAL)
     for keys in (["part", "salt"], ["part"]):
         partial = partial.repartition(*keys).sortWithinPartitions(*keys).withColumn("salt", F.col("salt") if len(keys) > 1 else F.lit(0)).mapInArrow(_add_tables, _PARTIAL)
