@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from .quantiles import exact_quantiles
 
 
 def alpha_name(alpha: float) -> str:
@@ -192,9 +193,9 @@ def rank_of_calls_shown(calls: DataFrame, k: int) -> DataFrame:
 
 def robust_bound(df: DataFrame, profile: str, value: str, q: float | None = 0.99) -> DataFrame:
     """Colour bound per profile: quantile (or maximum) of absolute values, zero replaced by one."""
-    top = F.percentile(F.abs(value), F.lit(q)) if q is not None else F.max(F.abs(value))
-    return df.where(F.col(value).isNotNull()).groupBy(profile).agg(top.alias("_b")).select(
-        profile, F.when(F.col("_b") > 0, F.col("_b")).otherwise(1.0).alias("bound"))
+    tested = df.where(F.col(value).isNotNull())
+    top = tested.groupBy(profile).agg(F.max(F.abs(value)).alias("_b")) if q is None else exact_quantiles(tested, [profile], {"_b": (F.abs(value), q)})
+    return top.select(profile, F.when(F.col("_b") > 0, F.col("_b")).otherwise(1.0).alias("bound"))
 
 
 def profile_coverage(profiles: DataFrame, contract: DataFrame, value: str) -> DataFrame:

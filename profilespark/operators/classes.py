@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .nearest import orient_pairs
+from .quantiles import exact_quantiles, with_quantiles
 
 
 def _members(classes: DataFrame, query) -> DataFrame:
@@ -15,7 +17,8 @@ def _members(classes: DataFrame, query) -> DataFrame:
 def class_residuals(profiles: DataFrame, classes: DataFrame, query, value: str) -> DataFrame:
     """Query minus class median at every cell both have."""
     tested = profiles.where(F.col(value).isNotNull())
-    med = tested.join(_members(classes, query), "profile").groupBy("class_id", "class_label", "feature_id", "target", "tissue").agg(F.median(value).alias("class_median"))
+    cell = ["class_id", "class_label", "feature_id", "target", "tissue"]
+    med = exact_quantiles(tested.join(_members(classes, query), "profile"), cell, {"class_median": (F.col(value), 0.5)})
     mine = tested.where(F.col("profile") == query).select("feature_id", F.col(value).alias("query_value"))
     return med.join(mine, "feature_id").withColumn("query_minus_class_median", F.col("query_value") - F.col("class_median"))
 
@@ -63,8 +66,9 @@ def class_differentials(residuals: DataFrame, by: str) -> DataFrame:
 def class_distance(pairs: DataFrame, classes: DataFrame, query, metric: str = "rms") -> DataFrame:
     o = orient_pairs(pairs, query).select(F.col("comparator").alias("profile"), F.col(metric).alias("_d"))
     j = o.join(classes.select("class_id", "class_label", "profile").distinct(), "profile")
-    return j.groupBy("class_id", "class_label").agg(F.avg("_d").alias("mean_distance"), F.median("_d").alias("median_distance"),
-                                                    F.min("_d").alias("minimum_distance"), F.countDistinct("profile").alias("member_count"))
+    j = cut(j)
+    counted = j.groupBy("class_id", "class_label").agg(F.avg("_d").alias("mean_distance"), F.min("_d").alias("minimum_distance"), F.countDistinct("profile").alias("member_count"))
+    return with_quantiles(counted, j, ["class_id", "class_label"], {"median_distance": (F.col("_d"), 0.5)})
 
 
 def method_availability(status: DataFrame, statuses: list[str]) -> DataFrame:

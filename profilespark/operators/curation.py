@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocab as V
+from ..session import cut
+from .quantiles import with_quantiles
 
 
 def target_activity_summary(rows: DataFrame, selection: DataFrame, keys: list[str]) -> DataFrame:
@@ -15,6 +17,7 @@ def target_activity_summary(rows: DataFrame, selection: DataFrame, keys: list[st
     ``rows`` are the assertions on exact targets; ``selection`` is ``select_activity`` over the measured ones. One aggregate
     pass; lists are sets of the few distinct words of a group.
     """
+    rows = cut(rows.select(*keys, "lane", "pactivity", "species_class", "relation_class", "activity_type", "species", "source_database"))
     measured = F.col("lane") == "MEASURED_NUMERICAL"
     p = F.col("pactivity")
 
@@ -23,7 +26,7 @@ def target_activity_summary(rows: DataFrame, selection: DataFrame, keys: list[st
 
     def span(cond, name):
         v = F.when(cond, p)
-        return [F.min(v).alias(f"{name}_min"), F.median(v).alias(f"{name}_median"), F.max(v).alias(f"{name}_max")]
+        return [F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max")]
 
     def words(c):
         return S.set_join(F.when(measured, F.col(c)))
@@ -36,6 +39,8 @@ def target_activity_summary(rows: DataFrame, selection: DataFrame, keys: list[st
         *[F.count_if(sp(s) & (F.col("relation_class") == r)).alias(f"_{n}_{k}") for s, n in pools.items() for r, k in kinds.items()],
         words("activity_type").alias("activity_types"), words("species").alias("species_list"), words("source_database").alias("sources"),
         *span(measured, "p"), *span(sp("HUMAN"), "human_p"), *span(sp("MAMMALIAN_NONHUMAN"), "mammal_p"))
+    pools_of_p = {"p": measured, "human_p": sp("HUMAN"), "mammal_p": sp("MAMMALIAN_NONHUMAN")}
+    agg = with_quantiles(agg, rows, keys, {f"{name}_median": (F.when(cond, p), 0.5) for name, cond in pools_of_p.items()})
     j = agg.join(selection, keys, "left")
     pool = {k: F.when(F.col("n_human") > 0, F.col(f"_human_{k}")).when(F.col("n_mammal") > 0, F.col(f"_mammal_{k}")).otherwise(0).alias(k) for k in kinds.values()}
     rc = F.col("relation_class")

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .quantiles import with_quantiles
+
 # metric column, smaller is nearer, label
 METRICS = [("rms", True, "RMS"), ("cosine", False, "COSINE"), ("spearman", False, "SPEARMAN"),
            ("alpha001_call_jaccard", False, "FINGERPRINT_JACCARD"), ("support_jaccard", False, "SUPPORT_JACCARD")]
@@ -151,11 +154,12 @@ def query_ranking(pairs: DataFrame, query, subset: DataFrame, metrics=METRICS +
 
 def residual_recurrence(detail: DataFrame, by: str) -> DataFrame:
     """Across a query's comparators, how targets (or tissues) differ: mean, median, absolute mean, sign counts."""
-    per = pair_group_summary(detail, by, **QUERY_PAIR)
-    return per.groupBy("query", by).agg(
+    per = cut(pair_group_summary(detail, by, **QUERY_PAIR))
+    counted = per.groupBy("query", by).agg(
         F.countDistinct("comparator").alias("comparator_count"), F.avg("mean_difference").alias("mean_difference"),
-        F.median("mean_difference").alias("median_difference"), F.avg("mean_absolute_difference").alias("mean_absolute_difference"),
+        F.avg("mean_absolute_difference").alias("mean_absolute_difference"),
         F.count_if(F.col("mean_difference") > 0).alias("positive_comparators"), F.count_if(F.col("mean_difference") < 0).alias("negative_comparators"))
+    return with_quantiles(counted, per, ["query", by], {"median_difference": (F.col("mean_difference"), 0.5)})
 
 
 def exact_equality_audit(detail: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocab as V
+from ..session import cut
+from .winners import first_rows, on_keys, renamed
 
 
 # ---------------------------------------------------------------- consensus and duplicates
@@ -25,20 +27,21 @@ def consensus_value(df: DataFrame, key: str, values: list[str], resolved: Column
 
 def collapse_identical(df: DataFrame, keys: list[str], compared: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """(clean, conflicts): the first row per key where the compared columns agree, and the keys where they do not."""
+    rows = cut(df)
     null_text = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in compared]
-    agg = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*[c for c in df.columns if c not in keys]), order).alias("_row"),
-        *[(F.min(t) != F.max(t)).alias(f"_d{i}") for i, t in enumerate(null_text)])
-    bad = None
-    for i in range(len(compared)):
-        bad = F.col(f"_d{i}") if bad is None else bad | F.col(f"_d{i}")
-    named = F.filter(F.array(*[F.when(F.col(f"_d{i}"), c) for i, c in enumerate(compared)]), lambda x: x.isNotNull())
-    return agg.where(~bad).select(*keys, "_row.*"), agg.where(bad).select(*keys, F.array_join(named, ", ").alias("conflicting_columns"))
+    prints = [F.xxhash64(t, F.lit(seed)) for t in null_text for seed in (1, 2)]  # texts by 128 bits, so that the aggregate is of fixed width
+    agg = rows.groupBy(*keys).agg(*[(F.min(h) != F.max(h)).alias(f"_d{i}") for i, h in enumerate(prints)])
+    differ = [F.col(f"_d{2 * i}") | F.col(f"_d{2 * i + 1}") for i in range(len(compared))]
+    named = F.filter(F.array(*[F.when(d, c) for d, c in zip(differ, compared)]), lambda x: x.isNotNull())
+    verdict = cut(agg.select(*keys, named.alias("_named")))
+    fine = verdict.where(F.size("_named") == 0).select(*renamed(verdict, keys))
+    clean = first_rows(rows.join(fine, on_keys(keys)).select(*df.columns), keys, [order])
+    return clean, verdict.where(F.size("_named") > 0).select(*keys, F.array_join("_named", ", ").alias("conflicting_columns"))
 
 
 def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+    """The first row of every key in the order."""
+    return first_rows(df, keys, order)
 
 
 def drop_ambiguous_map(labels: DataFrame, id_col: str, label_cols: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .quantiles import with_quantiles
 
 
 def zscore_within(df: DataFrame, group: str, value: str, out: str, ddof: int = 1) -> DataFrame:
@@ -93,15 +94,14 @@ def expression_collapse(
     x = S.to_finite(F.col(z))
     base = df.where(x.isNotNull())
     aggs = [
-        F.median(x).alias("expression_z"), F.min(x).alias("z_min"), F.max(x).alias("z_max"),
+        F.min(x).alias("z_min"), F.max(x).alias("z_max"),
         F.count(x).alias("support_rows"), (F.max(x) - F.min(x)).alias("z_span"),
         ((F.max(x) - F.min(x)) > tol).alias("conflict"),
     ]
-    if raw:
-        aggs.append(F.median(S.to_finite(F.col(raw))).alias("raw_median"))
+    medians = {"expression_z": (x, 0.5)} | ({"raw_median": (S.to_finite(F.col(raw)), 0.5)} if raw else {})
     if ids:
         aggs.append(F.array_join(F.array_sort(F.collect_set(F.col(ids).cast("string"))), " | ").alias("target_ids"))
-    return base.groupBy(*keys).agg(*aggs)
+    return with_quantiles(base.groupBy(*keys).agg(*aggs), base, keys, medians)
 
 
 def zscore_audit(
