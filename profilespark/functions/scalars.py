@@ -190,10 +190,9 @@ def species_name(name: Column, taxon: Column, cls: Column) -> Column:
 
 
 def species_taxon(name: Column, taxon: Column, cls: Column) -> Column:
-    known = {**{n: V.HUMAN_TAXON for n in V.HUMAN_NAMES}, **V.MAMMAL_NAMES, **V.OTHER_NAMES}
     tx = F.round(taxon).cast("long")
-    by_taxon = tx.isin(list(V.TAXON_BY_ANIMAL.values()))
-    named = F.element_at(_lit_map(known), F.lower(text(name))).cast("long")
+    by_taxon = tx.isin(V.MAMMAL_TAXA)
+    named = F.element_at(_lit_map(V.TAXON_BY_NAME), F.lower(text(name))).cast("long")
     return F.when(cls == "HUMAN", F.lit(V.HUMAN_TAXON).cast("long")).when(by_taxon, tx).otherwise(F.coalesce(named, tx))
 
 
@@ -212,13 +211,16 @@ def species_class(name: Column, taxon: Column) -> Column:
     def words(ws):
         return "|".join(re.escape(w) for w in ws)
 
-    taxa = {t: "HUMAN" if a == "human" else "MAMMALIAN_NONHUMAN" for a, t in V.TAXON_BY_ANIMAL.items()}
-    names = {n: "HUMAN" for n in V.HUMAN_NAMES}
-    names |= {n: "MAMMALIAN_NONHUMAN" for n in V.MAMMAL_NAMES} | {n: "NON_MAMMALIAN" for n in V.OTHER_NAMES}
     low = F.lower(text(name))
+    stated, named = F.round(taxon).cast("int"), F.element_at(_lit_map(V.TAXON_BY_NAME), low).cast("int")
+
+    def of(tx):
+        return F.when(tx == V.HUMAN_TAXON, "HUMAN").when(tx.isin(V.MAMMAL_TAXA), "MAMMALIAN_NONHUMAN")
+
     return F.coalesce(
-        F.element_at(_lit_map(taxa), F.round(taxon).cast("int")),
-        F.element_at(_lit_map(names), low),
+        of(stated),
+        of(named),
+        F.when(named.isNotNull(), "NON_MAMMALIAN"),
         F.when(low.rlike("human|homo sapiens"), "HUMAN").when(low.rlike(words(V.MAMMAL_TOKENS)), "MAMMALIAN_NONHUMAN")
         .when(low.rlike(words(V.OTHER_TOKENS)), "NON_MAMMALIAN"),
         F.lit("UNRESOLVED"),

@@ -24,27 +24,19 @@ ENDPOINT_PRIORITY = {
 BLANK_WORDS = ["NAN", "NONE", "NA", "N/A", "UNKNOWN", "UNRESOLVED"]
 TRUE_WORDS = ["1", "true", "yes", "y"]
 
-# NCBI taxon ids of the mammals that are told apart, by common name.
-TAXON_BY_ANIMAL = {
-    "human": 9606, "chimpanzee": 9598, "rhesus": 9544, "baboon": 9534, "dog": 9615, "cat": 9685, "pig": 9823,
-    "cow": 9913, "goat": 9925, "sheep": 9940, "horse": 9796, "rabbit": 9986, "hamster": 10036, "mouse": 10090,
-    "rat": 10116, "guinea pig": 10141,
-}
+# NCBI taxon ids that count as mammals, and the human one.
 HUMAN_TAXON = 9606
-HUMAN_NAMES = ["human", "homo sapiens", "man"]
-
-# Exact species names understood besides the human ones, with their taxon.
-MAMMAL_NAMES = {
-    "mouse": 10090, "mus musculus": 10090, "rat": 10116, "rattus norvegicus": 10116, "pig": 9823, "swine": 9823,
-    "sus scrofa": 9823, "dog": 9615, "canis lupus familiaris": 9615, "cat": 9685, "felis catus": 9685,
-    "rabbit": 9986, "oryctolagus cuniculus": 9986, "guinea pig": 10141, "cavia porcellus": 10141, "cow": 9913,
-    "cattle": 9913, "bos taurus": 9913, "sheep": 9940, "ovis aries": 9940, "goat": 9925, "capra hircus": 9925,
-    "horse": 9796, "equus caballus": 9796, "rhesus": 9544, "rhesus macaque": 9544, "macaca mulatta": 9544,
-    "chimpanzee": 9598, "pan troglodytes": 9598,
-}
-OTHER_NAMES = {
-    "electric eel": 8005, "electrophorus electricus": 8005, "torpedo californica": 7787, "chicken": 9031,
-    "gallus gallus": 9031, "zebrafish": 7955, "danio rerio": 7955, "xenopus laevis": 8355,
+MAMMAL_TAXA = [9534, 9544, 9598, 9606, 9615, 9685, 9796, 9823, 9913, 9925, 9940, 9986, 10036, 10090, 10116, 10141]
+
+# Exact species names that are understood, with their taxon.
+TAXON_BY_NAME = {
+    "human": 9606, "homo sapiens": 9606, "man": 9606, "mouse": 10090, "mus musculus": 10090, "rat": 10116, "rattus norvegicus": 10116,
+    "pig": 9823, "swine": 9823, "sus scrofa": 9823, "dog": 9615, "canis lupus familiaris": 9615, "cat": 9685, "felis catus": 9685,
+    "rabbit": 9986, "oryctolagus cuniculus": 9986, "guinea pig": 10141, "cavia porcellus": 10141, "cow": 9913, "cattle": 9913, "bos taurus": 9913,
+    "sheep": 9940, "ovis aries": 9940, "goat": 9925, "capra hircus": 9925, "horse": 9796, "equus caballus": 9796, "rhesus": 9544,
+    "rhesus macaque": 9544, "macaca mulatta": 9544, "chimpanzee": 9598, "pan troglodytes": 9598, "electric eel": 8005,
+    "electrophorus electricus": 8005, "torpedo californica": 7787, "chicken": 9031, "gallus gallus": 9031, "zebrafish": 7955,
+    "danio rerio": 7955, "xenopus laevis": 8355,
 }
 
 # Words looked for anywhere in a species name, mammal words first.

@@ -257,6 +257,20 @@ def raw_record_map(raw: DataFrame, ligand_word: str) -> tuple[DataFrame, DataFra
     return by_id.join(ligands, "record_id"), consensus_value(mine, "name_key", ["cls", "species", "taxon"])
 
 
+def _code(cls, species, taxon):
+    """A long for a species triple: triples are few words, and aggregates over them stay of fixed width."""
+    return F.xxhash64(cls, species, F.coalesce(F.col(taxon).cast("string") if isinstance(taxon, str) else taxon.cast("string"), F.lit("")))
+
+
+def _agreed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, code) of the keys whose rows all have one code; blank keys give no row."""
+    named = rows.where((F.coalesce(F.col(key).cast("string"), F.lit("")) != "") & F.col("code").isNotNull())
+    return named.groupBy(key).agg(F.min("code").alias("code"), F.max("code").alias("_other")).where("code = _other").drop("_other")
+
+
+_SPECIES_METHODS = ["TABLE_EXPLICIT", "AUDIT_SOURCE_ASSERTION", "AUDIT_DUPLICATE_GROUP", "RAW_RECORD_ID", "DUPLICATE_GROUP_UNANIMOUS", "RAW_NAME_UNANIMOUS"]
+
+
 def resolve_species(assertions: DataFrame, audit: DataFrame, raw: DataFrame, source_token: str, record_prefix: str, ligand_word: str,
                     audit_names: list[str], audit_taxa: list[str], key: str = "assertion_id") -> DataFrame:
     """Species of every assertion with the method that answered.
@@ -264,6 +278,9 @@ def resolve_species(assertions: DataFrame, audit: DataFrame, raw: DataFrame, sou
     Order: own fields; audit rows of its ids, when unanimous; audit duplicate group; raw record id; own duplicate group
     (unanimous after the raw ids answered); receptor name. ``assertions`` has assertion_id, all_ids, duplicate_group_id,
     source_database, assay_id, the three reported species fields and the names.
+
+    The assertions are read once. Every rule yields (key, rank of the rule, code of its answer); the first four are one union, of which an
+    aggregate keeps the first answer per key, and the last two see only keys without one.
     """
     a = S.classify_species(assertions, "species_reported", "taxon_reported", "_1_")
     a = S.classify_species(a, "target_organism", None, "_2_")
@@ -272,37 +289,48 @@ def resolve_species(assertions: DataFrame, audit: DataFrame, raw: DataFrame, sou
     def found(p):
         return F.when(F.col(f"{p}class") != "UNRESOLVED", F.struct(F.col(f"{p}class").alias("cls"), F.col(f"{p}species").alias("species"), F.col(f"{p}taxon").alias("taxon")))
 
-    own = F.coalesce(found("_1_"), found("_2_"), found("_3_"))
-    a = a.withColumn("_own", own).drop(*[f"_{i}_{c}" for i in (1, 2, 3) for c in ("class", "species", "taxon")])
+    from_source = F.upper(S.text(F.col("source_database"))).contains(source_token)
+    known = ["original_target_name", "target_name", "gene_symbol", "target"]
+    base = cut(a.withColumn("_own", F.coalesce(found("_1_"), found("_2_"), found("_3_"))).select(
+        *assertions.columns, "_own", F.when(F.col("_own").isNotNull(), _code(F.col("_own.cls"), F.col("_own.species"), F.col("_own.taxon"))).alias("_code"),
+        F.when(from_source, S.extract_record_id(F.col("assay_id"), record_prefix)).alias("_rec"), F.when(from_source, F.array_distinct(F.array(*[S.upper_key(F.col(c)) for c in known]))).alias("_names")))
 
-    sp = _audit_species(audit, audit_names, audit_taxa).select("source_assertion_id", "duplicate_group_id", "_s.*")
-    ids = a.select(key, F.explode(F.array_distinct(F.concat(F.array(F.col(key)), S.split_ids(F.col("all_ids"))))).alias("source_assertion_id"))
-    one_per_id = dedupe_first(sp.drop("duplicate_group_id"), ["source_assertion_id"], ["cls", "species"])
-    by_id = consensus_value(ids.join(one_per_id, "source_assertion_id"), key, ["cls", "species", "taxon"]).select(key, F.struct("cls", "species", "taxon").alias("_aid"))
-    by_dup = consensus_value(sp, "duplicate_group_id", ["cls", "species", "taxon"]).select("duplicate_group_id", F.struct("cls", "species", "taxon").alias("_adup"))
+    sp = cut(_audit_species(audit, audit_names, audit_taxa).select("source_assertion_id", "duplicate_group_id", "_s.*").withColumn("code", _code(F.col("cls"), F.col("species"), F.col("taxon"))))
     rec_id, rec_name = raw_record_map(raw, ligand_word)
-    rec_id = rec_id.where("ligand_ok").select("record_id", F.struct("cls", "species", "taxon").alias("_rid"))
-    from_source = F.upper(S.text(F.col("source_database"))).contains(source_token)
-    a = a.join(by_id, key, "left").join(by_dup, "duplicate_group_id", "left")
-    a = a.withColumn("_rec", F.when(from_source, S.extract_record_id(F.col("assay_id"), record_prefix)))
-    a = a.join(rec_id, F.col("_rec") == F.col("record_id"), "left").drop("record_id")
-    steps = [("_own", "TABLE_EXPLICIT"), ("_aid", "AUDIT_SOURCE_ASSERTION"), ("_adup", "AUDIT_DUPLICATE_GROUP"), ("_rid", "RAW_RECORD_ID")]
-    a = a.withColumn("_s", F.coalesce(*[F.col(c) for c, _ in steps])).withColumn("_m", F.coalesce(*[F.when(F.col(c).isNotNull(), m) for c, m in steps]))
-
-    # Second pass: groups whose resolved rows agree lend their species to the unresolved rows.
-    lent = consensus_value(a.where("_s is not null").select("duplicate_group_id", "_s.*"), "duplicate_group_id", ["cls", "species", "taxon"])
-    a = a.join(lent.select("duplicate_group_id", F.struct("cls", "species", "taxon").alias("_grp")), "duplicate_group_id", "left")
-    a = a.withColumn("_m", F.coalesce("_m", F.when(F.col("_grp").isNotNull(), "DUPLICATE_GROUP_UNANIMOUS"))).withColumn("_s", F.coalesce("_s", "_grp"))
-
-    # Last: receptor names, all known names of a row together; they must agree.
-    names = a.where(F.col("_s").isNull() & from_source).select(
-        key, F.explode(F.array_distinct(F.array(*[S.upper_key(F.col(c)) for c in ("original_target_name", "target_name", "gene_symbol", "target")]))).alias("name_key"))
-    by_name = consensus_value(names.join(rec_name, "name_key"), key, ["cls", "species", "taxon"])
-    a = a.join(by_name.select(key, F.struct("cls", "species", "taxon").alias("_nm")), key, "left")
-    s = F.coalesce("_s", "_nm")
-    method = F.coalesce("_m", F.when(F.col("_nm").isNotNull(), "RAW_NAME_UNANIMOUS"), F.lit(""))
-    return a.select(*assertions.columns, F.coalesce(s["cls"], F.lit("UNRESOLVED")).alias("species_class"), F.coalesce(s["species"], F.lit("UNRESOLVED")).alias("species"),
-                    s["taxon"].alias("taxon"), method.alias("species_method"))
+    rec_id = cut(rec_id.where("ligand_ok").withColumn("code", _code(F.col("cls"), F.col("species"), F.col("taxon"))))
+    rec_name = cut(rec_name.withColumn("code", _code(F.col("cls"), F.col("species"), F.col("taxon"))))
+    triple = ["code", "cls", "species", "taxon"]
+    triples = base.where("_own is not null").select(F.col("_code").alias("code"), "_own.*")
+    for t in (sp, rec_id, rec_name):
+        triples = triples.unionByName(t.select(*triple))
+
+    def answer(df, rank):
+        return df.select(key, F.lit(rank).alias("rank"), "code")
+
+    ids = base.select(key, F.explode(F.array_distinct(F.concat(F.array(F.col(key)), S.split_ids(F.col("all_ids"))))).alias("source_assertion_id"))
+    one_per_id = dedupe_first(sp.drop("duplicate_group_id"), ["source_assertion_id"], ["cls", "species"]).select("source_assertion_id", "code")
+    tries = [
+        base.where("_code is not null").select(key, F.col("_code").alias("code")),
+        _agreed(ids.join(one_per_id, "source_assertion_id"), key),
+        base.select(key, "duplicate_group_id").join(_agreed(sp, "duplicate_group_id"), "duplicate_group_id"),
+        base.where("_rec is not null").select(key, F.col("_rec").alias("record_id")).join(rec_id.select("record_id", "code"), "record_id"),
+    ]
+    pool = answer(tries[0], 1)
+    for rank, t in enumerate(tries[1:], 2):
+        pool = pool.unionByName(answer(t, rank))
+    first = cut(pool.groupBy(key).agg(F.min_by("code", "rank").alias("code"), F.min("rank").alias("rank")))
+
+    # Groups whose answered rows agree lend their species to the others; last come receptor names, of which all known ones must agree.
+    lent = _agreed(base.select(key, "duplicate_group_id").join(first, key), "duplicate_group_id")
+    open_ = base.join(first.select(key), key, "left_anti")
+    by_group = cut(answer(open_.select(key, "duplicate_group_id").join(lent, "duplicate_group_id"), 5))
+    names = open_.select(key, F.explode("_names").alias("name_key")).join(by_group.select(key), key, "left_anti")
+    by_name = answer(_agreed(names.join(rec_name.select("name_key", "code"), "name_key"), key), 6)
+    answers = first.select(key, "rank", "code").unionByName(by_group).unionByName(by_name)
+    out = base.drop("_own", "_code", "_rec", "_names").join(answers, key, "left").join(triples.dropDuplicates(["code"]).select("code", "cls", F.col("species").alias("_species"), F.col("taxon").alias("_taxon")), "code", "left")
+    methods = F.array(*[F.lit(m) for m in _SPECIES_METHODS])
+    return out.select(*assertions.columns, F.coalesce("cls", F.lit("UNRESOLVED")).alias("species_class"), F.coalesce("_species", F.lit("UNRESOLVED")).alias("species"),
+                      F.col("_taxon").alias("taxon"), F.coalesce(F.get(methods, F.col("rank") - 1), F.lit("")).alias("species_method"))
 
 
 def recover_relation(assertions: DataFrame, audit: DataFrame, relation_cols: list[str], key: str = "assertion_id") -> DataFrame:
@@ -387,26 +415,27 @@ def expression_recovery(missing: DataFrame, dictionary: DataFrame, second: DataF
     """
     from .scores import zscore_within
 
-    found = fallback_join(missing, dictionary, "target", "gene_symbol").where("method <> 'NO_MATCH'")
-    scored = zscore_within(found, "requested_id", "raw", "_rz")
+    missing, dictionary, second = cut(missing.select("target", "gene_symbol").distinct()), cut(dictionary), cut(second)
+    found = cut(fallback_join(missing, dictionary, "target", "gene_symbol").where("method <> 'NO_MATCH'"))
+    scored = cut(zscore_within(found, "requested_id", "raw", "_rz"))
     audit = scored.groupBy("requested_id").agg(
         F.first("method").alias("method"), F.count(F.lit(1)).alias("rows"), F.countDistinct("tissue").alias("tissues"), F.count("raw").alias("finite_raw"),
         F.count("z").alias("finite_z"), F.max(F.abs(F.col("_rz") - F.col("z"))).alias("residual"))
     full = (F.col("rows") == n_tissues) & (F.col("tissues") == n_tissues) & (F.col("finite_raw") == n_tissues) & (F.col("finite_z") == n_tissues)
-    good = audit.where(full & (F.col("residual") <= tol)).select("requested_id")
+    good = cut(audit.where(full & (F.col("residual") <= tol)).select("requested_id"))
     first_rows = found.join(good, "requested_id", "left_semi").select("requested_id", "requested_gene", "tissue", "raw", "z", F.lit("FROZEN_DICTIONARY").alias("recovery_source"))
 
     asked = missing.select(F.col("target").alias("requested_id"), F.col("gene_symbol").alias("requested_gene")).distinct()
-    pending = asked.join(good, "requested_id", "left_anti").withColumn("composite", F.col("requested_gene").rlike("[;|,]"))
+    pending = cut(asked.join(good, "requested_id", "left_anti").withColumn("composite", F.col("requested_gene").rlike("[;|,]")))
     cell = second.groupBy(F.upper(S.text(F.col("gene_symbol"))).alias("_g"), "tissue").agg(F.min("raw").alias("_lo"), F.max("raw").alias("raw"), F.count("raw").alias("_n"))
     cell = cell.withColumn("_clash", (F.col("_lo") != F.col("raw")) | (F.col("_n") == 0)).drop("_lo")
-    got = pending.where("not composite").join(cell, F.upper(S.text(F.col("requested_gene"))) == F.col("_g"))
+    got = cut(pending.where("not composite").join(cell, F.upper(S.text(F.col("requested_gene"))) == F.col("_g")))
     size = got.groupBy("requested_id").agg(F.count_if(~F.col("_clash")).alias("tissues"), F.count_if("_clash").alias("clashes"),
                                            (F.max("raw") > F.min("raw")).alias("spread"))
     complete = (F.col("tissues") == n_tissues) & (F.col("clashes") == 0)
     second_status = F.when(F.col("composite"), "COMPOSITE_GENE_NOT_SPLIT").when(F.col("tissues").isNull(), "GENE_NOT_FOUND_IN_SECOND_SOURCE").when(
         complete & F.col("spread"), "RECOVERABLE_SECOND_SOURCE").when(complete, "SECOND_SOURCE_Z_UNDEFINED").otherwise("SECOND_SOURCE_INCOMPLETE_OR_CONFLICTING")
-    rest = pending.join(size, "requested_id", "left").withColumn("recovery_status", second_status)
+    rest = cut(pending.join(size, "requested_id", "left").withColumn("recovery_status", second_status))
     ok2 = rest.where("recovery_status = 'RECOVERABLE_SECOND_SOURCE'").select("requested_id")
     second_rows = zscore_within(got.join(ok2, "requested_id", "left_semi"), "requested_id", "raw", "z").select(
         "requested_id", "requested_gene", "tissue", "raw", "z", F.lit("SECOND_SOURCE_RECOMPUTED").alias("recovery_source"))

@@ -8,10 +8,10 @@ from ..functions import vocab as V
 
 _species = lambda name, taxon: f"""
   CASE WHEN {taxon} = 9606 THEN 'HUMAN'
-       WHEN {taxon} IN ({', '.join(str(t) for a, t in V.TAXON_BY_ANIMAL.items() if a != 'human')}) THEN 'MAMMALIAN_NONHUMAN'
-       WHEN lower(trim(coalesce({name}, ''))) IN ({', '.join(repr(n) for n in V.HUMAN_NAMES)}) THEN 'HUMAN'
-       WHEN lower(trim(coalesce({name}, ''))) IN ({', '.join(repr(n) for n in V.MAMMAL_NAMES)}) THEN 'MAMMALIAN_NONHUMAN'
-       WHEN lower(trim(coalesce({name}, ''))) IN ({', '.join(repr(n) for n in V.OTHER_NAMES)}) THEN 'NON_MAMMALIAN'
+       WHEN {taxon} IN ({', '.join(str(t) for t in V.MAMMAL_TAXA if t != V.HUMAN_TAXON)}) THEN 'MAMMALIAN_NONHUMAN'
+       WHEN lower(trim(coalesce({name}, ''))) IN ({', '.join(repr(n) for n, t in V.TAXON_BY_NAME.items() if t == V.HUMAN_TAXON)}) THEN 'HUMAN'
+       WHEN lower(trim(coalesce({name}, ''))) IN ({', '.join(repr(n) for n, t in V.TAXON_BY_NAME.items() if t in V.MAMMAL_TAXA)}) THEN 'MAMMALIAN_NONHUMAN'
+       WHEN lower(trim(coalesce({name}, ''))) IN ({', '.join(repr(n) for n, t in V.TAXON_BY_NAME.items() if t not in V.MAMMAL_TAXA)}) THEN 'NON_MAMMALIAN'
        WHEN regexp_matches(lower(coalesce({name}, '')), 'human|homo sapiens') THEN 'HUMAN'
        WHEN regexp_matches(lower(coalesce({name}, '')), '{'|'.join(re.escape(w).replace(chr(92) + ' ', ' ') for w in V.MAMMAL_TOKENS)}') THEN 'MAMMALIAN_NONHUMAN'
        WHEN regexp_matches(lower(coalesce({name}, '')), '{'|'.join(re.escape(w).replace(chr(92) + ' ', ' ') for w in V.OTHER_TOKENS)}') THEN 'NON_MAMMALIAN'
