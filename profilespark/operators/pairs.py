@@ -378,21 +378,28 @@ def incremental_pairs(prior: DataFrame, profiles: DataFrame, roster: DataFrame,
                       tol: float = 1e-10) -> tuple[DataFrame, DataFrame]:
     """(pairs, equality): pairs touching ``changed`` profiles are recomputed in every metric, the rest is taken from ``prior``.
 
-    ``check`` is an optional recomputation of some reused pairs. ``equality`` then has one row per metric: pairs compared, pairs that
-    differ by more than ``tol`` or in their NULLs, the largest difference, and whether reuse is allowed.
+    ``check`` is an optional recomputation of the reused pairs. ``equality`` then has one row per metric over all pairs that either side
+    holds: pairs compared, those that differ by more than ``tol``, in their NULLs or by being on one side only, the largest difference, and
+    whether reuse is allowed.
     """
     names = changed.select("profile").distinct()
-    touched_a = prior.join(names, F.col("a") == F.col("profile"), "left_anti")
-    reused = touched_a.join(names, F.col("b") == F.col("profile"), "left_anti").withColumn("lineage", F.lit("REUSED"))
+
+    def untouched(pairs):
+        return pairs.join(names, F.col("a") == F.col("profile"), "left_anti").join(names, F.col("b") == F.col("profile"), "left_anti")
+
+    reused = untouched(prior).withColumn("lineage", F.lit("REUSED"))
     new = _pairs_with(profiles, roster, names, value).withColumn("lineage", F.lit("RECOMPUTED"))
     pairs = reused.select(*new.columns).unionByName(new)
     if check is None:
         return pairs, prior.sparkSession.createDataFrame([], "metric string, compared long, differing long, largest double, reuse_allowed boolean")
-    j = reused.alias("p").join(check.alias("c"), ["a", "b"])
-    metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"p.{m}").alias("was"), F.col(f"c.{m}").alias("now")) for m in _METRICS])).alias("m")
+    was = reused.select("a", "b", F.lit(True).alias("_was"), *[F.col(m).alias(f"_p_{m}") for m in _METRICS])
+    now = untouched(check).select("a", "b", F.lit(True).alias("_now"), *[F.col(m).alias(f"_c_{m}") for m in _METRICS])
+    metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"_p_{m}").alias("was"), F.col(f"_c_{m}").alias("now")) for m in _METRICS])).alias("m")
     gap = F.abs(F.col("m.was") - F.col("m.now"))
-    equality = j.select(metrics).groupBy("m.metric").agg(
-        F.count(F.lit(1)).alias("compared"), F.count_if((F.col("m.was").isNull() != F.col("m.now").isNull()) | F.coalesce(gap > tol, F.lit(False))).alias("differing"), F.max(gap).alias("largest"))
+    alone = F.col("_was").isNull() | F.col("_now").isNull()
+    unlike = alone | (F.col("m.was").isNull() != F.col("m.now").isNull()) | F.coalesce(gap > tol, F.lit(False))
+    equality = was.join(now, ["a", "b"], "full").select("_was", "_now", metrics).groupBy("m.metric").agg(
+        F.count(F.lit(1)).alias("compared"), F.count_if(unlike).alias("differing"), F.max(gap).alias("largest"))
     return pairs, equality.withColumn("reuse_allowed", F.col("differing") == 0)
 
 

@@ -218,14 +218,22 @@ def _(spark, sf):
     return pairs.select("a", "b", "lineage", "matched_features", "matched_targets", "overlap_gate_pass", "support_union", *[r(m) for m in _M], r("support_jaccard"))
 
 
-@register("incremental_equality", "SELECT metric, (SELECT count(*) FROM vector_roster x JOIN vector_roster y ON x.profile < y.profile JOIN embeddings e ON x.profile = e.vec_id JOIN embeddings g ON y.profile = g.vec_id WHERE e.label <> 3 AND g.label <> 3 AND e.label < 2 AND g.label < 2) AS compared, 0 AS differing, true AS reuse_allowed FROM (VALUES " + ", ".join(f"('{m}')" for m in _M) + ") t(metric)")
+_PRIOR = "SELECT * REPLACE (CASE WHEN (a + b) % 97 = 0 THEN rms + 1e-6 ELSE rms END AS rms, CASE WHEN a % 50 = 1 THEN NULL ELSE pearson END AS pearson) FROM unmoved WHERE (a + b) % 101 <> 0"
+_UNMOVED = "SELECT m.* FROM metrics m JOIN embeddings x ON m.a = x.vec_id JOIN embeddings y ON m.b = y.vec_id WHERE x.label <> 3 AND y.label <> 3"
+
+
+@register("incremental_equality", "SELECT metric, compared, differing, differing = 0 AS reuse_allowed FROM (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, count(*) AS compared, count(*) FILTER (p.a IS NULL OR n.a IS NULL OR (p.{m} IS NULL) <> (n.{m} IS NULL) OR abs(p.{m} - n.{m}) > 1e-10) AS differing FROM prior p FULL JOIN unmoved n ON p.a = n.a AND p.b = n.b" for m in _M) + ")",
+    unmoved=_UNMOVED, prior=_PRIOR, **PAIR_VIEWS)
 def _(spark, sf):
-    """Pairs of two labels are computed again, by joined rows, and compared with the prior table."""
+    """All reused pairs are computed again. Of the prior table some rows are missing, some are off in one metric and some lack another."""
     v, roster = B.vectors(spark, sf), B.vector_roster(spark, sf)
-    again = B.table(spark, sf, "embeddings").where("label < 2").select(C("vec_id").alias("profile"))
-    check = P.metrics_from_rows(v.join(again, "profile", "left_semi"), roster.join(again, "profile", "left_semi"), "value")
     changed = B.table(spark, sf, "embeddings").where("label = 3").select(C("vec_id").alias("profile"))
-    _, equality = P.incremental_pairs(vector_metrics(spark, sf), v, roster, changed, "value", check, tol=1e-9)
+    kept = v.join(changed, "profile", "left_anti")
+    check = P.continuous_metrics(kept, roster.join(changed, "profile", "left_anti"), "value", n_features=64)
+    total = C("a") + C("b")
+    prior = vector_metrics(spark, sf).where(total % 101 != 0).withColumn("rms", F.when(total % 97 == 0, C("rms") + 1e-6).otherwise(C("rms"))).withColumn("pearson", F.when(C("a") % 50 != 1, C("pearson")))
+    _, equality = P.incremental_pairs(prior, v, roster, changed, "value", check)
     return equality.select("metric", "compared", "differing", "reuse_allowed")
 
 
