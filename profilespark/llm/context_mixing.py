@@ -137,7 +137,7 @@ def rows_at(hashed: np.ndarray, i: int, upper: np.ndarray | None = None) -> np.n
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The half bytes that follow every row, counted over the task; rows (slot range, salt, cells that are not zero, their counts)."""
+    """The half bytes that follow every row, counted over the task; rows of a slot range each."""
     count, one = [np.zeros(16 << b, np.uint32) for b in ROW_BITS], np.uint32(1)
     for batch in by_size(batches, "text", SLICE):
         flat = Flat.of([split(data) for data in texts(batch, "text")])
@@ -153,32 +153,39 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     salt = TaskContext.get().partitionId() >> 8
     for i, c in enumerate(count):
         for at in range(0, len(c), RANGE):
-            part = c[at : at + RANGE]
-            cells = np.flatnonzero(part)
-            if cells.size:
-                yield _table_row(int(FIRST_ROW[i] * 16 + at) // RANGE, salt, cells, part[cells])
+            if (part := c[at : at + RANGE]).any():
+                yield _table_row(int(FIRST_ROW[i] * 16 + at) // RANGE, salt, part)
 
 
-_PARTIAL = "part int, salt int, cells binary, counts binary"
+_PARTIAL = "part int, salt int, small binary, cells binary, counts binary"
 
 
-def _table_row(part: int, salt: int, cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    payload = [pa.array([a.astype(t).tobytes()], pa.binary()) for a, t in ((cells, "<u2"), (counts, "<u8"))]
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), *payload], names=["part", "salt", "cells", "counts"])
+def _table_row(part: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
+    """Counts of a slot range: a byte each, and those from 255 on in full beside them."""
+    large = np.flatnonzero(counts >= 255)
+    payload = [np.minimum(counts, 255).astype(np.uint8), large.astype("<u2"), counts[large].astype("<u8")]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in payload)], names=["part", "salt", "small", "cells", "counts"])
+
+
+def _table_counts(small: bytes, cells: bytes, counts: bytes) -> np.ndarray:
+    found = np.frombuffer(small, np.uint8).astype(np.uint64)
+    found[np.frombuffer(cells, "<u2")] = np.frombuffer(counts, "<u8")
+    return found
 
 
 def _add_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial tables added up; a task's rows come sorted by slot range and salt, so one dense range is held at a time."""
+    """Partial tables added up; a task's rows come sorted by slot range and salt, so one range is held at a time."""
     own, total = None, np.zeros(RANGE, np.uint64)
     for batch in batches:
-        for part, salt, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
+        for at in range(batch.num_rows):
+            part, salt, *payload = (c[at].as_py() for c in batch.columns)
             if (part, salt) != own:
                 if own is not None:
-                    yield _table_row(*own, np.flatnonzero(total), total[total > 0])
+                    yield _table_row(*own, total)
                 own, total = (part, salt), np.zeros(RANGE, np.uint64)
-            total[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, "<u8")
+            total += _table_counts(*payload)
     if own is not None:
-        yield _table_row(*own, np.flatnonzero(total), total[total > 0])
+        yield _table_row(*own, total)
 
 
 def odds(leaves: np.ndarray) -> np.ndarray:
@@ -193,17 +200,17 @@ def odds(leaves: np.ndarray) -> np.ndarray:
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, cells, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            dense = np.zeros(RANGE, np.uint64)
-            dense[np.frombuffer(cells, "<u2")] = np.frombuffer(counts, "<u8")
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([odds(dense.reshape(-1, 16)).tobytes()], pa.binary())], names=["part", "odds"])
+        for at in range(batch.num_rows):
+            part, _, *payload = (c[at].as_py() for c in batch.columns)
+            rows = odds(_table_counts(*payload).reshape(-1, 16))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["part", "odds"])
 
 
 def context_table(docs: DataFrame) -> np.ndarray:
     """The log odds of all rows: at most 2^19.9 x 16 bytes come to the driver."""
     partial = docs.select("text").mapInArrow(_count_contexts, _PARTIAL)
     for keys in (["part", "salt"], ["part"]):
-        partial = partial.repartition(*keys).sortWithinPartitions(*keys).withColumn("salt", F.col("salt") if len(keys) > 1 else F.lit(0)).mapInArrow(_add_tables, _PARTIAL)
+        partial = partial.repartition(*keys).sortWithinPartitions(*keys).withColumn("salt", F.col("salt") if len(keys) > 1 else F.lit(0)).select("part", "salt", "small", "cells", "counts").mapInArrow(_add_tables, _PARTIAL)
     table = np.zeros(int(FIRST_ROW[-1]) * 16, np.int8)
     for r in partial.mapInArrow(_finish, "part int, odds binary").toLocalIterator(prefetchPartitions=True):
         table[r["part"] * RANGE : (r["part"] + 1) * RANGE] = np.frombuffer(r["odds"], np.int8)

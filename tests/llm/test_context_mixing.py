@@ -99,13 +99,20 @@ def test_tables_hold_all_counts(spark):
     parts = docs.select("text").repartition(5).mapInArrow(M._count_contexts, M._PARTIAL)
     cells = 0
     for r in parts.collect():
-        cells += int(np.frombuffer(r["counts"], "<u8").sum())
+        cells += int(M._table_counts(r["small"], r["cells"], r["counts"]).sum())
     n_bytes = sum(len(b" ".join((t or "").encode().lower().split())) + 1 for _, t in rows)
     assert cells == 2 * M.N_CONTEXTS * n_bytes
     a, b = M.context_table(docs.repartition(1)), M.context_table(docs.repartition(7))
     assert (a == b).all() and a.any()
 
 
+def test_counts_of_a_range_of_any_size():
+    counts = np.zeros(M.RANGE, np.uint64)
+    counts[[0, 5, 9, 65535]] = [254, 255, 10**12, 1]
+    row = M._table_row(3, 1, counts).to_pylist()[0]
+    assert (M._table_counts(row["small"], row["cells"], row["counts"]) == counts).all()
+
+
 def test_odds_of_half_bytes():
     leaves = np.zeros((2, 16), np.uint64)
     leaves[0, 0b1010] = 7
