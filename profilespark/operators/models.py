@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .calls import alpha_name
 from .pairs import target_level_mean
+from .ranks import positions
 from .spectrum import spectra
 
 GRAM_SIDE = 2048
@@ -466,28 +467,34 @@ def fixed_reference_pca(profiles: DataFrame, value: str, reference: DataFrame, q
 # ---------------------------------------------------------------- distances
 
 def complete_distance_subset(pairs: DataFrame, coverage: DataFrame, metric: str) -> tuple[DataFrame, DataFrame]:
-    """(kept, excluded in order): drop the profile with most missing distances until none is missing.
+    """(kept, excluded in order): drop the profile with most missing distances until none is missing or two profiles are left.
 
-    Ties drop lower coverage, then the smaller name. Each round is one aggregate over the missing edges that are left.
-    ``coverage``: profile, coverage.
+    Ties drop lower coverage, then the smaller name. ``coverage``: profile, coverage.
+
+    A profile that precedes all those it lacks a distance to is dropped before any of them whatever happens elsewhere, as the others' counts
+    can only fall. So every round drops all such profiles at once, and the rounds follow the longest chain of precedence instead of the
+    number dropped. The counts that profiles are dropped at never rise in the one-at-a-time order, so sorting by that count, coverage and
+    name gives that order back.
     """
-    spark = pairs.sparkSession
-    edges = cut(pairs.where(F.col(metric).isNull()).select("a", "b"))
-    coverage = cut(coverage)
-    left, out = coverage.count(), []
-    while left >= 3:
+    names = cut(coverage.select("profile", F.coalesce(F.col("coverage").cast("double"), F.lit(0.0)).alias("_c")))
+    edges = cut(pairs.where(F.col(metric).isNull()).select("a", "b").where("a <> b"))
+    dropped = None
+    while not edges.isEmpty():
         ends = edges.select(F.explode(F.array("a", "b")).alias("profile")).groupBy("profile").agg(F.count(F.lit(1)).alias("_n"))
-        worst = ends.join(coverage, "profile", "left").orderBy(F.desc("_n"), F.coalesce("coverage", F.lit(0)), "profile").limit(1).collect()
-        if not worst:
-            break
-        name = worst[0]["profile"]
-        out.append((len(out) + 1, name))
-        left -= 1
-        edges = edges.where((F.col("a") != name) & (F.col("b") != name))
-        if len(out) % 20 == 0:
-            edges = cut(edges)
-    key = coverage.schema["profile"].dataType.simpleString()
-    excluded = spark.createDataFrame(out, f"exclusion_order long, profile {key}")
+        ends = cut(ends.join(names, "profile", "left").na.fill(0.0, ["_c"]))
+        x, y = (ends.select(*[F.col(c).alias(f"{side}{c}") for c in ("profile", "_n", "_c")]) for side in ("x", "y"))
+        met = edges.join(x, F.col("a") == F.col("xprofile")).join(y, F.col("b") == F.col("yprofile"))
+        first = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & ((F.col("x_c") < F.col("y_c")) | ((F.col("x_c") == F.col("y_c")) & (F.col("a") < F.col("b")))))
+        later = met.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("profile")).distinct()
+        gone = cut(ends.join(later, "profile", "left_anti"))
+        dropped = gone if dropped is None else cut(dropped.unionByName(gone))
+        gone = gone.select("profile")
+        edges = cut(edges.join(gone, F.col("a") == F.col("profile"), "left_anti").join(gone, F.col("b") == F.col("profile"), "left_anti"))
+    if dropped is None:
+        return coverage, coverage.select(F.lit(0).cast("long").alias("exclusion_order"), "profile").limit(0)
+    most = max(0, names.count() - 2)
+    placed = positions(dropped, [F.desc("_n"), "_c", "profile"], "exclusion_order").where(F.col("exclusion_order") <= most)
+    excluded = cut(placed.select("exclusion_order", "profile"))
     return coverage.join(excluded, "profile", "left_anti"), excluded
 
 
