@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from .quantiles import exact_quantiles
+from .ranks import positions
 
 
 def alpha_name(alpha: float) -> str:
@@ -180,7 +180,7 @@ def tissue_class_counts(calls: DataFrame, tissue_class: DataFrame, retained: str
 def axis_order(calls: DataFrame, axis: str, value: str) -> DataFrame:
     """Axis labels by their maximum value, largest first, ties by name (a dictionary-sized result)."""
     top = calls.groupBy(axis).agg(F.max(value).alias("max_value"))
-    return top.withColumn("axis_rank", F.row_number().over(W.orderBy(F.desc("max_value"), axis)).cast("long"))
+    return positions(top, [F.desc("max_value"), axis], "axis_rank")
 
 
 def rank_of_calls_shown(calls: DataFrame, k: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .quantiles import with_quantiles
+from .ranks import group_positions, group_ranks
 
 # metric column, smaller is nearer, label
 METRICS = [("rms", True, "RMS"), ("cosine", False, "COSINE"), ("spearman", False, "SPEARMAN"),
@@ -140,16 +141,14 @@ def top_shared_targets(detail: DataFrame, k: int = 20) -> DataFrame:
 
 
 def ranked_scores(scores: DataFrame, score: str, tie: str, groups: list[str]) -> DataFrame:
-    """Scores ranked by absolute value inside each profile; rank comes from a window over one profile's contract."""
-    w = W.partitionBy(*groups).orderBy(F.abs(score).desc(), F.col(tie))
-    return scores.where(F.col(score).isNotNull()).withColumn("abs_rank", F.row_number().over(w).cast("long"))
+    """Scores ranked by absolute value inside each profile; ranges of the whole order are ranked, so no task holds a profile."""
+    return group_positions(scores.where(F.col(score).isNotNull()), groups, [F.abs(score).desc(), F.col(tie)], "abs_rank")
 
 
 def query_ranking(pairs: DataFrame, query, subset: DataFrame, metrics=METRICS + [("pearson", False, "PEARSON")]) -> DataFrame:
     """One row per named comparator and metric with its place (1 = nearest, ties share the better place)."""
     long = _long_metrics(orient_pairs(pairs, query, subset), metrics, ("matched_features", "matched_targets"))
-    w = W.partitionBy("metric").orderBy("key")
-    return long.withColumn("place", F.rank().over(w).cast("long")).drop("key")
+    return group_ranks(cut(long), ["metric"], "key", "place").drop("key")
 
 
 def residual_recurrence(detail: DataFrame, by: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocab as V
+from ..session import cut
+from .quantiles import with_quantiles
 
 BLOCK_PROFILES = 128
 CHUNK_FEATURES = 65_536
@@ -353,7 +355,7 @@ def target_level_mean(profiles: DataFrame, value: str) -> DataFrame:
 
 def query_metrics(profiles: DataFrame, query, value: str, gate=(V.GATE_FEATURES, V.GATE_TARGETS)) -> DataFrame:
     """Continuous metrics of one query against every other profile, those without overlap too: linear in the data, no pair grid."""
-    detail = pair_detail(profiles, query, value)
+    detail = cut(pair_detail(profiles, query, value))
     ranked = pair_correlation(detail.select(F.col("comparator").alias("a"), F.col("query").alias("b"), F.col("query_value").alias("value_a"), F.col("comparator_value").alias("value_b")))
     others = profiles.where(F.col("profile") != query).select(F.col("profile").alias("comparator")).distinct()
     d, q, c = F.col("absolute_difference"), F.col("query_value"), F.col("comparator_value")
@@ -363,12 +365,38 @@ def query_metrics(profiles: DataFrame, query, value: str, gate=(V.GATE_FEATURES,
         F.sqrt(F.avg(d * d)).alias("rms"), F.sqrt(F.sum(d * d)).alias("euclidean"),
         F.try_divide(F.sum(q * c), F.sqrt(F.sum(q * q)) * F.sqrt(F.sum(c * c))).alias("cosine"),
         F.when(spread, F.try_divide(F.covar_samp(q, c), F.stddev_samp(q) * F.stddev_samp(c))).alias("pearson"),
-        F.avg(d).alias("mean_abs_difference"), F.median(d).alias("median_abs_difference"), F.max(d).alias("max_abs_difference"),
+        F.avg(d).alias("mean_abs_difference"), F.max(d).alias("max_abs_difference"),
     )
+    sums = with_quantiles(sums, detail, ["comparator"], {"median_abs_difference": (d, 0.5)})
     full = others.join(sums, "comparator", "left").join(ranked.select(F.col("a").alias("comparator"), "spearman"), "comparator", "left")
     return full.na.fill(0, ["matched_features", "matched_targets"]).withColumn("overlap_gate_pass", _gate(F.col("matched_features"), F.col("matched_targets"), gate))
 
 
+def query_pairs(profiles: DataFrame, query, value: str, calls: DataFrame | None = None, alphas=()) -> DataFrame:
+    """The pairs (a: the query, b: every other profile) with all continuous metrics, support overlap and, per level, the Jaccard of calls.
+
+    Linear in the cells: the query's cells and calls are joined with everybody's by feature, and no pair without the query is looked at.
+    """
+    from .calls import alpha_name
+
+    tested = profiles.where(F.col(value).isNotNull())
+    sizes = tested.groupBy("profile").agg(F.countDistinct("feature_order").alias("_k"))
+    own = sizes.where(F.col("profile") == query).agg(F.coalesce(F.max("_k"), F.lit(0)).alias("_q"))
+    out = query_metrics(profiles, query, value).join(sizes.withColumnRenamed("profile", "comparator"), "comparator", "left").na.fill(0, ["_k"]).join(own, F.lit(True))
+    union = F.col("_k") + F.col("_q") - F.col("matched_features")
+    out = out.select(F.lit(query).alias("a"), F.col("comparator").alias("b"), *[c for c in out.columns if c not in ("comparator", "_k", "_q")], union.alias("support_union"),
+                     F.when(union > 0, F.col("matched_features") / F.when(union > 0, union)).otherwise(1.0).alias("support_jaccard"))
+    for alpha in alphas:
+        called = calls.where(F.col("alpha") == alpha).select("profile", "feature_id").distinct()
+        mine = called.where(F.col("profile") == query).select("feature_id", F.lit(1).alias("_mine"))
+        counts = called.join(mine, "feature_id", "left").groupBy(F.col("profile").alias("b")).agg(F.count(F.lit(1)).alias("_n"), F.count("_mine").alias("_s"))
+        total = mine.agg(F.count(F.lit(1)).alias("_t"))
+        met = out.join(counts, "b", "left").na.fill(0, ["_n", "_s"]).join(total, F.lit(True))
+        either = F.col("_n") + F.col("_t") - F.col("_s")
+        out = met.withColumn(f"{alpha_name(alpha)}_call_jaccard", F.when(either > 0, F.col("_s") / F.when(either > 0, either)).otherwise(1.0)).drop("_n", "_s", "_t")
+    return out
+
+
 def target_level_pairwise(profiles: DataFrame, query, value: str) -> DataFrame:
     """One row for every comparator, with matched 0 where no target is shared."""
     return query_metrics(target_level_mean(profiles, value), query, value)

@@ -22,6 +22,11 @@ def vector_pairs(spark, sf):
     return vector_metrics(spark, sf).join(f.select("a", "b", C("call_jaccard").alias("alpha001_call_jaccard")), ["a", "b"])
 
 
+def pairs_of(spark, sf, query):
+    """The pairs of one query, without building all others."""
+    return P.query_pairs(B.vectors(spark, sf), query, "value", B.vector_calls(spark, sf), (0.001,))
+
+
 _FP = _fp_views(0.001)
 _LONG = """SELECT q AS query, c AS comparator, metric, value, k AS key, matched_features, matched_targets FROM (
   SELECT x.*, unnest(['RMS', 'COSINE', 'SPEARMAN', 'FINGERPRINT_JACCARD', 'SUPPORT_JACCARD', 'PEARSON']) AS metric, unnest([rms, cosine, spearman, call_jaccard, support_jaccard, pearson]) AS value, unnest([rms, -cosine, -spearman, -call_jaccard, -support_jaccard, -pearson]) AS k
@@ -33,8 +38,10 @@ _ORIENT = "SELECT 0 AS query, CASE WHEN a = 0 THEN b ELSE a END AS comparator, *
 
 @register("orient_pairs", "SELECT comparator, round(rms, 6) AS rms, round(CASE WHEN a = 3 THEN d ELSE -d END, 6) AS diff FROM (SELECT CASE WHEN a = 3 THEN b ELSE a END AS comparator, a, sqrt(avg(d * d)) AS rms, sum(va - vb) AS d FROM matched WHERE a = 3 OR b = 3 GROUP BY a, b)", matched=PAIR_VIEWS["matched"])
 def _(spark, sf):
-    m = P.matched_support_join(B.vectors(spark, sf), B.vector_roster(spark, sf), "value")
-    pairs = m.groupBy("a", "b").agg(F.sqrt(F.avg(C("absolute_difference") * C("absolute_difference"))).alias("rms"), F.sum("signed_difference").alias("diff"))
+    d = P.pair_detail(B.vectors(spark, sf), 3, "value").groupBy("query", "comparator").agg(
+        F.sqrt(F.avg(C("absolute_difference") * C("absolute_difference"))).alias("rms"), F.sum("signed_difference").alias("diff"))
+    first = C("query") < C("comparator")
+    pairs = d.select(F.least("query", "comparator").alias("a"), F.greatest("query", "comparator").alias("b"), "rms", F.when(first, C("diff")).otherwise(-C("diff")).alias("diff"))
     return N.orient_pairs(pairs, 3, signed=("diff",)).select("comparator", r("rms"), r("diff"))
 
 
@@ -42,7 +49,7 @@ def _(spark, sf):
   round(abs(max(CASE WHEN rk = 1 THEN value END) - max(CASE WHEN rk = 2 THEN value END)), 6) AS margin, 'PASS' AS status FROM (
   SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(key, 12), comparator) AS rk FROM lng WHERE query = 0 AND metric <> 'PEARSON') GROUP BY 1""", **NEAR)
 def _(spark, sf):
-    return N.nearest_summary(vector_pairs(spark, sf), 0).select("metric", "nearest", r("nearest_value"), "runner_up", r("margin"), "status")
+    return N.nearest_summary(pairs_of(spark, sf, 0), 0).select("metric", "nearest", r("nearest_value"), "runner_up", r("margin"), "status")
 
 
 @register("nearest_within_family", """SELECT query, metric, comparator AS nearest, round(value, 6) AS metric_value, matched_features, matched_targets, 'PASS' AS status FROM (
@@ -60,14 +67,14 @@ FROM (SELECT class_id, class_label, comparator, rms, row_number() OVER (PARTITIO
 
 @register("class_nearest", _NEARC, **PAIR_VIEWS, orient=_ORIENT)
 def _(spark, sf):
-    c = N.class_nearest(vector_metrics(spark, sf), 0, B.vector_classes(spark, sf))
+    c = N.class_nearest(P.query_pairs(B.vectors(spark, sf), 0, "value"), 0, B.vector_classes(spark, sf))
     return c.select("class_id", "class_label", "status", "nearest_comparator", r("rms"), r("percentile_in_class"), r("margin"))
 
 
 @register("query_ranking", "SELECT query, comparator, metric, round(value, 6) AS value, matched_features, matched_targets, rank() OVER (PARTITION BY metric ORDER BY key) AS place FROM lng JOIN embeddings e ON e.vec_id = comparator WHERE query = 0 AND e.label = 3", **NEAR)
 def _(spark, sf):
     sub = B.table(spark, sf, "embeddings").where("label = 3").select(C("vec_id").alias("profile"))
-    return N.query_ranking(vector_pairs(spark, sf), 0, sub).select("query", "comparator", "metric", r("value"), "matched_features", "matched_targets", "place")
+    return N.query_ranking(pairs_of(spark, sf, 0), 0, sub).select("query", "comparator", "metric", r("value"), "matched_features", "matched_targets", "place")
 
 
 _GROUP = "count(*) AS matched_features, round(avg({l}), 6) AS query_mean, round(avg({r}), 6) AS comparator_mean, round(avg({d}), 6) AS mean_difference, round(avg(abs({d})), 6) AS mean_absolute_difference, round(max(abs({d})), 6) AS max_absolute_difference"
@@ -177,7 +184,7 @@ def _(spark, sf):
 
 @register("class_distance", "SELECT class_id, class_label, round(avg(rms), 6) AS mean_distance, round(median(rms), 6) AS median_distance, round(min(rms), 6) AS minimum_distance, count(DISTINCT comparator) AS member_count FROM orient JOIN vector_classes c ON c.profile = comparator GROUP BY 1, 2", **PAIR_VIEWS, orient=_ORIENT)
 def _(spark, sf):
-    d = L.class_distance(vector_metrics(spark, sf), B.vector_classes(spark, sf), 0)
+    d = L.class_distance(P.query_pairs(B.vectors(spark, sf), 0, "value"), B.vector_classes(spark, sf), 0)
     return d.select("class_id", "class_label", r("mean_distance"), r("median_distance"), r("minimum_distance"), "member_count")
 
 

@@ -22,7 +22,7 @@ def score_distances(spark, sf):
     """Full symmetric distances of the score profiles."""
     p = B.profiles(spark, sf)
     roster = score_roster(p)
-    pairs = P.continuous_metrics(p, roster, "score", n_features=B.contract(spark, sf).count(), blocks=1)
+    pairs = P.continuous_metrics(p, roster, "score", n_features=B.contract(spark, sf).count())
     return P.metric_matrix(pairs, "rms", roster)
 
 
@@ -78,7 +78,7 @@ def _(spark, sf):
 @register("complete_distance_subset")
 def _(spark, sf):
     p = B.profiles(spark, sf)
-    pairs = P.continuous_metrics(p, score_roster(p), "score", n_features=B.contract(spark, sf).count(), blocks=1)
+    pairs = P.continuous_metrics(p, score_roster(p), "score", n_features=B.contract(spark, sf).count())
     thin = pairs.withColumn("rms", F.when(C("pearson") > 0.97, C("rms")))
     cover = p.groupBy("profile").agg(F.count("score").alias("coverage"))
     kept, out = M.complete_distance_subset(thin, cover, "rms")

@@ -75,7 +75,7 @@ FROM profiles a JOIN profiles b ON a.feature_id = b.feature_id AND a.profile < b
 def _(spark, sf):
     p = B.profiles(spark, sf)
     roster = p.select("profile").distinct().withColumn("roster_order", C("profile"))
-    d = P.matched_support_join(p, roster, "score", blocks=1)
+    d = P.matched_support_join(p, roster, "score")
     return P.pair_correlation(d).select("a", "b", "matched_features", r("pearson"), r("spearman"))
 
 
@@ -259,7 +259,7 @@ def _(spark, sf):
   k AS supported_features, round(k / 64.0, 6) AS feature_fraction FROM metrics JOIN sizes ON profile = CASE WHEN a = 0 THEN b ELSE a END WHERE a = 0 OR b = 0""", **PAIR_VIEWS)
 def _(spark, sf):
     v = B.vectors(spark, sf)
-    o = N.orient_pairs(vector_metrics(spark, sf), 0)
+    o = N.orient_pairs(P.query_pairs(v, 0, "value"), 0)
     c = P.distance_confounding(o, K.profile_coverage(v, B.vector_contract(spark, sf), "value"))
     return c.select("comparator", "matched_features", "matched_targets", r("support_jaccard"), r("rms"), r("spearman"), "supported_features", r("feature_fraction"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranks import positions
+
 RECORD_SCHEMA = (
     "profile_id string, source_profile_id string, target_id string, tissue_id string, expression_dataset_id string, hr_score double, "
     "fingerprint_member boolean, support_status string, gesd_alpha double, source_artifact string, source_row long"
@@ -89,16 +91,5 @@ def json_records_export(calls: DataFrame, dataset: str, artifact: str, order: li
 
 
 def row_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """1-based position in ``order`` (first by the text of the leading column) without sorting all rows in one task.
-
-    Rows are numbered inside each value of the leading column and shifted by the number of rows before that value; the
-    shift is a running sum over the distinct leading values only (a roster).
-    """
-    from pyspark.sql import Window as W
-
-    lead = F.col(order[0]).cast("string")
-    sizes = df.groupBy(lead.alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
-    shifts = sizes.select("_f", F.coalesce(F.sum("_n").over(W.orderBy("_f").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    w = W.partitionBy("_f").orderBy(*order)
-    placed = df.withColumn("_f", lead).withColumn("_rn", F.row_number().over(w))
-    return placed.join(shifts, "_f").withColumn(out, (F.col("_rn") + F.col("_shift")).cast("long")).drop("_rn", "_f", "_shift")
+    """1-based position in ``order``, first by the text of the leading column; ranges of that order are numbered, whatever one value holds."""
+    return positions(df, [F.col(order[0]).cast("string"), *order], out)
