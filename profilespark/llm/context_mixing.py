@@ -139,7 +139,7 @@ def rows_at(hashed: np.ndarray, i: int, upper: np.ndarray | None = None) -> np.n
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The half bytes that follow every row, counted over the task; rows of a slot range each."""
     count, one = [np.zeros(16 << b, np.uint32) for b in ROW_BITS], np.uint32(1)
-    for batch in by_size(batches, "text", SLICE):
+    for batch in by_size(batches, "text", SLICE // 2):
         flat = Flat.of([split(data) for data in texts(batch, "text")])
         coded = np.ones(len(flat.data), bool)
         for j in range(PAD):
