@@ -14,9 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 JIT_METHOD_BYTES = "8000"  # the JVM never compiles a larger method, so a larger generated stage would run interpreted
 
 
+ARROW_BATCH = "4m"  # rows reach Arrow functions in batches of this size, however long their texts are
+
+
 def tune(spark: SparkSession) -> None:
     """Generated stages above the JVM's compile limit fall back to split, compiled expressions (measured 2x on wide rules)."""
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
 
 
 def ship(spark: SparkSession) -> None:
