@@ -7,48 +7,53 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import cut
+from .ranks import running_sums
 
 
-def fit_knots(df: DataFrame, value: str, weight: str, buckets: int = 64) -> DataFrame:
+def fit_knots(df: DataFrame, value: str, weight: str) -> DataFrame:
     """Equal knots summed, with the mass strictly before each and the total.
 
-    The running sum is taken inside value buckets whose own totals are added afterwards, so no single task orders all
-    knots. Bucket edges come from an approximate quantile and only balance the work.
+    The running sum is taken over ranges of the knots whose totals shift the later ones, so no single task orders all knots, and the ranges
+    follow the number of knots.
     """
     x, w = S.to_finite(F.col(value)), S.to_finite(F.col(weight))
     mass = df.select(x.alias("knot"), w.alias("w")).where("knot is not null and w > 0").groupBy("knot").agg(F.sum("w").alias("mass"))
-    cuts = mass.agg(F.percentile_approx("knot", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
-    placed = mass.join(F.broadcast(cuts), F.lit(True)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("knot")))).drop("_cuts")
-    per = placed.groupBy("_b").agg(F.sum("mass").alias("_s"))
-    offsets = per.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_off"), F.sum("_s").over(W.partitionBy()).alias("total"))
-    run = F.sum("mass").over(W.partitionBy("_b").orderBy("knot").rowsBetween(W.unboundedPreceding, 0)) - F.col("mass")
-    return placed.withColumn("_run", run).join(F.broadcast(offsets), "_b").select("knot", "mass", (F.col("_off") + F.col("_run")).alias("before"), "total")
+    placed = cut(running_sums(mass, ["knot"], "mass", "before"))
+    return placed.join(placed.agg(F.sum("mass").alias("total")), F.lit(True)).select("knot", "mass", "before", "total")
 
 
-def weighted_ecdf_asof(df: DataFrame, knots: DataFrame, value: str, out: str, buckets: int = 64) -> DataFrame:
+def weighted_ecdf_asof(df: DataFrame, knots: DataFrame, value: str, out: str) -> DataFrame:
     """Percentile of each value: a value on a knot gets the middle of its mass, one between knots the mass to its left.
 
-    An as-of join in one pass: values and knots are laid on one line, cut into value buckets, and the last knot at or before
-    a value is carried forward inside its bucket; a bucket starts with the last knot of the buckets before it.
+    A range-partitioned as-of merge: distinct values and knots are laid on one line and dealt to tasks by ranges of it, the last knot at or
+    before a value is carried forward inside its range, and a range starts with the last knot of the ranges before it. Rows get their
+    value's percentile back by a join.
     """
     v = S.to_finite(F.col(value))
-    # Distinct values only travel through the ordering; rows are joined back on the value itself.
-    ask = df.select(v.alias("x")).where("x is not null").distinct()
-    line = ask.select("x", F.lit(None).cast("double").alias("mass"), F.lit(None).cast("double").alias("before"), F.lit(1).alias("kind")).unionByName(
-        knots.select(F.col("knot").alias("x"), "mass", "before", F.lit(0).alias("kind")))
-    cuts = ask.agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
-    placed = line.join(F.broadcast(cuts), F.lit(True)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("x")))).drop("_cuts")
-    k = F.when(F.col("kind") == 0, F.struct(F.col("x").alias("knot"), F.col("mass").alias("mass"), F.col("before").alias("before")))
-    tails = placed.groupBy("_b").agg(F.max_by(k, F.when(F.col("kind") == 0, F.col("x"))).alias("_last"))
-    carried = tails.select("_b", F.last("_last", ignorenulls=True).over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
-    w = W.partitionBy("_b").orderBy("x", "kind").rowsBetween(W.unboundedPreceding, 0)
-    seen = placed.withColumn("_k", F.last(k, ignorenulls=True).over(w)).where("kind = 1").join(F.broadcast(carried), "_b")
-    seen = seen.withColumn("_k", F.coalesce("_k", "_carry"))
+    rows, knots = cut(df.withColumn("_x", v)), cut(knots)
+    ask = rows.select(F.col("_x").alias("x")).where("x is not null").distinct()
+    none = F.lit(None).cast("double")
+    line = ask.select("x", none.alias("knot"), none.alias("mass"), none.alias("before"), F.lit(1).alias("kind")).unionByName(
+        knots.select(F.col("knot").alias("x"), "knot", "mass", "before", F.lit(0).alias("kind")))
+    dealt = cut(line.repartitionByRange("x").withColumn("_p", F.spark_partition_id()))
+    parts = ["knot", "mass", "before"]
+    tails = {r["_p"]: r for r in dealt.where("kind = 0").groupBy("_p").agg(F.max("knot").alias("knot"), F.max_by("mass", "knot").alias("mass"), F.max_by("before", "knot").alias("before")).collect()}
+    last, carried = None, []
+    for p in range((dealt.agg(F.max("_p")).first()[0] or 0) + 1):  # one row a range
+        carried.append(last)
+        last = tails.get(p, last)
+    inside = W.partitionBy("_p").orderBy("x", "kind").rowsBetween(W.unboundedPreceding, 0)
+
+    def seen(c):
+        start = F.element_at(F.array(*[F.lit(r[c] if r else None).cast("double") for r in carried]), F.col("_p") + 1)
+        return F.coalesce(F.last(c, ignorenulls=True).over(inside), start).alias(c)
+
+    met = dealt.select("x", "kind", *[seen(c) for c in parts]).where("kind = 1")
     total = knots.agg(F.max("total").alias("_t"))
-    hit = F.col("_k.knot") == F.col("x")
-    mass = F.when(F.col("_k").isNull(), 0.0).when(hit, F.col("_k.before") + F.col("_k.mass") / 2).otherwise(F.col("_k.before") + F.col("_k.mass"))
-    table = seen.join(F.broadcast(total), F.lit(True)).select(F.col("x").alias("_x"), (mass / F.col("_t")).alias(out))
-    return df.join(table, v == F.col("_x"), "left").drop("_x")
+    mass = F.when(F.col("knot").isNull(), 0.0).when(F.col("knot") == F.col("x"), F.col("before") + F.col("mass") / 2).otherwise(F.col("before") + F.col("mass"))
+    table = met.join(total, F.lit(True)).select(F.col("x").alias("_at"), (mass / F.col("_t")).alias(out))
+    return rows.join(table, F.col("_x") == F.col("_at"), "left").drop("_x", "_at")
 
 
 def contract_map(df: DataFrame, contract: DataFrame, target: str, tissue: str, value: str, knots: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..operators import classes as L
 from ..operators import ecdf as E
 from ..operators import nearest as N
 from ..operators import pairs as P
+from ..session import cut
 from . import bindings as B
 from .pair_queries import DETAIL, PAIR_VIEWS, QC, _fp_views, detail, vector_metrics
 from .register import r, register
@@ -227,7 +228,7 @@ MAPPED = f"""SELECT target, tissue, raw, feature_id_common, ok, CASE WHEN ok THE
 
 
 def mapped(spark, sf):
-    e = B.expression(spark, sf)
+    e = cut(B.expression(spark, sf).select("target", "tissue", "raw"))
     con = B.contract(spark, sf).where(~C("target").endswith("PROMO"))
     k = E.fit_knots(e.select(F.round(C("raw") / 10).alias("v"), F.lit(1.0).alias("w")), "v", "w")
     rows = e.select("target", "tissue", "raw", (C("raw") / 11).alias("v"))

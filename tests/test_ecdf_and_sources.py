@@ -1,5 +1,7 @@
 import hashlib
 
+import numpy as np
+
 from profilespark.operators import ecdf as E
 from profilespark.sources import files as FI
 from profilespark.sources import tables as T
@@ -12,6 +14,19 @@ def test_weighted_ecdf(spark):
     assert got == {2.0: 2.5 / 8, 3.0: 4 / 8, 0.0: 0.0, 9.0: 1.0, 5.0: 6 / 8, None: None}
 
 
+def test_ranges_carry_their_tails(spark):
+    """Values far above, below and between knots, over several ranges, some of them without any knot."""
+    rng = np.random.default_rng(1)
+    knots = np.round(rng.standard_normal(300), 2).tolist()
+    asked = np.round(rng.standard_normal(3000) * 3 + 2, 2).tolist()
+    k = E.fit_knots(spark.createDataFrame([(x, 1.0) for x in knots], "v double, w double"), "v", "w")
+    got = {r.x: r.p for r in E.weighted_ecdf_asof(spark.createDataFrame([(x,) for x in asked], "x double").repartition(5), k, "x", "p").collect()}
+    at = np.array(knots)
+    assert set(got) == set(asked)
+    for x, p in got.items():
+        assert abs(p - ((at < x).sum() + (at == x).sum() / 2) / 300) < 1e-12
+
+
 def test_inventory(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_bytes(b"one")
