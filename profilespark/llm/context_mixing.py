@@ -364,6 +364,8 @@ def mixing_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     model = sc.broadcast(Model(weights, n, words, hot))
     scored = cut(source.select("doc_id", "r", "text").mapInArrow(
         lambda b: _score(b, table, model), f"key long, doc_id {kind}, r int, n_tokens long, known long, base double, bits double, n_bytes long, rare array<binary>, times array<int>"))
+    for sent in (table, model):  # the scores are written: no task needs these again
+        sent.destroy()
     rare = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("key", F.col("w.rare").alias("token"), F.col("w.times").alias("times"))
     met = rare.join(counts.where(~frequent).select("token", "trained"), "token", "left")
     c = F.coalesce("trained", F.lit(0))
