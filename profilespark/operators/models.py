@@ -640,6 +640,18 @@ def metric_mds(distances: DataFrame, seed: int, n_init: int = 8, max_iter: int =
     return Model(c, None, spark.createDataFrame(status, f"analysis_id {gt}, method string, status string, sample_count long, iterations long, stress double, seed long"))
 
 
+def metric_mds_check(distances: DataFrame, model: Model, tol: float = 1e-6, group: str | None = None) -> DataFrame:
+    """Per group the raw stress worked out again from the coordinates by joins, and whether it is what the status says."""
+    d = distances.withColumn("grp", F.col(group) if group else F.lit("ALL"))
+    c = model.scores
+    a = c.select(F.col("analysis_id").alias("grp"), F.col("profile").alias("a"), F.col("MDS1").alias("_x"), F.col("MDS2").alias("_y"))
+    b = c.select(F.col("analysis_id").alias("grp"), F.col("profile").alias("b"), F.col("MDS1").alias("_u"), F.col("MDS2").alias("_v"))
+    gap = F.sqrt((F.col("_x") - F.col("_u")) ** 2 + (F.col("_y") - F.col("_v")) ** 2)
+    again = d.join(a, ["grp", "a"]).join(b, ["grp", "b"]).groupBy("grp").agg((F.sum((gap - F.col("value")) ** 2) / 2).alias("stress_again"), F.count(F.lit(1)).alias("cells"))
+    out = model.status.join(again, F.col("analysis_id") == F.col("grp"), "left").drop("grp")
+    return out.withColumn("stress_agrees", F.abs(F.col("stress") - F.col("stress_again")) <= tol * F.greatest(F.lit(1.0), F.col("stress")))
+
+
 def average_linkage_by_group(distances: DataFrame, group: str) -> DataFrame:
     """Average-linkage tree of every group at once: left, right, distance, member_count; a cluster is named by its smallest member.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import models as M
 from ..operators import pairs as P
 from ..operators import quality as G
+from ..session import cut
 from . import bindings as B
 from .pair_queries import PAIR_VIEWS, states, vector_metrics
 from .register import r, register
@@ -103,6 +104,12 @@ def _(spark, sf):
     return M.metric_mds(score_distances(spark, sf), 20260813).status
 
 
+@register("metric_mds_check")
+def _(spark, sf):
+    d = cut(score_distances(spark, sf))
+    return M.metric_mds_check(d, M.metric_mds(d, 20260813)).select("analysis_id", "status", "sample_count", "cells", "stress", "stress_again", "stress_agrees")
+
+
 @register("average_linkage_by_group")
 def _(spark, sf):
     d = vector_metrics(spark, sf).select("a", "b", C("rms").alias("value"))

@@ -87,3 +87,28 @@ def test_scaling_that_is_stopped_has_a_limitation(spark):
     np.fill_diagonal(d, 0)
     s = M.pcoa(long(spark, {"x": d}), max_rounds=1).status.first()
     assert s["status"] == "PASS_WITH_LIMITATION" and s["rank"] is None and not s["converged"] and "residual" in s["reason"]
+
+
+def test_metric_scaling_equals_plain_majorisation(spark):
+    """Distances of points in the plane are met; others reach the stress that plain rounds reach from as many starts."""
+    rng = np.random.default_rng(5)
+    flat = rng.standard_normal((30, 2))
+    rough = np.abs(rng.standard_normal((17, 17)))
+    rough = (rough + rough.T) / 2
+    np.fill_diagonal(rough, 0)
+    mats = {"flat": np.sqrt(((flat[:, None] - flat[None]) ** 2).sum(2)), "rough": rough}
+    fit = M.metric_mds(long(spark, mats), 1, n_init=6, max_iter=60, eps=1e-5, group="grp")
+    got = {r["analysis_id"]: r for r in fit.status.collect()}
+    assert got["flat"]["stress"] < 1e-2 * (mats["flat"] ** 2).sum() and got["flat"]["sample_count"] == 30
+    best = np.inf
+    for s in range(6):
+        x = np.random.default_rng([9, s]).random((17, 2))
+        for _ in range(60):
+            gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+            pull = np.where(gap > 1e-12, rough / np.where(gap > 1e-12, gap, 1), 0)
+            x = (x * pull.sum(1, keepdims=True) - pull @ x) / 17
+        gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        best = min(best, ((gap - rough) ** 2).sum() / 2)
+    assert got["rough"]["stress"] < 1.15 * best
+    check = M.metric_mds_check(long(spark, mats), fit, group="grp").collect()
+    assert all(r["stress_agrees"] for r in check)
