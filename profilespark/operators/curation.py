@@ -95,6 +95,7 @@ def human_support_audit(targets: DataFrame, raw: DataFrame, cleaned: DataFrame,
 def _final_class(c: str = "relation_class") -> dict[str, Column]:
     rc, p = F.col(c), F.col("pactivity")
     bounded = rc.isin("GT_BOUND", "LT_BOUND")
+    # The status words and notes are part of the result.
     return {
         "value_status": F.when(rc == "GT_BOUND", "BOUNDED_GT").when(rc == "LT_BOUND", "BOUNDED_LT").when(rc == "EXACT", "EXACT").when(p.isNotNull(), "REVIEW_RELATION").otherwise("NO_SELECTED_ACTIVITY"),
         "boundary_nm": F.when(bounded, F.col("molar") * 1e9), "is_bounded": F.coalesce(bounded, F.lit(False)),

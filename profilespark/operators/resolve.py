@@ -171,6 +171,7 @@ def resolve_identity(df: DataFrame, name: str, lane: str, registry: DataFrame, a
         "_name", "_lane", cid.alias("_cid"),
         F.when(blank, "UNRESOLVED").when(cid.isNotNull(), "RESOLVED").when(special | (F.size("_ids") > 1), "AMBIGUOUS").otherwise("UNRESOLVED").alias("status"),
         F.when(blank | cid.isNotNull(), none).when(special, F.col("_cand")).otherwise(F.coalesce("_ids", none)).alias("candidates"),
+        # The wording of the reasons is part of the result.
         F.when(blank, "Blank source name").when(special & by_lane.isNotNull(), F.concat(F.lit("Resolved by explicit source lane "), F.col("_lane")))
         .when(special, F.col("_why")).when(sole, "Explicit configured alias").when(F.size("_ids") > 1, "Alias maps to multiple configured identities")
         .otherwise("No explicit governed identity mapping").alias("reason"))
