@@ -161,14 +161,15 @@ _PARTIAL = "part int, salt int, small binary, cells binary, counts binary"
 
 
 def _table_row(part: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
-    """Counts of a slot range: a byte each, and those from 255 on in full beside them."""
-    large = np.flatnonzero(counts >= 255)
-    payload = [np.minimum(counts, 255).astype(np.uint8), large.astype("<u2"), counts[large].astype("<u8")]
+    """Counts of a slot range: a byte each, and those from 255 on in full beside them; a range with few counts has these only."""
+    few = np.count_nonzero(counts) < RANGE // 16
+    large = np.flatnonzero(counts >= (1 if few else 255))
+    payload = [np.minimum(counts, 0 if few else 255).astype(np.uint8)[: 0 if few else RANGE], large.astype("<u2"), counts[large].astype("<u8")]
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in payload)], names=["part", "salt", "small", "cells", "counts"])
 
 
 def _table_counts(small: bytes, cells: bytes, counts: bytes) -> np.ndarray:
-    found = np.frombuffer(small, np.uint8).astype(np.uint64)
+    found = np.frombuffer(small, np.uint8).astype(np.uint64) if small else np.zeros(RANGE, np.uint64)
     found[np.frombuffer(cells, "<u2")] = np.frombuffer(counts, "<u8")
     return found
 

@@ -109,8 +109,9 @@ def test_tables_hold_all_counts(spark):
 def test_counts_of_a_range_of_any_size():
     counts = np.zeros(M.RANGE, np.uint64)
     counts[[0, 5, 9, 65535]] = [254, 255, 10**12, 1]
-    row = M._table_row(3, 1, counts).to_pylist()[0]
-    assert (M._table_counts(row["small"], row["cells"], row["counts"]) == counts).all()
+    for full in (counts, np.arange(M.RANGE, dtype=np.uint64) % 300, np.zeros(M.RANGE, np.uint64)):
+        row = M._table_row(3, 1, full).to_pylist()[0]
+        assert (M._table_counts(row["small"], row["cells"], row["counts"]) == full).all()
 
 
 def test_odds_of_half_bytes():
