@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import by_size, plain, texts
 
@@ -29,6 +28,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN_PENALTY = 10.0
 MAX_CACHED, MAX_WORD = 300_000, 64
 CELLS = 1 << 18  # characters that advance together
+SLICE_BYTES = 1 << 20  # text that is encoded at once
 
 
 class Model:
@@ -39,15 +39,15 @@ class Model:
 
         m = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = m.vocab_size()
-        self.text = [m.id_to_piece(i) for i in range(n)]
-        self.bytes_at = {int(self.text[i][1:-1], 16): i for i in range(n) if m.is_byte(i)}
+        name = [m.id_to_piece(i) for i in range(n)]
+        self.bytes_at = {int(name[i][1:-1], 16): i for i in range(n) if m.is_byte(i)}
         usable = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         self.unknown, self.unknown_score = m.unk_id(), min(m.get_score(i) for i in usable) - UNKNOWN_PENALTY
-        self.raw = [bytes([int(self.text[i][1:-1], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else self.text[i].replace(SPACE, " ").encode() for i in range(n)]
-        self.joins = {self.text[i][k : k + 2] for i in usable for k in range(len(self.text[i]) - 1)}
-        if any(SPACE in self.text[i].lstrip(SPACE) for i in usable):
+        self.raw = [bytes([int(name[i][1:-1], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else name[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.joins = {name[i][k : k + 2] for i in usable for k in range(len(name[i]) - 1)}
+        if any(SPACE in name[i].lstrip(SPACE) for i in usable):
             raise ValueError("a piece of this model spans words")
-        points = [np.array([ord(c) for c in self.text[i]], np.uint64) for i in usable]
+        points = [np.array([ord(c) for c in name[i]], np.uint64) for i in usable]
         key = np.array([_hash(x[None, :])[0, -1] for x in points], np.uint64)
         order = np.argsort(key)
         self.keys, self.ids = key[order], np.array(usable, np.int64)[order]
@@ -59,9 +59,9 @@ class Model:
         self.merges = all(float(m.get_score(i)).is_integer() for i in usable)
         self.reachable = np.ones(n, bool)
         if self.merges:
-            self._spines({self.text[i]: i for i in usable})
+            self._spines({name[i]: i for i in usable}, n)
 
-    def _spines(self, known: dict[str, int]) -> None:
+    def _spines(self, known: dict[str, int], n: int) -> None:
         """For every piece, the pieces that stand at its left and at its right end while its merges go on, and their scores."""
         left, right = {}, {}
         for text, i in known.items():
@@ -80,7 +80,7 @@ class Model:
             if self.reachable[i]:
                 left[i], right[i] = [known[p] for p in at_left], [known[p] for p in at_right]
         deep = max(map(len, [*left.values(), *right.values()])) + 1
-        self.left, self.right = (np.full((len(self.text), deep), -1, np.int64) for _ in range(2))
+        self.left, self.right = (np.full((n, deep), -1, np.int32) for _ in range(2))
         for table, spines in ((self.left, left), (self.right, right)):
             for i, spine in spines.items():
                 table[i, : len(spine)] = spine
@@ -197,10 +197,22 @@ class Encoder:
         return [b"".join([self.known[w] if len(w) <= MAX_WORD else now[w] for w in found]) for found in split]
 
 
+@lru_cache(maxsize=2)
+def encoder(model_file: str) -> Encoder:
+    """One encoder per worker process: words met in one task are known in the next."""
+    return Encoder(model_file)
+
+
+def _coded(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[tuple[pa.RecordBatch, list[str], list[bytes]]]:
+    """Slices of the batches, their texts and the ids of each text."""
+    encode = encoder(model_file)
+    for batch in by_size(batches, "text", SLICE_BYTES):
+        told = [data.decode(errors="replace") for data in texts(batch, "text")]
+        yield batch, told, encode(told)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.RecordBatch]:
-    encode = Encoder(model_file)
-    for batch in by_size(batches, "text"):
-        coded = encode([data.decode(errors="replace") for data in texts(batch, "text")])
+    for batch, _, coded in _coded(batches, model_file):
         offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["doc_id", "text", "ids"])
@@ -213,11 +225,16 @@ def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str =
     return source.mapInArrow(lambda batches: _encode(batches, model_file), f"doc_id {dict(source.dtypes)['doc_id']}, text string, ids array<int>")
 
 
+def _decoded(raw: list[bytes], ids: list[int]) -> str:
+    """The text that ids stand for, without the space that encoding put before it."""
+    return b"".join([raw[i] for i in ids])[1:].decode(errors="replace")
+
+
 def _decode(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.RecordBatch]:
     raw = load(model_file).raw
     for batch in batches:
         at = batch.schema.get_field_index("ids")
-        out = [b"".join([raw[i] for i in ids or ()])[1:].decode(errors="replace") for ids in batch.column(at).to_pylist()]
+        out = [_decoded(raw, ids or []) for ids in batch.column(at).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
 
 
@@ -228,15 +245,16 @@ def decode(coded: DataFrame, model_file: str) -> DataFrame:
     return coded.mapInArrow(lambda batches: _decode(batches, model_file), f"{schema}, decoded string")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(1)
-        sums = [zlib.crc32(ids[k].values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) if len(ids[k]) else 0 for k in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.int64()), batch.column(2)], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
+def _digest(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.RecordBatch]:
+    raw = load(model_file).raw
+    for batch, told, coded in _coded(batches, model_file):
+        same = [_decoded(raw, np.frombuffer(c, "<i4").tolist()) == t.replace(SPACE, " ") for t, c in zip(told, coded)]
+        columns = [pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array(same, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
 
-def piece_digest(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids) and round_trip: whether decoding gives the text back."""
-    both = decode(encode(docs, model_file), model_file)
-    told = both.select("doc_id", "ids", (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))).alias("round_trip"))
-    return told.mapInArrow(_digest, f"doc_id {dict(told.dtypes)['doc_id']}, n_ids long, ids_crc32 long, round_trip boolean")
+def piece_digest(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids) and round_trip: whether decoding the ids gives the text back, the
+    model's word mark read as a space. Texts are encoded and decoded in one pass, so ids never travel; edge cases as in ``encode``."""
+    source = plain(docs, doc_id=doc_id, text=text)
+    return source.mapInArrow(lambda batches: _digest(batches, model_file), f"doc_id {dict(source.dtypes)['doc_id']}, n_ids long, ids_crc32 long, round_trip boolean")
