@@ -212,7 +212,7 @@ def test_common_words_is_lcs():
 # ---- top k
 
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(knn, "PER_PIVOT", 5)
+    monkeypatch.setattr(knn, "PER_GROUP", 5)
     monkeypatch.setattr(knn, "BLOCK", 3)
     monkeypatch.setattr(knn, "CHUNK", 60)
     monkeypatch.setattr(knn, "SAMPLE", 20)
@@ -231,6 +231,37 @@ def test_top_k(spark, monkeypatch):
     assert knn.top_k(df.limit(0)).count() == 0 and knn.top_k(df.where("vec_id = 50")).count() == 0
 
 
+def plain_top_k(use, every=50, top=5):
+    """(query, rank) -> (id, score) over all pairs; scores held at the ends of a long."""
+    held = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = {}
+    for q in (i for i in use if i % every == 0):
+        ranked = sorted((-held(sum(a * b for a, b in zip(use[q], v))), i) for i, v in use.items() if i != q)[:top]
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(ranked)}
+    return want
+
+
+def test_top_k_copies_only_rows_in_reach(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PER_GROUP", 10)
+    monkeypatch.setattr(knn, "SAMPLE", 300)
+    rng = np.random.default_rng(2)
+    middles = np.linalg.qr(rng.normal(size=(16, 12)))[0].T * 4
+    vectors = middles[rng.integers(12, size=4000)] + 0.05 * rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    met = knn.meeting(df)
+    assert met.n_groups == 8 and met.rows.select("group", "vec_id").distinct().count() < 0.5 * met.n_rows * met.n_groups
+    assert met.asked.select("cell", "vec_id").distinct().count() < 0.5 * 80 * met.n_cells
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in knn.top_k(df).collect()}
+    assert got == plain_top_k({i: np.floor(256 * v).astype(int).tolist() for i, v in enumerate(vectors)})
+
+
+def test_top_k_of_huge_components_and_other_ids(spark):
+    rows = [(str(i), [float((-1) ** i) * 10.0 ** (i % 21), 3.0, 1e300 if i == 7 else 0.5]) for i in range(101)] + [("a", [1.0, 1.0, 1.0])]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in knn.top_k(spark.createDataFrame(rows, "vec_id string, embedding array<double>")).collect()}
+    held = lambda x: int(min(max(np.floor(x * 256), -(2.0**63)), 2.0**63)) if abs(x * 256) < 2.0**63 else (2**63 - 1 if x > 0 else -(2**63))
+    assert got == plain_top_k({int(i): [held(x) for x in v] for i, v in rows if i != "a"})
+
+
 # ---- SimHash
 
 def test_golay_keys_meet_within_two_bits():
