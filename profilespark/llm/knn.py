@@ -145,7 +145,7 @@ def _solve(asked: pa.Table, rows: pa.Table, top: int) -> pa.Table:
                 if able.size > top:
                     level = np.partition(row[able], -top)[-top]
                     able = able[row[able] >= level]
-                best = able[np.lexsort((ids[able], -row[able]))][:top]
+                best = able[np.lexsort((ids[able], ~row[able].astype(np.int64)))][:top]
                 for column, value in zip(out, ([own] * best.size, [own_hash] * best.size, ids[best].tolist(), row[best].astype(np.int64).tolist())):
                     column += value
     return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
