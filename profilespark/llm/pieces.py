@@ -28,7 +28,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN_PENALTY = 10.0
 MAX_CACHED, MAX_WORD = 300_000, 64
 CELLS = 1 << 18  # characters that advance together
-SLICE_BYTES = 1 << 20  # text that is encoded at once
+PAIR_SLOTS = 1 << 20  # pairs of pieces whose answer is kept
+SLICE_BYTES = 4 << 20  # text that is encoded at once
 
 
 class Model:
@@ -58,6 +59,7 @@ class Model:
         self.power = np.array([pow(int(BASE), k, 1 << 64) for k in range(self.sizes[-1] + 1)], np.uint64)
         self.merges = all(float(m.get_score(i)).is_integer() for i in usable)
         self.reachable = np.ones(n, bool)
+        self.pairs, self.pairs_apart = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
         if self.merges:
             self._spines({name[i]: i for i in usable}, n)
 
@@ -91,8 +93,21 @@ class Model:
         return np.where(self.keys[at] == key, self.ids[at], -1)
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether pieces ``a`` and ``b`` beside each other stay as they are: at no time while their own merges go on, best score first
-        and leftmost first, does a merge across the border come first."""
+        """Whether pieces ``a`` and ``b`` beside each other stay as they are; pairs met lately are looked up."""
+        pair = a * len(self.score_of) + b
+        slot = (_mix(pair.astype(np.uint64)) & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
+        new = np.flatnonzero(self.pairs[slot] != pair)
+        out = self.pairs_apart[slot]
+        if new.size:
+            out[new] = self._stay_apart(a[new], b[new])
+            # of pairs that share a slot only one stays, and its answer is written with it
+            self.pairs[slot[new]] = pair[new]
+            kept = new[self.pairs[slot[new]] == pair[new]]
+            self.pairs_apart[slot[kept]] = out[kept]
+        return out
+
+    def _stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """At no time while the pieces' own merges go on, best score first and leftmost first, does a merge across the border come first."""
         out, todo = np.ones(a.size, bool), np.arange(a.size)
         i, j = np.zeros(a.size, np.int64), np.zeros(a.size, np.int64)
         score = np.append(self.score_of, -np.inf)
@@ -169,6 +184,7 @@ class Encoder:
     def __init__(self, model_file: str) -> None:
         self.model = load(model_file)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _cut(self, word: str) -> list[str]:
         """Parts of a word between neighbours that stand together in no piece."""
@@ -178,14 +194,20 @@ class Encoder:
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         parts = {w: self._cut(w) for w in words}
         lengths: dict[int, list[str]] = {}
+        known = self.parts
         for part in dict.fromkeys(p for cut in parts.values() for p in cut):
-            lengths.setdefault(len(part), []).append(part)
-        ids: dict[str, list[int]] = {}
+            if part not in known:
+                lengths.setdefault(len(part), []).append(part)
+        now: dict[str, bytes] = {}
         for size, group in lengths.items():
             step = max(1, CELLS // size)
             for at in range(0, len(group), step):
-                ids.update(zip(group[at : at + step], viterbi(self.model, group[at : at + step])))
-        return {w: np.array([i for p in cut for i in ids[p]], "<i4").tobytes() for w, cut in parts.items()}
+                now.update((p, np.array(ids, "<i4").tobytes()) for p, ids in zip(group[at : at + step], viterbi(self.model, group[at : at + step])))
+        out = {w: b"".join([now[p] if p in now else known[p] for p in cut]) for w, cut in parts.items()}
+        if len(known) > MAX_CACHED:
+            known.clear()
+        known.update((p, ids) for p, ids in now.items() if len(p) <= MAX_WORD)
+        return out
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         """Ids of every text as little-endian 32-bit integers; a leading space is added, an empty text has no ids."""
