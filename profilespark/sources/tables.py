@@ -28,10 +28,17 @@ def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType | None =
 
 
 def write_table(df: DataFrame, path: str, formats: tuple[str, ...] = ("parquet", "csv")) -> None:
-    """The table as Parquet with a CSV companion; written by the executors, one file per partition."""
-    for f in formats:
-        writer = df.write.mode("overwrite")
-        writer.parquet(f"{path}.parquet") if f == "parquet" else writer.option("header", True).csv(f"{path}.csv")
+    """The table as Parquet with a CSV companion; written by the executors, one file per partition.
+
+    The table is worked out once: the companion is written from the Parquet files, so that sums whose last bits depend on the order of
+    their terms are the same in both.
+    """
+    for f in sorted(formats, key=lambda f: f != "parquet"):
+        if f == "parquet":
+            df.write.mode("overwrite").parquet(f"{path}.parquet")
+            df = df.sparkSession.read.schema(df.schema).parquet(f"{path}.parquet")
+        else:
+            df.write.mode("overwrite").option("header", True).csv(f"{path}.csv")
 
 
 def resolve_columns(df: DataFrame, aliases: dict[str, list[str]], required: list[str] = ()) -> DataFrame:
