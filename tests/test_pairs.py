@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from profilespark.operators import nearest as N
 from profilespark.operators import outliers as O
 from profilespark.operators import pairs as P
 from profilespark.plans import bindings as B
@@ -57,3 +58,10 @@ def test_nesting_and_partition_invariance(spark, sf):
     a = {(r.profile, r.feature_id, r.alpha) for r in O.gesd_calls(v, "profile", "value", "feature_order").collect()}
     b = {(r.profile, r.feature_id, r.alpha) for r in O.gesd_calls(v.repartition(13), "profile", "value", "feature_order").collect()}
     assert a == b and {x[:2] for x in a if x[2] < 0.0005} <= {x[:2] for x in a if x[2] > 0.0005}
+
+
+def test_equal_means_rank_by_name(spark):
+    """Both targets have the mean 0.2; summed in these orders, that of the smaller name is larger in the last bit."""
+    rows = [("q", "c", t, d) for t, ds in (("ta", (0.1, 0.2, 0.3)), ("tb", (0.3, 0.2, 0.1))) for d in ds]
+    detail = spark.createDataFrame(rows, "query string, comparator string, target string, absolute_difference double").coalesce(1)
+    assert [(r.target, r["rank"]) for r in N.top_shared_targets(detail).orderBy("rank").collect()] == [("ta", 1), ("tb", 2)]
