@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from profilespark.operators import grid as G
 from profilespark.operators import nearest as N
 from profilespark.operators import outliers as O
 from profilespark.operators import pairs as P
@@ -65,3 +66,54 @@ def test_equal_means_rank_by_name(spark):
     rows = [("q", "c", t, d) for t, ds in (("ta", (0.1, 0.2, 0.3)), ("tb", (0.3, 0.2, 0.1))) for d in ds]
     detail = spark.createDataFrame(rows, "query string, comparator string, target string, absolute_difference double").coalesce(1)
     assert [(r.target, r["rank"]) for r in N.top_shared_targets(detail).orderBy("rank").collect()] == [("ta", 1), ("tb", 2)]
+
+
+def test_copies_do_not_grow_with_the_roster(spark):
+    """A profile is sent to as many pairs of blocks as there are blocks; it was one for every 128 profiles."""
+    assert G.block_count(spark.range(100)) == 1
+    assert [G.block_count(spark.range(n)) for n in (10_000, 100_000)] == [G.BLOCKS, G.BLOCKS]
+    x, y = G.grid_sides(spark.range(1000).select(F.col("id").alias("profile")), 10)
+    assert x.count() + y.count() == 11 * 1000
+
+
+def uneven(spark, n=60):
+    """Every profile supports other cells, some none."""
+    rng = np.random.default_rng(3)
+    rows = [(p, f"f{j}", j, f"t{j % 3}", "u", float(rng.integers(-3, 4))) for p in range(n) for j in range(12) if p % 10 and rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "profile long, feature_id string, feature_order long, target string, tissue string, value double")
+    return df, spark.range(n).select(F.col("id").alias("profile"), (-F.col("id")).alias("roster_order"))
+
+
+def test_sums_of_pairs_equal_their_joined_rows(spark, sf):
+    v, roster = B.vectors(spark, sf).where("profile < 70"), B.vector_roster(spark, sf).where("profile < 70")
+    for df, names, blocks in ((v, roster, 1), (v, roster, 3), (*uneven(spark), 4)):
+        detail = P.matched_support_join(df, names, "value", blocks).cache()
+        want = detail.groupBy("a", "b").agg(F.count("*").alias("matched_features"), F.min("feature_id").alias("lo"), F.max("feature_id").alias("hi"),
+                                            F.sum("signed_difference").alias("signed_sum"), F.sum("absolute_difference").alias("absolute_sum"))
+        got = P.pair_sums(df, names, "value", blocks=blocks)
+        texts = lambda d: {(r.a, r.b): (r.lo, r.hi) for r in d.collect()}
+        assert texts(got) == texts(want)
+        same(as_dict(got, ["matched_features", "signed_sum", "absolute_sum"]), as_dict(want, ["matched_features", "signed_sum", "absolute_sum"]))
+        cols = ["matched_features", "query_mean", "comparator_mean", "mean_difference", "mean_absolute_difference", "max_absolute_difference"]
+        by = lambda d: {(r.a, r.b, r.target): [r[c] for c in cols] for r in d.collect()}
+        same(by(P.pair_sums(df, names, "value", "target", blocks=blocks)), by(N.pair_group_summary(detail, "target")))
+
+
+def test_changed_profiles_are_in_every_pair(spark):
+    df, roster = uneven(spark)
+    changed = roster.where("profile % 7 = 0")
+    cols = [c for c in P.continuous_metrics(df, roster, "value").columns if c not in ("a", "b")]
+    every = as_dict(P.metrics_from_rows(df, roster, "value", blocks=2), cols)
+    same(every, as_dict(P.continuous_metrics(df, roster, "value", blocks=3), cols))
+    for blocks in (1, 3):
+        same({k: v for k, v in every.items() if k[0] % 7 == 0 or k[1] % 7 == 0}, as_dict(P.continuous_metrics(df, roster, "value", blocks=blocks, changed=changed), cols))
+
+
+def test_layers_compared_in_blocks_equal_their_joined_rows(spark, monkeypatch):
+    df, roster = uneven(spark)
+    layers = df.select("profile", "feature_id", "value", F.lit("RAW").alias("layer")).unionByName(df.where("profile % 3 > 0").select("profile", "feature_id", F.signum("value").alias("value"), F.lit("SIGN").alias("layer")))
+    cols = ["matched", "exact_equal", "near_equal", "max_abs", "mean_abs", "same_support", "identical", "identical_in_any_layer", "identical_in_every_layer"]
+    by = lambda d: {(r.layer, r.a, r.b): [r[c] for c in cols] for r in d.collect()}
+    block = by(P.vector_equality_forensics(layers, roster))
+    monkeypatch.setattr(P, "CHUNK_FEATURES", 0)
+    same(block, by(P.vector_equality_forensics(layers, roster)))
