@@ -500,6 +500,23 @@ def test_quality_scores_without_labels(spark):
     assert pairwise_ranking.quality_scores(table(spark, ODD).limit(0), none).count() == 0
 
 
+def test_quality_learns_from_every_label(spark, sf, monkeypatch):
+    """Each labelled document enters a pair, the larger class sets their number, and the threshold is the quantile of all strengths."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((90, pairwise_ranking.N_FEATURES)).astype(np.float32)
+    quality = [int(i % 3 > 0) for i in range(90)]
+    marked = spark.createDataFrame([(q, i * 7919 % 90, row.tolist()) for i, (q, row) in enumerate(zip(quality, x))], "quality int, h long, x array<float>")
+    monkeypatch.setattr(pairwise_ranking, "PAIRS", 1)
+    placed = pairwise_ranking.group_positions(marked, ["quality"], ["h"], "place")
+    gaps = np.array([r.x for r in pairwise_ranking.preferences(placed, 60, 30).collect()])
+    assert len(gaps) == 60
+    good, bad = x[np.array(quality) == 1], x[np.array(quality) == 0]
+    assert np.allclose(gaps.sum(axis=0), good.sum(axis=0) - 2 * bad.sum(axis=0), atol=1e-3)
+    found = pairwise_ranking.fit(marked)
+    strengths = np.sort(found.strength(x.astype(float)))
+    assert np.allclose(found.centre, x.mean(axis=0), atol=1e-6) and abs(found.threshold - strengths[28:31].mean()) < 1e-9
+
+
 # ---- components and pipeline
 
 def test_components_of_long_chains(spark):
