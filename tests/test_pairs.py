@@ -117,3 +117,17 @@ def test_layers_compared_in_blocks_equal_their_joined_rows(spark, monkeypatch):
     block = by(P.vector_equality_forensics(layers, roster))
     monkeypatch.setattr(P, "CHUNK_FEATURES", 0)
     same(block, by(P.vector_equality_forensics(layers, roster)))
+
+
+def test_call_sets_compared_in_blocks_equal_their_joined_sets(spark, monkeypatch):
+    """Both levels, pairs without calls, and the plans: no pair meets another table by its names."""
+    df, roster = uneven(spark)
+    calls = df.where("value > 1").withColumn("alpha", F.lit(0.001)).unionByName(df.where("value > 2").withColumn("alpha", F.lit(0.0001)))
+    wide = P.all_pairwise(df, calls, roster, "value", n_features=12)
+    got = as_dict(wide, [c for c in wide.columns if c not in ("a", "b")])
+    assert "Join" not in wide._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    monkeypatch.setattr(P, "CHUNK_FEATURES", 0)
+    same_text = lambda x: [v if not isinstance(v, str) else float(hash(v)) for v in x]
+    joined = P.all_pairwise(df, calls, roster, "value", n_features=12)
+    want = as_dict(joined, [c for c in wide.columns if c not in ("a", "b")])
+    same({k: same_text(v) for k, v in got.items()}, {k: same_text(v) for k, v in want.items()})
