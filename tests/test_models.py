@@ -136,3 +136,25 @@ def test_scaling_refuses_uneven_distances(spark):
     for rows in (turned, holes):
         assert M.pcoa(spark.createDataFrame(rows, schema)).status.first()["status"] == "NOT_ESTIMABLE"
         assert M.metric_mds(spark.createDataFrame(rows, schema), 1).status.first()["status"].startswith("NOT_ESTIMABLE")
+
+
+def test_trees_by_rounds_and_inside_a_task_agree(spark, monkeypatch):
+    """Few jobs where a group fits a task; the same tree by rounds, by rounds that end inside a task, and with equal distances or holes."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in "uvwx":
+        p = rng.integers(0, 3, (14, 2)).astype(float) if g == "v" else rng.standard_normal((14, 3))
+        rows += [(g, f"p{i:02d}", f"p{j:02d}", float(np.sqrt(((p[i] - p[j]) ** 2).sum()))) for i in range(14) for j in range(i + 1, 14) if g != "w" or (i + j) % 5]
+    d = spark.createDataFrame(rows, "g string, a string, b string, value double")
+
+    def tree():
+        return sorted((r.g, r.left_cluster, r.right_cluster, round(r.distance, 9), r.member_count) for r in M.average_linkage_by_group(d, "g").collect())
+
+    cuts = []
+    monkeypatch.setattr(M, "cut", lambda df, cut=M.cut: cuts.append(1) or cut(df))
+    want, one = tree(), len(cuts)
+    assert one == 2 and len(want) == 4 * 13
+    for cells in (0, 50):
+        monkeypatch.setattr(M, "CELLS_PER_TASK", cells or 1)
+        assert tree() == want
+    assert M.average_linkage_by_group(d.limit(0), "g").count() == 0
