@@ -158,3 +158,28 @@ def test_trees_by_rounds_and_inside_a_task_agree(spark, monkeypatch):
         monkeypatch.setattr(M, "CELLS_PER_TASK", cells or 1)
         assert tree() == want
     assert M.average_linkage_by_group(d.limit(0), "g").count() == 0
+
+
+def test_scaling_by_rounds_and_inside_a_task_agree(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in "uvw":
+        p = rng.standard_normal((40, 3))
+        rows += [(g, f"p{i:02d}", f"p{j:02d}", float(np.sqrt(((p[i] - p[j]) ** 2).sum()))) for i in range(40) for j in range(40)]
+    d = spark.createDataFrame(rows, "g string, a string, b string, value double").cache()
+
+    def fits():
+        flat, mds = M.pcoa(d, group="g"), M.metric_mds(d, 3, n_init=2, max_iter=5, group="g")
+        at = {(r["analysis_id"], r["profile"]): (r["Axis1"], r["Axis2"]) for r in flat.scores.collect()} | {("m", r["analysis_id"], r["profile"]): (r["MDS1"], r["MDS2"]) for r in mds.scores.collect()}
+        return at, sorted((r["analysis_id"], r["status"], r["rank"], round(r["explained_variance_sum"], 9)) for r in flat.status.collect()), sorted((r["analysis_id"], r["status"], r["iterations"], round(r["stress"], 6)) for r in mds.status.collect())
+
+    def lanczos(*_):
+        raise AssertionError("small groups need no rounds of jobs")
+
+    with monkeypatch.context() as m:
+        m.setattr(M, "spectra", lanczos)
+        near = fits()
+    monkeypatch.setattr(M, "CELLS_PER_TASK", 100)
+    far = fits()
+    assert near[1:] == far[1:] and len(near[0]) == 240 == len(far[0])
+    assert all(abs(x - y) < 1e-8 for key, pair in near[0].items() for x, y in zip(pair, far[0][key]))
