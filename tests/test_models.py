@@ -183,3 +183,20 @@ def test_scaling_by_rounds_and_inside_a_task_agree(spark, monkeypatch):
     far = fits()
     assert near[1:] == far[1:] and len(near[0]) == 240 == len(far[0])
     assert all(abs(x - y) < 1e-8 for key, pair in near[0].items() for x, y in zip(pair, far[0][key]))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_inputs_of_a_model_are_worked_out_once(spark, sf, monkeypatch):
+    """What several passes read starts from a written table, not from the joins behind it."""
+    from profilespark.plans import model_queries as Q
+
+    assert "lineitem" not in plan_of(Q.score_distances(spark, sf)) and "p_brand" not in plan_of(Q.score_distances(spark, sf))
+    seen, rows = [], M._Rows
+    monkeypatch.setattr(M, "_Rows", lambda cells, *rest: seen.append(plan_of(cells)) or rows(cells, *rest))
+    x = np.random.default_rng(8).standard_normal((6, 4))
+    t = frame(spark, x).join(spark.range(6).select(F.format_string("p%02d", "id").alias("profile")), "profile")
+    assert M.em_svd_pca(t, "value").status.first()["status"] == "PASS"
+    assert seen and "Join" not in seen[0]
