@@ -547,3 +547,18 @@ def test_pipeline_stages(spark, sf):
         shown |= set(rules[i].split("\n"))
     assert packed(state.collect()) >= 1
     assert {(r.doc_id, r.piece) for r in corpus_pipeline.run(spark, sf).collect()} == {(r.doc_id, r.piece) for r in state.collect()}
+
+
+def test_quality_labels_meet_packed_features_at_every_size(spark, monkeypatch):
+    docs, labels = table(spark, [(i, f"word{i} so so\nline {i % 3}\nline {i % 3}" if i % 5 else "") for i in range(40)]), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    made = []
+    monkeypatch.setattr(pairwise_ranking, "cut", lambda df: made.append(df) or df)
+    monkeypatch.setattr(pairwise_ranking, "fit", lambda marked: marked)
+    rows = pairwise_ranking.learn(docs, labels).collect()
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan  # the labels are met alike at every size
+    moved = [line for line in plan.splitlines() if " Exchange " in line or "SortMergeJoin" in line]
+    assert moved and not any("text#" in line for line in moved)
+    learned = docs.where(~pairwise_ranking.held_out()).selectExpr("text", "doc_id % 2 AS q", "xxhash64(doc_id) AS h").collect()
+    want = sorted((r.h, r.q, pairwise_ranking.features([r.text.encode()]).astype(np.float32)[0].tolist()) for r in learned)
+    assert sorted((r.h, r.quality, r.x) for r in rows) == want
