@@ -22,7 +22,7 @@ LETTERS = "eantoirhsld."
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, line_no from 0, line) for every line with a word; null texts have none."""
     t = plain(docs, doc_id=doc_id, text=text).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return t.where(F.translate("line", SPACES, "") != "")
+    return t.where(F.ltrim("line", F.lit(SPACES)) != "")  # ends at the first other character; a translation would read the whole line
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:

@@ -562,3 +562,11 @@ def test_quality_labels_meet_packed_features_at_every_size(spark, monkeypatch):
     learned = docs.where(~pairwise_ranking.held_out()).selectExpr("text", "doc_id % 2 AS q", "xxhash64(doc_id) AS h").collect()
     want = sorted((r.h, r.q, pairwise_ranking.features([r.text.encode()]).astype(np.float32)[0].tolist()) for r in learned)
     assert sorted((r.h, r.quality, r.x) for r in rows) == want
+
+
+def test_blank_lines_are_told_without_reading_whole_lines(spark):
+    rows = [(1, "a\n \t\x0b\x0c\r\n\n x \r\n \n\x1c\n  　"), (2, None), (3, ""), (None, "\t\nz")]
+    found = line_dedup.lines_of(table(spark, rows))
+    want = {(i, n, line) for i, t in rows if t is not None for n, line in enumerate(t.split("\n")) if WORDS.search(line)}
+    assert {(r.doc_id, r.line_no, r.line) for r in found.collect()} == want and found.count() == len(want)
+    assert "translate" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
