@@ -20,3 +20,11 @@ def test_species_of_rows_that_share_a_key(spark):
     got = resolve.resolve_species(rows, audit, raw, "LAB_A", "LAB", "lig", ["organism"], ["taxon"])
     assert sorted((r.all_ids, r.species_class, r.species_method) for r in got.collect()) == [
         ("", "HUMAN", "TABLE_EXPLICIT"), ("", "UNRESOLVED", ""), ("a1", "MAMMALIAN_NONHUMAN", "AUDIT_SOURCE_ASSERTION"), ("a2", "HUMAN", "AUDIT_SOURCE_ASSERTION")]
+
+
+def test_relation_of_rows_that_share_a_key(spark):
+    rows = _assertions(spark, [("k", "a1", "", "BOUNDED"), ("k", "a2", "", "BOUNDED"), ("k", "a1", "", "="), ("k", "", "", "<"), (None, "a1", "", None)])
+    audit = spark.createDataFrame([("a1", ">"), ("a2", "<")], "source_assertion_id string, relation_operator string")
+    got = resolve.recover_relation(rows, audit, ["relation_operator"])
+    assert sorted((r.all_ids, r.relation or "", r.relation_operator, r.relation_source) for r in got.collect()) == [
+        ("", "<", "<", "TABLE"), ("a1", "", ">", "AUDIT_SOURCE_ASSERTION"), ("a1", "=", "=", "TABLE_EXACT"), ("a1", "BOUNDED", ">", "AUDIT_SOURCE_ASSERTION"), ("a2", "BOUNDED", "<", "AUDIT_SOURCE_ASSERTION")]
