@@ -28,3 +28,9 @@ def test_relation_of_rows_that_share_a_key(spark):
     got = resolve.recover_relation(rows, audit, ["relation_operator"])
     assert sorted((r.all_ids, r.relation or "", r.relation_operator, r.relation_source) for r in got.collect()) == [
         ("", "<", "<", "TABLE"), ("a1", "", ">", "AUDIT_SOURCE_ASSERTION"), ("a1", "=", "=", "TABLE_EXACT"), ("a1", "BOUNDED", ">", "AUDIT_SOURCE_ASSERTION"), ("a2", "BOUNDED", "<", "AUDIT_SOURCE_ASSERTION")]
+
+
+def test_call_matrix_counts_makes_its_panel_once(spark, sf, monkeypatch):
+    made, real = [], bindings.expression
+    monkeypatch.setattr(bindings, "expression", lambda *a: made.append(a) or real(*a))
+    assert registry.queries()["call_matrix_counts"](spark, sf).columns and len(made) == 1
