@@ -34,3 +34,13 @@ def test_call_matrix_counts_makes_its_panel_once(spark, sf, monkeypatch):
     made, real = [], bindings.expression
     monkeypatch.setattr(bindings, "expression", lambda *a: made.append(a) or real(*a))
     assert registry.queries()["call_matrix_counts"](spark, sf).columns and len(made) == 1
+
+
+def test_summary_joins_the_line_items_once(spark, sf, monkeypatch):
+    plans = []
+    for module in (curation, curation_queries, activity):
+        real = getattr(module, "cut", None)
+        if real is not None:
+            monkeypatch.setattr(module, "cut", lambda df, real=real: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    registry.queries()["readiness_tier"](spark, sf)
+    assert sum("l_orderkey" in p for p in plans) == 1
