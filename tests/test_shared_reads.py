@@ -30,6 +30,17 @@ def test_relation_of_rows_that_share_a_key(spark):
         ("", "<", "<", "TABLE"), ("a1", "", ">", "AUDIT_SOURCE_ASSERTION"), ("a1", "=", "=", "TABLE_EXACT"), ("a1", "BOUNDED", ">", "AUDIT_SOURCE_ASSERTION"), ("a2", "BOUNDED", "<", "AUDIT_SOURCE_ASSERTION")]
 
 
+def test_call_count_regression_makes_its_pairs_once(spark):
+    def made(batches):
+        yield from batches
+
+    pairs = spark.createDataFrame([(1, 2, 3, 0), (1, 3, 3, 4), (2, 3, 1, 4)], "a int, b int, call_count_a int, call_count_b int")
+    calls = spark.createDataFrame([(1,)] * 3 + [(3,)] * 4, "profile int")
+    got = quality.call_count_regression(pairs.mapInArrow(made, pairs.schema), calls)
+    assert sorted((r.profile, r.pair_min, r.pair_max, r.called, r.status) for r in got.collect()) == [(1, 3, 3, 3, "PASS"), (2, 0, 1, 0, "FAIL"), (3, 4, 4, 4, "PASS")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_call_matrix_counts_makes_its_panel_once(spark, sf, monkeypatch):
     made, real = [], bindings.expression
     monkeypatch.setattr(bindings, "expression", lambda *a: made.append(a) or real(*a))
