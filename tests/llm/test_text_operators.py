@@ -175,6 +175,31 @@ def test_passages_whose_seeds_occur_singly_before(spark):
             before |= set(runs)
 
 
+def test_copies_need_no_look_at_every_word(spark):
+    """In copies the seeds tell the first occurrences of runs: only runs at the ends of a copy, and where the texts part, get a row each."""
+    text, other = prose(6001, 1000).split(), prose(6002, 1000).split()
+    rows = [(1, text), (2, text), (3, other[:300] + text[200:700] + other[300:]), (4, text[:400] + ["new"] + text[400:])]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in rows], "doc long, text string")
+    matched = passages.matches(docs).collect()
+    looked = Counter(r.doc for r in matched if r.n == passages.MIN_PIECE)
+    assert looked[2] < 30 and looked[3] < 30 and looked[4] < 60
+    words = dict(rows)
+    assert all(words[r.doc][r.at : r.at + r.n] == words[r.other][r.other_at : r.other_at + r.n] for r in matched)
+    found = passages.repeated_passages(docs.withColumnRenamed("doc", "doc_id")).collect()
+    assert {(r.doc_id, r.passage_start, r.passage_end) for r in found} == {(2, 0, 1000), (3, 300, 800), (4, 0, 1001)}
+
+
+def test_words_by_their_hashes():
+    data = [b"", b"  The quick\tBROWN  fox ", b"the", b"\n", "Stra\u00dfe THE\x0bfox \u00c4".encode(), b""]
+    found = [code.tolist() for code in passages.word_codes(data)]
+    names: dict = {}
+    for text, code in zip(data, found):
+        assert len(code) == len(text.split())
+        assert all(names.setdefault(w, c) == c for w, c in zip(text.lower().split(), code))
+    assert len(set(names.values())) == len(names) == 6
+    assert passages.word_codes([]) == []
+
+
 def test_parts_reach_the_similarity():
     rng = random.Random(4)
     for _ in range(100):
