@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,15 @@ STEP, ADD = 12.0, 0.15  # log odds are kept in steps of 1 / 12; a count of 0.15
 GATES = 8  # a set of weights for each bit of a byte
 START_WEIGHT, RATE, REFINE = 0.3, 0.02, 0.005
 BLOCK, PAD = 512, 6
-SLICE = 2 << 20
+SLICE = 2 << 20  # half an Arrow batch
+POWERS = 1 << 18  # powers are kept for a multiple of this many bytes
 CHUNK = 64
 LEAST = 2.0**-15  # no bit is thought likelier than 1 - LEAST
 HOT = 1 << 17
 LONG_WORD = 64
 END, SPACE = b"\n", 32
+PATH = np.array([[4 | h >> 2, 8 | h >> 1] for h in range(16)]).T.copy()  # the last two nodes of a half byte, and its bits
+BITS = np.array([[h >> 3 & 1, h >> 2 & 1, h >> 1 & 1, h & 1] for h in range(16)], np.float32).T.copy()
 
 
 # ---------------------------------------------------------------- words
@@ -95,7 +99,7 @@ class Flat:
         return Flat(np.frombuffer(gap + gap.join(bodies), np.uint8), start, size)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd factor and of its inverse modulo 2^32."""
     odd = 0x01000193
@@ -123,7 +127,7 @@ def contexts(data: np.ndarray) -> Iterator[np.ndarray]:
     near *= np.uint32(0x2545F491)
     near ^= (back(5) | back(6) << np.uint32(8)) * np.uint32(0x9E3779B1)
     yield mixed(near)
-    up, down = (p[: len(data)] for p in _powers(1 << max(20, len(data).bit_length())))
+    up, down = (p[: len(data)] for p in _powers(max(1, -(-len(data) // POWERS)) * POWERS))
     sums = np.cumsum((data + np.uint32(1)) * up, dtype=np.uint32)  # of all bytes up to here, each times its power
     space = np.roll(np.maximum.accumulate(np.where(data == SPACE, np.arange(len(data), dtype=np.int32), 0)), 1)
     space[0] = 0
@@ -210,10 +214,11 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def context_table(docs: DataFrame) -> np.ndarray:
     """The log odds of all rows: at most 2^19.9 x 16 bytes come to the driver."""
     partial = docs.select("text").mapInArrow(_count_contexts, _PARTIAL)
-    for keys in (["part", "salt"], ["part"]):
-        partial = partial.repartition(*keys).sortWithinPartitions(*keys).withColumn("salt", F.col("salt") if len(keys) > 1 else F.lit(0)).select("part", "salt", "small", "cells", "counts").mapInArrow(_add_tables, _PARTIAL)
+    added = partial.repartition("part", "salt").sortWithinPartitions("part", "salt").mapInArrow(_add_tables, _PARTIAL)
+    whole = added.withColumn("salt", F.lit(0)).repartition("part").sortWithinPartitions("part")
+    finished = whole.mapInArrow(lambda batches: _finish(_add_tables(batches)), "part int, odds binary")  # one pass: a second one in the stage would keep a second worker a core
     table = np.zeros(int(FIRST_ROW[-1]) * 16, np.int8)
-    for r in partial.mapInArrow(_finish, "part int, odds binary").toLocalIterator(prefetchPartitions=True):
+    for r in finished.toLocalIterator(prefetchPartitions=True):
         table[r["part"] * RANGE : (r["part"] + 1) * RANGE] = np.frombuffer(r["odds"], np.int8)
     return table
 
@@ -236,7 +241,7 @@ def mix(data: np.ndarray, start: np.ndarray, size: np.ndarray, table: np.ndarray
     own = np.repeat(weights.astype(np.float32)[:, :, None], n, axis=2)  # gate, context, block
     cost, active = np.zeros(n), np.searchsorted(-size, -np.arange(longest), side="left")
     own, rate, least = own / np.float32(STEP), np.float32(rate / STEP**2), np.float32(LEAST)  # so that log odds go in as the steps they are kept in
-    picked = np.empty((N_CONTEXTS, n), slots.dtype)
+    room, first_slot = np.empty(N_CONTEXTS * n, slots.dtype), np.arange(n) * 16
     for t in range(0, longest, CHUNK):
         m = int(active[t])
         at = np.minimum(start[:m, None] + np.arange(t, t + CHUNK), len(data) - 1)
@@ -244,21 +249,23 @@ def mix(data: np.ndarray, start: np.ndarray, size: np.ndarray, table: np.ndarray
         for u in range(min(CHUNK, longest - t)):
             m = int(active[t + u])
             upper, lower = bytes_[u, :m] >> 4, bytes_[u, :m] & 15
-            first_slot = np.arange(m) * 16
+            picked = room[: N_CONTEXTS * m].reshape(N_CONTEXTS, m)
+            nodes, grown = picked.view(np.int8), np.empty((N_CONTEXTS, m), np.float32)
             for half, above, gate in ((upper, None, 0), (lower, upper, 4)):
                 for i in range(N_CONTEXTS):
-                    np.take(slots, rows_at(hashes[i][u, :m], i, above).astype(np.int64) + FIRST_ROW[i], out=picked[i, :m], mode="clip")
-                nodes = picked[:, :m].view(np.int8) if m == n else np.ascontiguousarray(picked[:, :m]).view(np.int8)
-                node, likely = first_slot + 1, np.ones(m, np.float32)
-                for k in (3, 2, 1, 0):
-                    x = nodes.take(node, axis=1).astype(np.float32)
-                    w = own[gate + 3 - k, :, :m]
-                    one = 1 / (1 + np.exp(-np.einsum("ij,ij->j", w, x)))
-                    bit = half >> k & 1
-                    miss = bit - one
-                    likely *= np.minimum(np.maximum(1 - np.abs(miss), least), 1 - least)
-                    w += x * (miss * rate)
-                    node += node - first_slot + bit
+                    np.take(slots[FIRST_ROW[i] : FIRST_ROW[i + 1]], rows_at(hashes[i][u, :m], i, above), out=picked[i], mode="clip")
+                deep = nodes.take(PATH.take(half, axis=1) + first_slot[:m], axis=1, mode="clip").astype(np.float32)
+                bits, likely = BITS.take(half, axis=1), np.ones(m, np.float32)
+                xs = (nodes[:, 1::16].astype(np.float32), np.where(half > 7, nodes[:, 3::16], nodes[:, 2::16]).astype(np.float32), deep[:, 0], deep[:, 1])
+                for k in range(4):
+                    x, w = xs[k], own[gate + k, :, :m]
+                    one = np.einsum("ij,ij->j", w, x)
+                    np.exp(np.negative(one, out=one), out=one)
+                    one += 1
+                    miss = np.subtract(bits[k], np.reciprocal(one, out=one), out=one)
+                    w += np.multiply(x, miss * rate, out=grown)
+                    np.subtract(1, np.abs(miss, out=miss), out=miss)
+                    likely *= np.minimum(np.maximum(miss, least, out=miss), 1 - least, out=miss)
                 cost[:m] -= np.log(likely)
     back = np.empty(n)
     back[order] = cost
@@ -313,32 +320,39 @@ def mixing_weights(docs: DataFrame, table) -> np.ndarray:
 def _score(batches: Iterator[pa.RecordBatch], table, model) -> Iterator[pa.RecordBatch]:
     """A row per document: its code length, what its frequent words add to the base score, and its other words with their counts."""
     m: Model = model.value
-    shown = {w: (n, float(m.base(n))) for w, n in m.hot.items()}
+    place, hot = {w: i for i, w in enumerate(m.hot)}, np.fromiter(m.hot.values(), np.int64, len(m.hot))
+    log, end = m.base(hot), place.get(END, -1)
     key = TaskContext.get().partitionId() << 33
     for batch in by_size(batches, "text", SLICE):
         docs = [split(data) for data in texts(batch, "text")]
         flat = Flat.of(docs)
         start, size, doc = blocks(flat)
         bits = np.bincount(doc, mix(flat.data, start, size, table.value, m.weights, REFINE).cost, minlength=len(docs)) / np.log(2)
-        base, known, rare, times = [], [], [], []
-        for words in docs:
-            total, seen, left, left_times = 0.0, 0, [], []
-            counts = Counter(words)
-            counts[END] = 1
-            for w, n in counts.items():
-                w = w if w == END else token(w)
-                if (hit := shown.get(w)) is None:
-                    left.append(w)
-                    left_times.append(n)
+        sizes = np.array([len(words) for words in docs])
+        ends = np.cumsum(sizes)
+        at = np.fromiter(map(place.get, chain.from_iterable(docs), repeat(-1)), np.int64, sizes.sum())
+        missed, other, far = (at < 0).tolist(), [], []  # far: frequent words that only their digest tells
+        for words, upto, size in zip(docs, ends.tolist(), sizes.tolist()):
+            other.append(left := Counter(compress(words, missed[upto - size : upto])))
+            for w in [w for w in left if len(w) > LONG_WORD]:
+                n, w = left.pop(w), token(w)
+                if (hit := place.get(w, -1)) < 0:
+                    left[w] = n
                 else:
-                    total += n * hit[1]
-                    seen += n if hit[0] else 0
-            base.append(total)
-            known.append(seen)
-            rare.append(left)
-            times.append(left_times)
+                    far.append((len(other) - 1, hit, n))
+        if end < 0:
+            for left in other:
+                left[END] = 1
+        found = at >= 0
+        of, at = np.repeat(np.arange(len(docs)), sizes)[found], at[found]
+        base = np.bincount(of, log[at], len(docs)) + (log[end] if end >= 0 else 0)
+        known = np.bincount(of[hot[at] > 0], minlength=len(docs)) + (1 if end >= 0 and hot[end] else 0)
+        for i, hit, n in far:
+            base[i] += n * log[hit]
+            known[i] += n if hot[hit] else 0
+        rare, times = [list(left) for left in other], [list(left.values()) for left in other]
         n = len(docs)
-        columns = [pa.array(np.arange(key, key + n)), batch.column(0), batch.column(1), pa.array([len(w) + 1 for w in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+        columns = [pa.array(np.arange(key, key + n)), batch.column(0), batch.column(1), pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
                    pa.array(bits), pa.array(flat.size), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
         key += n
         yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "r", "n_tokens", "known", "base", "bits", "n_bytes", "rare", "times"])

@@ -139,3 +139,26 @@ def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = M.mixing_scores(table(spark, [(held, "ab")])).first()
     assert r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and abs(r["bits_per_byte"] - 8) < 1e-6 and r["base_score"] == 0
+
+
+def test_a_stage_of_the_table_has_one_python_pass(spark, monkeypatch):
+    """Each pass of a stage keeps a worker of its own a core, all of which grow to the size of the scoring."""
+    plans, kind = [], type(spark.range(0))
+    read = kind.toLocalIterator
+    monkeypatch.setattr(kind, "toLocalIterator", lambda self, *a, **b: plans.append(self._jdf.queryExecution().sparkPlan().toString()) or read(self, *a, **b))
+    M.context_table(table(spark, [(1, "one two two"), (2, None)]))
+    assert len(plans) == 1
+    assert all(stage.count("MapInArrow") <= 1 for stage in plans[0].split("Exchange"))
+    assert plans[0].count("MapInArrow") == 3
+
+
+def test_frequent_long_words_are_told_by_their_digest(spark):
+    long = "x" * (M.LONG_WORD + 1)
+    rows = [(i, f"a {long} b {long} {'y' * 90}{i}") for i in range(30)]
+    close(M.mixing_scores(table(spark, rows)).collect(), base(rows))
+
+
+def test_powers_are_kept_for_the_slice_only():
+    assert len(M._powers(3 * M.POWERS)[0]) == 3 * M.POWERS
+    list(M.contexts(np.zeros(M.SLICE + 1000, np.uint8)))
+    assert M._powers.cache_info().currsize == 1
