@@ -40,6 +40,19 @@ def test_inventory(spark, tmp_path):
     assert {r.path: r.status for r in FI.verify_manifest(inv, manifest).collect()} == {"a.txt": "CHANGED", "sub/b.txt": "UNEXPECTED", "c.txt": "MISSING"}
 
 
+def test_inventory_of_files_beyond_a_row(spark, tmp_path):
+    """A file of more than 2 GB (a hole, which takes no disk) cannot be a row's content."""
+    (tmp_path / "a b").mkdir()
+    with open(tmp_path / "a b" / "large%20é.bin", "wb") as file:
+        file.write(b"start")
+        file.truncate((1 << 31) + 7)
+    (tmp_path / "small").write_bytes(b"one")
+    with open(tmp_path / "a b" / "large%20é.bin", "rb") as file:
+        want = hashlib.file_digest(file, "sha256").hexdigest()
+    got = sorted((r.path, r.bytes, r.sha256) for r in FI.file_inventory(spark, str(tmp_path)).collect())
+    assert [g[1:] for g in got] == [((1 << 31) + 7, want), (3, hashlib.sha256(b"one").hexdigest())]
+
+
 def test_records_survive_a_round_trip(spark, tmp_path):
     calls = spark.createDataFrame([("p1", "t", "u", 1.5, 0.001), ("p2", "t", "v", 2.5, 0.001), ("p1", "s", "u", 3.5, 0.001)], "profile string, target string, tissue string, score double, alpha double")
     recs = T.json_records_export(calls, "DS", "c.csv", ["profile", "target"])
