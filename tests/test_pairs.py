@@ -131,3 +131,14 @@ def test_call_sets_compared_in_blocks_equal_their_joined_sets(spark, monkeypatch
     joined = P.all_pairwise(df, calls, roster, "value", n_features=12)
     want = as_dict(joined, [c for c in wide.columns if c not in ("a", "b")])
     same({k: same_text(v) for k, v in got.items()}, {k: same_text(v) for k, v in want.items()})
+
+
+def test_equality_is_not_decided_by_rounding(spark):
+    """An activity of 500 nM and one of 0.5 uM score alike at every z, whatever the last bits; other values and missing ones do not count."""
+    rows = [("q", "c", -np.log10(v * 1e-9) * z, -np.log10(1000 * v * 1e-12) * z) for v in range(1, 400) for z in (1.7, -0.3)]
+    assert sum(x != y for *_, x, y in rows) > 10
+    inf, nan = float("inf"), float("nan")
+    odd = [("q", "d", x, y) for x, y in ((1.0, 1.0), (0.0, 0.0), (1.0, 1.0 + 1e-9), (inf, 1.0), (inf, inf), (nan, 1.0), (1e-9, 2e-9))]
+    detail = spark.createDataFrame([(q, c, float(x), float(y)) for q, c, x, y in rows + odd], "query string, comparator string, query_value double, comparator_value double")
+    found = N.exact_equality_audit(detail.withColumn("signed_difference", F.col("query_value") - F.col("comparator_value"))).collect()
+    assert {r.comparator: (r.matched_features, r.exact_equal_features) for r in found} == {"c": (len(rows), len(rows)), "d": (7, 2)}
