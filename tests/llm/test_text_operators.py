@@ -189,6 +189,26 @@ def test_copies_need_no_look_at_every_word(spark):
     assert {(r.doc_id, r.passage_start, r.passage_end) for r in found} == {(2, 0, 1000), (3, 300, 800), (4, 0, 1001)}
 
 
+def test_passages_with_scattered_changes(spark):
+    """Passages of 60 words that alone are shared by two documents, with every n-th word changed or a share of all: which of the pairs are found."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(20_000)}"
+    kinds = {"6": 6, "7": 7, "8": 8, "10": 10, "a tenth": 0.1, "a twentieth": 0.05}
+    rows, pairs = [], []
+    for kind, share in kinds.items():
+        for _ in range(25):
+            mine, theirs = [word() for _ in range(60)], []
+            while sum(a == b for a, b in zip(mine, theirs)) < 48:
+                theirs = ["z" + word() if (i % share == share - 1 if share > 1 else rng.random() < share) else w for i, w in enumerate(mine)]
+            at = len(rows)
+            pairs.append((kind, at))
+            rows += [(at + j, " ".join([word() for _ in range(45)] + part + [word() for _ in range(45)])) for j, part in enumerate((mine, theirs))]
+    found = {(r.doc_id, r.source_doc_id) for r in passages.repeated_passages(table(spark, rows)).collect()}
+    assert found <= {(at + 1, at) for _, at in pairs}
+    got = Counter(kind for kind, at in pairs if (at + 1, at) in found)
+    assert all(got[kind] >= 0.84 * 25 for kind in kinds) and sum(got.values()) >= 0.9 * len(pairs), got
+
+
 def test_words_by_their_hashes():
     data = [b"", b"  The quick\tBROWN  fox ", b"the", b"\n", "Stra\u00dfe THE\x0bfox \u00c4".encode(), b""]
     found = [code.tolist() for code in passages.word_codes(data)]
